@@ -123,8 +123,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, cls, n, keys, blob) of every row; cls is a digest of the normalised text, null without words."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("blob", T.BinaryType())])
+    """(id, key, cls, n, keys, blob) of every row; cls is a digest of the normalised text, null without words."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -139,9 +139,14 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 raw = " ".join(words).encode("utf-8", "surrogatepass")
                 kmers = shingles(words, cache)
                 cls.append(hashlib.md5(raw).digest()), n.append(len(kmers)), keys.append(sketch(kmers)), blobs.append(z.compress(raw))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(cls, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch[0], batch[2], pa.array(cls, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", _key().alias("key")).mapInArrow(run, schema)
+
+
+def _key():
+    """With the id it names a row's document; rows equal in both are the same document."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -200,5 +205,20 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = classes.select("cls", "own").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     grouped = named.groupBy("label").agg(F.min(F.struct("own", "cls")).alias("best"))
     named = materialise(named.join(grouped, "label").select("cls", F.col("own.id").alias("copy_of"), F.col("best.own.id").alias("group_id"), F.col("best.cls").alias("best")), "neardup-named")
-    out = rows.select("id", "cls").join(named, "cls", "left")
-    return out.select(F.col("id").alias("doc_id"), "copy_of", "group_id", (F.col("cls").isNull() | ((F.col("cls") == F.col("best")) & F.col("id").eqNullSafe(F.col("group_id")))).alias("kept"), "cls")
+    out = rows.select("id", "key", "cls").join(named, "cls", "left")
+    return out.select(F.col("id").alias("doc_id"), "copy_of", "group_id", (F.col("cls").isNull() | ((F.col("cls") == F.col("best")) & F.col("id").eqNullSafe(F.col("group_id")))).alias("kept"), "key")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the document of smallest id, and of rows that repeat its id and text one."""
+    found = groups(docs, threshold)
+    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct(), "neardup-gone")
+    twice = found.where("kept AND group_id IS NOT NULL").groupBy(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = materialise(twice, "neardup-twice")
+    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _key())
+    on = lambda t: d["__id"].eqNullSafe(t["__i"]) & (d["__key"] == t["__k"])
+    if twice.isEmpty():
+        return d.join(gone, on(gone), "left_anti").select(*docs.columns)
+    once = d.join(twice, on(twice), "left_semi").dropDuplicates(["__id", "__key"])
+    out = d.join(twice, on(twice), "left_anti").unionByName(once).join(gone.withColumnsRenamed({"__i": "__gi", "__k": "__gk"}), F.col("__id").eqNullSafe(F.col("__gi")) & (F.col("__key") == F.col("__gk")), "left_anti")
+    return out.select(*docs.columns)

@@ -40,7 +40,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("cls")
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
