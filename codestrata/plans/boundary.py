@@ -57,52 +57,53 @@ def file_facts(files: DataFrame) -> DataFrame:
 
 
 def signals(facts: DataFrame) -> DataFrame:
-    """(repo, branch, commit, root, signal, detail, weight): every piece of evidence of every possible root, '' for the repository's."""
+    """(repo, branch, commit, root, signal, detail, weight): every piece of evidence of every possible root, '' for the repository's.
 
-    def rows(name: str, condition: Column, root: Column, detail: Column, rank: Column | None = None) -> DataFrame:
-        d = facts.where(condition).select(*KEY, root.alias("root"), F.lit(name).alias("signal"), detail.alias("d"), (F.lit(0) if rank is None else rank).alias("r"))
-        best = d.groupBy(*KEY, "root", "signal").agg(F.min_by("d", F.struct("r", "d")).alias("detail"))
-        return best.withColumn("weight", F.lit(WEIGHTS[name]))
+    One pass: a file makes an array of what it shows, and one aggregation keeps the first detail of each signal.
+    """
+    name, at, path = F.col("name"), F.col("dir"), F.col("path")
 
-    def place(known: list[str], name: Column) -> Column:
-        """Order of a name among the known ones; exact spelling before any other case."""
+    def place(known: list[str]) -> Column:
+        """Order of the name among the known ones; exact spelling before any other case."""
         exact = F.array_position(F.array(*[F.lit(x) for x in known]), name)
         any_case = F.array_position(F.array(*[F.lit(x.lower()) for x in known]), F.lower(name))
-        return F.when(exact > 0, exact).otherwise(any_case + 100)
+        return F.when(exact > 0, exact).otherwise(any_case + 100).cast("int")
+
+    def shows(signal: str, condition: Column, root: Column, detail: Column, rank: Column | None = None) -> Column:
+        row = F.struct(root.alias("root"), F.lit(signal).alias("signal"), (F.lit(0) if rank is None else rank.cast("int")).alias("r"), detail.alias("d"), F.lit(WEIGHTS[signal]).alias("weight"))
+        return F.when(condition, row)
 
-    name, at, path = F.col("name"), F.col("dir"), F.col("path")
     inside = lambda root: F.substr(path, F.length(root) + 2)
     resources = F.endswith("dir", F.lit("/src/main/resources"))
     config_root = F.when(resources, F.regexp_replace("dir", "/src/main/resources$", "")).otherwise(at)
-    deploy_root = F.regexp_extract("dir", rf"^(.*?)/(?:{'|'.join(DEPLOYMENT_DIRS)})(?:/|$)", 1)
-    under = F.col("dir").rlike(rf"(^|/)({'|'.join(DEPLOYMENT_DIRS)})(/|$)")
-    out = [
-        rows("build file", _in(name, BUILD_FILES), at, name, place(BUILD_FILES, name)),
-        rows("source tree", F.col("in_source_tree"), F.col("java_root"), F.lit("src/main/java")),
-        rows("application config", name.isin(CONFIG_FILES), config_root, inside(config_root), place(CONFIG_FILES, name) + F.when(resources, 0).otherwise(10)),
-        rows("dockerfile", _in(name, DOCKER_FILES), at, name, place(["Dockerfile", "DockerFile"], name)),
-        rows("docker-compose services", F.col("has_services"), at, name, place(COMPOSE_FILES, name)),
-        rows("SpringBootApplication", F.col("is_boot") & F.col("in_source_tree"), F.col("java_root"), inside(F.col("java_root"))),
-        rows("controller annotation", F.col("is_controller") & F.col("in_source_tree"), F.col("java_root"), inside(F.col("java_root"))),
-        rows("RequestMapping", F.col("is_mapping") & F.col("in_source_tree"), F.col("java_root"), inside(F.col("java_root"))),
-    ]
-    # A manifest or chart counts for the directory it lies in and for the one above a deployment directory: rows for both, the first by path.
-    for signal, found in (("kubernetes deployment", F.col("is_deployment")), ("helm chart", name == "Chart.yaml")):
-        direct = found & (name.isin("deployment.yml", "deployment.yaml") if signal == "kubernetes deployment" else F.lit(True))
-        d = facts.where(direct).select(*KEY, at.alias("root"), path.alias("p")).union(facts.where(found & under).select(*KEY, deploy_root.alias("root"), path.alias("p")))
-        first = d.groupBy(*KEY, "root").agg(F.min("p").alias("p"))
-        out.append(first.select(*KEY, "root", F.lit(signal).alias("signal"), F.substr("p", F.length("root") + 2).alias("detail"), F.lit(WEIGHTS[signal]).alias("weight")))
-    result = out[0]
-    for d in out[1:]:
-        result = result.unionByName(d)
-    return result
+    dirs = "|".join(DEPLOYMENT_DIRS)
+    deploy_root = F.regexp_extract("dir", rf"^(.*?)/(?:{dirs})(?:/|$)", 1)
+    under = F.col("dir").rlike(rf"/({dirs})(/|$)")
+    java = F.col("java_root")
+    manifest, chart = F.col("is_deployment"), name == "Chart.yaml"
+    found = F.array(
+        shows("build file", _in(name, BUILD_FILES), at, name, place(BUILD_FILES)),
+        shows("source tree", F.col("in_source_tree"), java, F.lit("src/main/java")),
+        shows("application config", name.isin(CONFIG_FILES), config_root, inside(config_root), place(CONFIG_FILES) + F.when(resources, 0).otherwise(10)),
+        shows("dockerfile", _in(name, DOCKER_FILES), at, name, place(["Dockerfile", "DockerFile"])),
+        shows("docker-compose services", F.col("has_services"), at, name, place(COMPOSE_FILES)),
+        shows("SpringBootApplication", F.col("is_boot") & F.col("in_source_tree"), java, inside(java)),
+        shows("controller annotation", F.col("is_controller") & F.col("in_source_tree"), java, inside(java)),
+        shows("RequestMapping", F.col("is_mapping") & F.col("in_source_tree"), java, inside(java)),
+        # A manifest or chart counts for the directory it lies in and for the one above a deployment directory.
+        shows("kubernetes deployment", manifest & name.isin("deployment.yml", "deployment.yaml"), at, inside(at)),
+        shows("kubernetes deployment", manifest & under, deploy_root, inside(deploy_root)),
+        shows("helm chart", chart, at, inside(at)),
+        shows("helm chart", chart & under, deploy_root, inside(deploy_root)),
+    )
+    rows = facts.select(*KEY, F.inline(F.array_compact(found)))
+    return rows.groupBy(*KEY, "root", "signal").agg(F.min_by("d", F.struct("r", "d")).alias("detail"), F.max("weight").alias("weight"))
 
 
 def names(facts: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo, branch, commit, root, service_name): application name, artifact, Gradle project, folder, repository, whichever is first not blank."""
     config_place = F.when(F.endswith("dir", F.lit("/src/main/resources")), 0).otherwise(3) + F.array_position(F.array(*[F.lit(x) for x in CONFIG_FILES]), F.col("name"))
     config = facts.where(F.col("name").isin(CONFIG_FILES)).select(*KEY, F.regexp_replace("dir", "/src/main/resources$", "").alias("root"), config_place.alias("rank"), C.app_name(F.col("data")).alias("found"))
-    # A configuration in the resources of a root counts there; one that lies in a folder named so without a root above has its own.
     pom = facts.where("name = 'pom.xml'").select(*KEY, F.col("dir").alias("root"), F.lit(10).alias("rank"), C.artifact_id(F.col("data")).alias("found"))
     gradle = facts.where(F.col("name").isin(GRADLE_FILES)).select(*KEY, F.col("dir").alias("root"), (F.lit(20) + F.array_position(F.array(*[F.lit(x) for x in GRADLE_FILES]), F.col("name"))).alias("rank"), C.gradle_name(F.col("content")).alias("found"))
     found = config.unionByName(pom).unionByName(gradle).where("found IS NOT NULL")

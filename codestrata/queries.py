@@ -277,11 +277,11 @@ def adopt_orphans(spark, sf):
 
 
 @query("""
-SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN s_nationkey END AS owner FROM supplier LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) ON s_nationkey = n_nationkey
+SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN s_nationkey::VARCHAR END AS owner FROM supplier LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) ON s_nationkey = n_nationkey
 """)
 def orphan_rows(spark, sf):
     gone = table(spark, sf, "nation").where("n_regionkey = 1")
-    return O.orphanize(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("owner")), gone, "owner", "n_nationkey")
+    return O.orphanize(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("owner")), gone.withColumn("n_nationkey", F.col("n_nationkey").cast("string")), "owner", "n_nationkey")
 
 
 # -- evidence, roles

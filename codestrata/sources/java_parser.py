@@ -446,6 +446,8 @@ class Parser:
                     kind = self.text(i, j)
                     if kind == "var" and self.at(j + 1) == "=" and self.at(j + 2) == "new":
                         kind = self.text(j + 3, self.type_at(j + 3))
+                    elif kind == "var" and self.at(j + 2) == REST_OWNER and self.at(j + 3) == "." and self.at(j + 4) in ("create", "builder"):
+                        kind = REST_OWNER
                     scope[self.at(j)] = kind
             if self.is_word(i) and self.at(i + 1) == "(" and x not in KEYWORDS:
                 found.append((i, dict(scope)))
@@ -545,6 +547,9 @@ class Parser:
             return ""
         if self.at(a) == "(" and self.pair[a] == b - 1:
             return self.fold(a + 1, b - 1)
+        inner = a + 2 if (self.at(a), self.at(a + 1)) == ("new", "String") else a + 3 if (self.at(a), self.at(a + 1), self.at(a + 2)) == ("String", ".", "valueOf") else -1
+        if inner > 0 and self.pair.get(inner) == b - 1:
+            return self.fold(inner + 1, b - 1)
         summands = list(self.split(a, b, "+"))
         if len(summands) > 1:
             return "".join(self.fold(x, y) for x, y in summands)
