@@ -1,0 +1,438 @@
+"""Each operator against brute force or a held-out measure on small tables, and on the cases that break things."""
+
+import collections
+import hashlib
+import json
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codestrata.llm import bpe, chat, classifier, graph, langid, lm, mixing, neardup, rules, substring, topk
+from codestrata.llm.queries import tokenizer_path
+
+SMALL = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string, extra string"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+ODD = [
+    (1, None, "a", "x"), (2, "", "a", None), (None, "no id here at all my friends", None, None), (3, LONG, "b", "y"), (4, "one two three", None, "z"),
+    (4, "one two three", None, "z"), (5, "   \n\t ", "b", None), (6, "Größe <|endoftext|> don't   stop\r\n\n", "a", None), (7, "x" * 5000, "a", None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+# -- 1
+
+
+def test_classifier_held_out(spark, docs):
+    big = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = classifier.score(d, classifier.fit(d, labels)).join(labels, "doc_id").select("doc_id", "score", "quality", "predicted").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 50 and np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_classifier_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, 0), (4, 1), (99, 1)], "doc_id long, quality int")
+    out = classifier.score(odd.withColumn("score", F.lit("mine")), classifier.fit(odd, labels)).collect()
+    assert len(out) == len(ODD) and all(isinstance(r["score"], float) and 0 <= r["score"] <= 1 for r in out)
+    assert classifier.score(odd.limit(0), classifier.fit(odd.limit(0), labels.limit(0))).count() == 0
+    assert classifier.train(["a"], [1])[1] > 0
+
+
+def test_classifier_separates():
+    good, bad = [f"plain words number {i} here" for i in range(40)], [f"w{i}$$$ x### y***" for i in range(40)]
+    weights, bias = classifier.train(good + bad, [1] * 40 + [0] * 40)
+    assert classifier.pair_features(np.array([5, 5, 6]))[0] == 0 and bias == pytest.approx(bias)
+    assert weights[classifier.word_features("z$$$")].sum() < weights[classifier.word_features("plain")].sum()
+
+
+# -- 2
+
+
+def brute_top(rows, k=5, every=50):
+    v = {}
+    for i, e in rows:
+        if i is None or e is None or any(x is None or not math.isfinite(x) for x in e):
+            continue
+        q = [math.floor(256 * float(np.float32(x))) for x in e]
+        v[i] = min(v.get(i, q), q)
+    out = set()
+    for i, q in v.items():
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in v.items() if j != i and len(x) == len(q))[:k]
+            out |= {(i, n + 1, j, -t) for n, (t, j) in enumerate(s)}
+    return out
+
+
+@pytest.mark.parametrize("n,dims", [(260, 8), (3, 4), (120, 1)])
+def test_topk(spark, n, dims):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=dims), 1)]) for i in range(n)]
+    rows += [(50, rows[0][1]), (0, rows[0][1]), (7000, None), (7001, [1.0] * (dims - 1) + [None]), (7002, [float("nan")] * dims), (7003, [float("inf")] * dims), (None, [1.0] * dims), (7050, [0.5] * (dims + 1)), (7051, [0.5] * (dims + 1))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.search(d).collect()} == brute_top(rows)
+
+
+def test_topk_empty(spark):
+    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("costs", [True, False])
+def test_topk_bounds_lose_nothing(costs):
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-40, 40, (300, 6)).astype(float), rng.integers(-40, 40, (9, 6)).astype(float)
+    alive, depth = topk.survivors(q, topk.Lists(np.arange(300), x), np.full(9, -np.inf), 5, costs, 16)
+    s = q @ x.T
+    for i in range(9):
+        assert set(np.argsort(-s[i], kind="stable")[:5]) <= set(np.flatnonzero(alive[i]))
+    if not costs:
+        assert depth <= 300 and alive.sum() < 9 * 60
+
+
+# -- 3
+
+
+def brute_dedup(rows):
+    seen, out = {}, {}
+    for i, text in sorted({(i, t or "") for i, t in rows if i is not None}):
+        low, bounds = substring.unit_bounds(text)
+        gone = []
+        for n, (a, b) in enumerate(bounds):
+            key = tuple(low[a:b])
+            if key in seen:
+                gone.append(n)
+            seen.setdefault(key, (i, n))
+        out[i] = gone
+    return out
+
+
+def test_substring_against_brute_force(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = brute_dedup(rows)
+    texts = dict(rows)
+    for r in substring.dedup(docs).collect():
+        bounds = substring.unit_bounds(texts[r["doc_id"]])[1]
+        new, n, spans = substring.cut(texts[r["doc_id"]], set(range(len(bounds))) - set(want[r["doc_id"]]))
+        assert (r["text"], r["n_removed"], [(s["start"], s["end"]) for s in r["removed"]]) == (new, n, spans)
+
+
+def test_substring_passage_inside_a_line(spark):
+    passage = "The passage that is shared has many words. It goes on with several more of them here. And it ends with one last long sentence now."
+    rows = [(1, f"Alpha beta gamma.\n{passage}\nDelta."), (2, f"quite other words before it {passage} and other words after"), (3, "nothing shared in this one at all, only words of its own")]
+    out = {r["doc_id"]: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == rows[0][1] and out[3]["text"] == rows[2][1]
+    assert passage[20:] not in out[2]["text"] and out[2]["text"].startswith("quite other words before it") and out[2]["text"].endswith("and other words after")
+    original, s = rows[1][1], out[2]["removed"]
+    assert "".join(original[x["start"] : x["end"]] for x in s).strip() in passage
+
+
+def test_substring_odd_rows(spark, odd):
+    out = substring.dedup(odd.withColumn("n_units", F.lit("mine"))).collect()
+    assert len(out) == len(ODD) and {r["doc_id"]: r["text"] for r in out}[1] is None and substring.dedup(odd.limit(0)).count() == 0
+    assert sorted(r["n_removed"] for r in out if r["doc_id"] == 4) == [0, 0]
+
+
+# -- 4
+
+
+def call(**k):
+    return f"<tool_call>{json.dumps(k)}</tool_call>"
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "x " + call(id="a", name="search", arguments={"query": "q"}) + call(id="b", name="search", arguments={"query": {"$ref": "a"}})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": {"z": 1, "a": "é"}})), (1, 3, "tool", '<tool_result>{"id":"none","content":1}</tool_result>'),
+        (1, 4, "assistant", call(id="a", name="calculate", arguments={}) + call(id="c", name="foo", arguments={"x": {"$ref": "d"}}) + call(id="d", name="foo", arguments=[{"$ref": "c"}]) + "<tool_call>{id bad</tool_call>"),
+        (2, 0, "assistant", call(id="a", name="calculate", arguments={"expression": "1"})), (None, None, None, None), (3, 0, "user", LONG), (3, 0, "user", LONG),
+    ]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("json", F.lit("mine"))
+    out = chat.format_chats(d).collect()
+    assert len(out) == len(rows)
+    at = {(r["conv_id"], r["turn"]): r for r in out}
+    events = lambda c, t: [(e["id"], e["kind"], e["level"], e["status"], e.get("error")) for e in json.loads(at[c, t]["json"])["events"]]
+    assert events(1, 1) == [("a", "call", 0, "linked", None), ("b", "call", 2, "unanswered", "$.query: not of type string")]
+    assert events(1, 2) == [("a", "result", 1, "linked", None)] and events(1, 3) == [("none", "result", None, "orphan", None)]
+    assert events(1, 4) == [("c", "call", None, "unanswered", "unknown tool"), ("d", "call", None, "unanswered", "unknown tool"), ("a", "call", 0, "duplicate", "$.expression: missing")]
+    assert events(2, 0) == [("a", "call", 0, "unanswered", None)] and at[1, 4]["n_malformed"] == 1
+    assert at[1, 2]["json"].startswith('{"content":"","conversation":1,"events":[{"id":"a"') and '{"a":"é","z":1}' in at[1, 2]["json"]
+    assert chat.format_chats(d.limit(0)).count() == 0
+
+
+def test_chat_chain(spark):
+    rows = [(1, i, "assistant", call(id=f"c{i}", name="x", arguments={"p": {"$ref": f"c{i - 1}"}} if i else {})) for i in range(6)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["turn"]: r["first_level"] for r in out} == {i: 2 * i for i in range(6)}
+
+
+def test_schema_validation():
+    s = {"type": "object", "properties": {"n": {"type": ["integer", "null"], "minimum": 0}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "additionalProperties": False}
+    assert [chat.validate(v, s) for v in ({"n": None}, {"n": -1}, {"n": True}, {"l": [1, 3]}, {"m": 1}, [])] == [None, "$.n: out of range", "$.n: not of type integer/null", "$.l[1]: not in enum", "$.m: not allowed", "$: not of type object"]
+
+
+# -- 5
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+STRANGE = ["", " ", "\n\n  \n", "a b  c", "don't we'll I'M", "日本語テキスト" * 400, "<|endoftext|><|endoftext|> x<|endoftext|>", "é" * 3000, "\x00\x1c\x85 \x0b", "x  y   z\t\n  end   ", "1234567 89,0 !!! ??", "🙂🙃 " * 600]
+
+
+def test_bpe_encoder_agrees(tokenizer):
+    c = bpe.codec(tokenizer_path())
+    for text in STRANGE + [LONG, "ab " * 4000 + "c" * 2500]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert c.encode(text) == ids and c.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
+        parts = bpe.cores(text)
+        assert all(0 <= a <= b <= len(text) for a, b in parts) and [e for _, e in parts] == sorted(e for _, e in parts)
+        for every in (1, 2, 3):
+            known = {i: c.encode(text[a:b]) for i, (a, b) in enumerate(parts) if b > a and i % every == 0}
+            assert bpe.assemble(text, known, c) == ids
+
+
+def test_bpe_chunks_are_local():
+    tail = " ".join(f"word{i}" for i in range(2000))
+    a, b = "one start " + tail, "another, longer beginning of the text " + tail
+    ends = [{len(t) - e for e in bpe.chunk_cuts(t)} for t in (a, b)]
+    assert len(ends[0]) > 5 and len(ends[0] & ends[1]) >= len(ends[0]) - 1
+
+
+def test_bpe_query(spark, docs, odd, tokenizer):
+    for d in (docs, odd, spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(STRANGE)], DOCS)):
+        d = d.select("doc_id", "text").withColumn("exact", F.lit(1))
+        got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(d, tokenizer_path()).collect())
+        want = collections.Counter()
+        for r in d.collect():
+            ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+            want[r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+        assert got == want
+    assert bpe.encode(odd.limit(0), tokenizer_path()).count() == 0
+
+
+# -- 6
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: root(n) for n in linked}
+
+
+def brute_groups(rows):
+    k = [neardup.shingles((t or "").lower().split()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(k[i]) and (neardup.similarity(k[i], k[j]) > 0 or (rows[i][1] or "").lower().split() == (rows[j][1] or "").lower().split()):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows)) if len(k[i])}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows, n = [], 0
+    for _ in range(12):
+        base = [f"v{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(6):
+            words = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 4)):
+                words[at] = "edit"
+            rows.append((n, " ".join(words)))
+            n += 1
+    rows += [(n, "short"), (n + 1, "Short "), (n + 2, "other"), (n + 3, rows[0][1].upper()), (n + 4, " ".join(reversed(rows[0][1].split())))]
+    out = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in out} == brute_groups(rows)
+    assert sum(r["kept"] for r in out) == len({r["group_id"] for r in out})
+
+
+def test_similarity():
+    a = neardup.shingles([f"a{i}" for i in range(104)])
+    assert neardup.similarity(a, a) == 1 and neardup.similarity(a, a[:90]) == pytest.approx(0.9) and neardup.similarity(a, a[:79]) == 0
+    assert neardup.similarity(a, np.concatenate([a[50:], a[:50]])) == 0
+    same = neardup.shingles(["x"] * 50)
+    assert len(set(same.tolist())) == 46
+
+
+def test_near_duplicates_odd_rows(spark, odd):
+    out = neardup.groups(odd.select("doc_id", "text")).collect()
+    assert len(out) == len(ODD) and all(r["kept"] for r in out if r["group_id"] is None and r["doc_id"] is not None)
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "None", "3", "4", "5", "6", "7"])
+    assert neardup.groups(odd.limit(0).select("doc_id", "text")).count() == 0
+
+
+# -- 7
+
+
+def test_language_model(spark, docs):
+    out = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    rows = docs.collect()
+    counts = collections.Counter(w for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for w in [*lm.tokens(r["text"]), lm.END])
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        own, got = [*lm.tokens(r["text"]), lm.END], out[r["doc_id"]]
+        assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert got["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert got["score"] < 0 and got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+
+
+def test_language_model_is_a_distribution():
+    words, ones = [b"abc", b"abd", b"x", lm.END], np.ones(4)
+    tables = [np.zeros((1 << log, 2), np.uint32) for log in lm.TABLE_LOGS]
+    lm.count_tables(words, ones, tables)
+    t = lm.Trainer(tables)
+    t.learn(words, ones)
+    model = lm.Model(tables, t.weights, t.map)
+    # All one-byte continuations of a prefix that is closed at once, and the rest of the mass: bits of one byte sum to 1.
+    total = sum(2 ** model.log2([bytes([b])])[0] for b in range(256))
+    assert 0 < total <= 1.0001
+    singles = model.log2([b"ab", b"abc", b"zzz"])
+    assert singles[1] > singles[2]
+
+
+def test_language_model_odd_rows(spark, odd):
+    out = lm.score_documents(odd).collect()
+    assert len(out) == len(ODD) and all(math.isfinite(r["score"]) for r in out)
+    twice = [(r["n_known"], r["base_score"]) for r in out if r["doc_id"] == 4]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 5)} == {1}
+    assert lm.score_documents(odd.limit(0)).count() == 0
+
+
+# -- 8
+
+
+def test_language_id(spark):
+    docs = spark.createDataFrame([("the house and the dog are here with this", "en"), ("das haus und der hund sind hier mit dieser", "de"), (None, "fr"), ("x", None)] * 5, "text string, lang string")
+    page = lambda lang, text: f"<html lang={lang}><head><script>the the the</script></head><body>{text}</body></html>"
+    rows = [(i, f"http://www.host.de/{i}", page('"de"', "der hund und das haus sind hier")) for i in range(20)]
+    rows += [(100, "http://www.host.de/x", page("en", "")), (101, "http://other.com/", page("en", "the dog and this house")), (102, None, None), (103, "nonsense", "<html>"), (104, "https://u@h.example.org:80/a", page("zz", "the dog"))]
+    rows.append(rows[-1])
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lang", F.lit("mine"))
+    out = {r["page_id"]: r for r in langid.identify(d, docs).collect()}
+    assert langid.identify(d, docs).count() == len(rows)
+    assert out[0]["lang"] == "de" and out[101]["lang"] == "en" and out[100]["lang"] == "de" and out[104]["declared"] == "other" and out[104]["host"] == "h.example.org"
+    assert all(0 < r["probability"] <= 1 for r in out.values())
+    assert langid.identify(d, docs.limit(0)).where("lang IS NOT NULL").count() == 0 and langid.identify(d.limit(0), docs).count() == 0
+
+
+# -- 9
+
+
+def brute_mix(rows):
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(n for n, (*_, x) in zip(size, rows, strict=True) if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    left, open_, target = 1.5 * sum(size), set(sources), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 2 * total[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * total[s]
+            left -= target[s]
+        open_ -= over
+    return size, total, target
+
+
+def test_mixing(spark, docs, odd):
+    for d in (docs, odd):
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in d.collect()]
+        _, total, target = brute_mix(rows)
+        out = mixing.mix(d.withColumn("size", F.lit("mine"))).collect()
+        assert len(out) == len(rows)
+        taken = collections.Counter()
+        for r in out:
+            taken[r["source"]] += r["taken"]
+            assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        for s, t in target.items():
+            assert abs(taken[s] - math.floor(t + 1e-6)) <= 1
+        again = mixing.mix(d.repartition(7)).select("doc_id", "taken").collect()
+        assert sorted(map(str, again)) == sorted(str(r) for r in mixing.mix(d).select("doc_id", "taken").collect())
+
+
+def test_mixing_rows(spark, docs, odd):
+    for d in (docs, odd):
+        want = {(r["doc_id"], r["text"]): -(-r["taken"] // r["size"]) if r["size"] else 0 for r in mixing.mix(d).collect()}
+        got = collections.Counter((r["doc_id"], r["text"]) for r in mixing.mix_rows(d).collect())
+        copies = collections.Counter((r["doc_id"], r["text"]) for r in d.collect())
+        assert got == collections.Counter({k: n * copies[k] for k, n in want.items() if n})
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# -- 10
+
+
+def brute_repeat(words, n=8):
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - n + 1):
+        windows[tuple(words[i : i + n])].append(i)
+    return len({j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + n)})
+
+
+def test_repeat_words():
+    rng = np.random.default_rng(2)
+    for size in (0, 7, 8, 9, 40, 200, 900):
+        for vocabulary in (1, 2, 3, 50):
+            words = [b"w%d" % x for x in rng.integers(0, vocabulary, size)]
+            words = words + words[: size // 3]
+            assert rules.repeat_words(words) == brute_repeat(words)
+
+
+def test_rules(spark, odd):
+    out = rules.apply_rules(odd.withColumn("kept", F.lit("mine"))).collect()
+    assert len(out) == len(ODD)
+    by = {r["doc_id"]: r for r in out}
+    assert by[1]["n_words"] == 0 and by[1]["base_failed"] and not by[1]["kept"] and by[6]["n_symbols"] == 4 and by[3]["n_words"] == 30_000
+    assert rules.apply_rules(odd.limit(0)).count() == 0
+
+
+def test_cascade_order_and_verdict(spark):
+    ticks = iter(range(1000))
+    order, found = rules.cascade_order(["a b"] * 4, {"never": lambda d: False, "always": lambda d: True, "half": lambda d: d.n_words > 5}, clock=lambda: next(ticks))
+    assert order[0] == "always" and found["always"][1] == 1.0
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = list(rules.RULES)
+    one = {r["doc_id"]: r["kept"] for r in rules.apply_rules(d, order=names).collect()}
+    assert one == {r["doc_id"]: r["kept"] for r in rules.apply_rules(d, order=names[::-1], measures=False).collect()}
