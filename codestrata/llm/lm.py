@@ -6,11 +6,15 @@ far), how often a 0 and a 1 followed. Their log odds are combined by weights tha
 context are); the weights are learned online, each word predicted from counts that leave out its own occurrence. An adaptive map
 over (gate, quantised prediction) refines the result. The sum over all bits is a probability of the text; bits per byte follow.
 
+Whole words are known, too: a word's probability is its discounted count in the document's class, backed off to its discounted count in all
+classes, backed off to its spelling. The classes are the training documents' languages, each in two styles (do many words end in a
+symbol?). A document's class is part of its code: the one under which its frequent words are likeliest, at the cost of its prior.
+
 Everything is counted over all training documents. The contexts stay within a word, so a word's probability depends on nothing else and is
 computed once per distinct word of the corpus, not per occurrence.
 
 Scale: counts of words are pre-aggregated in each task and summed by word; the hashed tables have a fixed size (``TABLE_LOGS``) and are
-summed in slices; they are broadcast (about 70 MB at any input size). To score documents, the words above a count
+summed in slices; they are broadcast with one byte a count (14 MB at any input size). To score documents, the words above a count
 threshold (at most ``HOT_WORDS``, in a broadcast dictionary) are looked up at once; all others are requested by word: a request holds
 a word and packed (document, count) pairs of one task, so a word in a third of all documents costs a row a task.
 
@@ -32,12 +36,15 @@ from pyspark.sql import types as T
 from .common import ASCII_LOWER, crc32_mod, materialise, shuffle_partitions
 
 END = b"\n"
-TABLE_LOGS = (16, 19, 21, 22, 22)
+TABLE_LOGS = (16, 19, 21, 21, 21)
 #: The prefix predictor counts prefixes that occur so often at least: rarer ones would only fill its table.
 PREFIX_MIN = 8
 HOT_WORDS, HOT_LENGTH = 1 << 18, 64
 FLUSH_WORDS, FLUSH_PAIRS = 400_000, 2_000_000
 BATCH_WORDS = 20_000
+#: The most frequent languages that are classes of their own, and the share of words ending in a symbol that makes the other style.
+LANGUAGES, STYLE_SHARE = 7, 0.3
+_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 ORDERS = len(TABLE_LOGS)
 GATES, STEPS = 48, 33
 SLICE = 16
@@ -92,6 +99,17 @@ def gate(known_prefix: np.ndarray, known_long: np.ndarray) -> np.ndarray:
     return a * 4 + b
 
 
+#: Counts are kept as bytes on a logarithmic scale, exact up to 10: code -> count, and count plus 0.3 -> its logarithm.
+COUNTS = 2 ** (np.arange(256) / 11) - 1
+COUNTS[np.rint(np.log2(np.arange(11) + 1) * 11).astype(int)] = np.arange(11)
+LOGS = np.log(COUNTS + 0.3)
+KNOWN = np.log2(COUNTS[:, None] + COUNTS[None, :] + 1).reshape(-1)
+
+
+def encode_counts(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(n + 1.0) * 11), 255).astype(np.uint8)
+
+
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.3) / (n0 + 0.3))
 
@@ -133,7 +151,7 @@ class Trainer:
             slots, bit = e.bit(b)
             x = np.ones((len(bit), ORDERS + 1))
             for k in range(ORDERS):
-                n = self.tables[k][slots[k]].astype(np.float64)
+                n = COUNTS[self.tables[k][slots[k]]]
                 own = (common if k == 4 else np.ones(len(bit), bool)).astype(np.float64)
                 n[np.arange(len(bit)), bit] = np.maximum(0, n[np.arange(len(bit)), bit] - own)
                 x[:, k] = odds(n[:, 0], n[:, 1])
@@ -153,11 +171,10 @@ class Trainer:
 
 
 class Model:
-    """Frozen tables (as log odds and known counts), weights and map."""
+    """Frozen tables (bytes), weights and map."""
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray, map_: np.ndarray):
-        self.odds = [odds(t[:, 0].astype(np.float64), t[:, 1].astype(np.float64)).astype(np.float32) for t in tables]
-        self.known = [np.minimum(np.log2(t.sum(1, dtype=np.float64) + 1), 31).astype(np.float32).view() for t in tables[3:]]
+        self.tables = tables
         self.weights = weights
         centre = squash((np.arange(STEPS) - STEPS // 2) / 2)
         seen = map_.sum(2)
@@ -170,40 +187,53 @@ class Model:
         cost = np.zeros(len(e.byte))
         for b in range(8):
             slots, bit = e.bit(b)
-            g = np.minimum(self.known[1][slots[4]].astype(np.int64), 11) * 4 + np.minimum((self.known[0][slots[3]] / 3).astype(np.int64), 3)
+            found = [t[s] for t, s in zip(self.tables, slots, strict=True)]
+            known_long, known_prefix = [KNOWN[f[:, 0].astype(np.int64) * 256 + f[:, 1]] for f in found[3:]]
+            g = np.minimum(known_prefix.astype(np.int64), 11) * 4 + np.minimum((known_long / 3).astype(np.int64), 3)
             w = self.weights[g]
             z = w[:, -1].copy()
             for k in range(ORDERS):
-                z += w[:, k] * self.odds[k][slots[k]]
+                z += w[:, k] * (LOGS[found[k][:, 1]] - LOGS[found[k][:, 0]])
             z = np.clip((z + self.refined[g, _steps(z)]) / 2, -20, 20)
             cost -= np.logaddexp(0, np.where(bit == 1, -z, z))
         return np.add.reduceat(cost[e.inverse], e.starts) / np.log(2)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all documents; c counts training ones only. ``docs`` has text and train."""
+def style(words: list[bytes]) -> int:
+    return int(sum([w[-1] not in _ALNUM for w in words]) > STYLE_SHARE * len(words))
+
+
+def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, c array) over all documents: counts by class, of training documents only. ``docs`` has text, train and lang."""
+    number = {x: 2 * i for i, x in enumerate(langs)}
+    other, size = 2 * len(langs), 2 * len(langs) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
+            n = [len(f) for f in found]
+            return pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.binary()), pa.array(np.repeat(np.arange(size), n).astype(np.int32)), pa.array([c for f in found for c in f.values()], pa.int64())], ["word", "k", "c"])
 
-        found: Counter = Counter()
+        found: list[Counter] = [Counter() for _ in range(size)]
         for batch in batches:
-            for text, train in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for text, train, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = tokens(text)
                 if train:
-                    found.update(own)
-                    found[END] += 1
+                    here = found[number.get(lang, other) + style(own)]
+                    here.update(own)
+                    here[END] += 1
                 else:
+                    here = found[other]
                     for w in own:
-                        if w not in found:
-                            found[w] = 0
-                if len(found) > FLUSH_WORDS:
+                        if w not in here:
+                            here[w] = 0
+                if sum(map(len, found)) > FLUSH_WORDS:
                     yield rows()
-                    found.clear()
+                    for f in found:
+                        f.clear()
         yield rows()
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = docs.select("text", "train", "lang").mapInArrow(run, "word binary, k int, c long")
+    return counted.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c"))), F.lit(0)).alias(f"c{i}") for i in range(size)]).select("word", F.array(*[f"c{i}" for i in range(size)]).alias("by"))
 
 
 def _words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -246,20 +276,19 @@ def fit_tables(vocab: DataFrame) -> list[np.ndarray]:
                 own = sums.setdefault((k, i), np.zeros(1 << SLICE, np.uint64))
                 own[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint64)
         for (k, i), own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["k", "i", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([encode_counts(own).tobytes()], pa.binary())], ["k", "i", "counts"])
 
     parts = vocab.select("word", "c").mapInArrow(part, "k int, i int, cells binary, counts binary")
     n = shuffle_partitions(vocab.sparkSession)
     sums = parts.repartition(n, "k", "i").mapInArrow(add, "k int, i int, counts binary")
-    tables = [np.zeros(2 << log, np.uint32) for log in TABLE_LOGS]
-    for row in sums.toLocalIterator():
-        tables[row["k"]][row["i"] << SLICE : (row["i"] + 1) << SLICE] = np.frombuffer(row["counts"], np.uint32)[: len(tables[row["k"]])]
+    tables = [np.zeros(2 << log, np.uint8) for log in TABLE_LOGS]
+    for row in sums.collect():  # the tables' fixed size in all
+        tables[row["k"]][row["i"] << SLICE : (row["i"] + 1) << SLICE] = np.frombuffer(row["counts"], np.uint8)
     return [t.reshape(-1, 2) for t in tables]
 
 
-def fit_weights(vocab: DataFrame, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights averaged over the tasks by what each gate saw there, and the summed adaptive map."""
-    shared = vocab.sparkSession.sparkContext.broadcast(tables)
+def fit_weights(vocab: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Weights averaged over the tasks by what each gate saw there, and the summed adaptive map. ``shared``: the broadcast tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trainer(shared.value)
@@ -280,24 +309,51 @@ def fit_weights(vocab: DataFrame, tables: list[np.ndarray]) -> tuple[np.ndarray,
     return weights, map_
 
 
-def score_words(vocab: DataFrame, model: Model, discount: float, n: int, v: int) -> DataFrame:
-    """(word, c, lp): lp is the model's log10 probability of the word: seen as a whole (its count less the discount), or spelled."""
-    shared = vocab.sparkSession.sparkContext.broadcast(model)
+class Classes:
+    """Numbers of tokens and types, discount and prior of each class and of all together (the last)."""
+
+    def __init__(self, n: list[int], v: list[int], n1: list[int], n2: list[int], docs: list[int]):
+        self.n, self.v = np.maximum(np.array(n, np.float64), 1), np.array(v, np.float64)
+        ones, twos = np.array(n1, np.float64), np.array(n2, np.float64)
+        self.discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.05, 0.95)
+        self.back = np.minimum(self.discount * self.v / self.n, 1)
+        known = np.array(docs[:-1], np.float64)
+        self.active = np.flatnonzero(known)
+        self.prior = np.log10(known[self.active] / known.sum()) if len(self.active) else np.zeros(1)
+
+    def log10(self, by: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """(words, active classes): log10 probability, from (words, classes) counts and the log10 probability of the spelling."""
+        if not len(self.active):
+            return spelled[:, None]
+        p = 10.0**spelled
+        whole = np.maximum(by.sum(1) - self.discount[-1], 0) / self.n[-1]
+        everywhere = whole + self.back[-1] * p
+        # The logarithm of a long word's spelling may be below any float: then the back-off is added up in logarithms.
+        low = np.log10(np.maximum(everywhere, 1e-300))
+        low = np.where(everywhere > 1e-280, low, spelled + np.log10(self.back[-1]))
+        a = self.active
+        own = np.maximum(by[:, a] - self.discount[a], 0) / self.n[a]
+        return np.where(own > 0, np.log10(own + self.back[a] * 10.0 ** low[:, None], where=own > 0, out=np.zeros_like(own)), low[:, None] + np.log10(self.back[a]))
+
+
+def score_words(vocab: DataFrame, shared, weights: np.ndarray, map_: np.ndarray, classes: Classes) -> DataFrame:
+    """(word, c, lp array): the model's log10 probabilities of the word in the active classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, counts in _words(batches, 0):
-            spelled = shared.value.log2(words) * np.log10(2)
-            if n:
-                with np.errstate(divide="ignore"):
-                    seen = np.log10(np.maximum(counts - discount, 0) / n)
-                spelled = np.logaddexp(seen * np.log(10), (spelled + np.log10(discount * v / n)) * np.log(10)) / np.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(spelled, pa.float64())], ["word", "c", "lp"])
+        model = Model(shared.value, weights, map_)
+        for batch in batches:
+            by = np.array(batch.column("by").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            at = 0
+            for words, counts in _words(iter([batch]), 0):
+                lp = classes.log10(by[at : at + len(words)], model.log2(words) * np.log10(2)).astype(np.float32)
+                at += len(words)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(list(lp), pa.list_(pa.float32()))], ["word", "c", "lp"])
 
-    return vocab.select("word", "c").mapInArrow(run, "word binary, c long, lp double")
+    return vocab.select("word", "c", "by").mapInArrow(run, "word binary, c long, lp array<float>")
 
 
-def _hot(scored: DataFrame) -> dict[bytes, tuple[int, float]]:
-    """The most frequent words: those above the lowest count bucket by which there are at most HOT_WORDS."""
+def _hot(scored: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The most frequent words, those above the lowest count bucket by which there are at most HOT_WORDS: word -> row, counts, lp."""
     bucket = F.floor(F.log2("c") * 16).cast("int")
     short = scored.where((F.col("c") > 0) & (F.length("word") <= HOT_LENGTH)).withColumn("bucket", bucket)
     sizes, n, least = {r["bucket"]: r["count"] for r in short.groupBy("bucket").count().collect()}, 0, None
@@ -306,41 +362,54 @@ def _hot(scored: DataFrame) -> dict[bytes, tuple[int, float]]:
         if n > HOT_WORDS:
             break
         least = b
-    if least is None:
-        return {}
-    t = short.where(F.col("bucket") >= least).select("word", "c", "lp").toArrow()
-    return dict(zip(t.column(0).to_pylist(), zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True), strict=True))
+    t = short.where(F.col("bucket") >= (least if least is not None else 1 << 30)).select("word", "c", "lp").toArrow()
+    rows = t.num_rows
+    lp = np.array(t.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(rows, -1) if rows else np.zeros((0, 1), np.float32)
+    return {w: i for i, w in enumerate(t.column(0).to_pylist())}, t.column(1).to_numpy(), lp
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc32_mod("doc_id", modulus) == held_out).alias("held_out"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"), (crc32_mod("doc_id", modulus) == held_out).alias("held_out"))
     d = d.withColumn("train", ~F.col("held_out")).withColumn("key", F.xxhash64("text", F.col("doc_id").cast("string")))
-    vocab = materialise(word_counts(d).union(docs.sparkSession.createDataFrame([(bytearray(END), 0)], "word binary, c long")).groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    totals = vocab.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    discount = min(0.95, max(0.05, totals["n1"] / max(1, totals["n1"] + 2 * totals["n2"])))
-    tables = fit_tables(vocab)
-    model = Model(tables, *fit_weights(vocab, tables))
-    scored = materialise(score_words(vocab, model, discount, n, v), "lm-scored")
-    end = scored.where(F.col("word") == F.lit(END)).first()
+    langs = [r["lang"] for r in d.where("train AND lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    size = 2 * len(langs) + 2
+    counted = word_counts(d, langs)
+    nothing = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.array(*[F.lit(0).cast("long")] * size).alias("by"))
+    counted = counted.unionByName(nothing).groupBy("word").agg(*[F.sum(F.col("by")[i]).alias(f"c{i}") for i in range(size)])
+    vocab = materialise(counted.select("word", sum([F.col(f"c{i}") for i in range(1, size)], F.col("c0")).alias("c"), F.array(*[f"c{i}" for i in range(size)]).alias("by")), "lm-words")
+    of = [F.col("by")[i] for i in range(size)] + [F.col("c")]
+    made = vocab.agg(*[F.struct(F.coalesce(F.sum(x), F.lit(0)).alias("n"), *[F.count(F.when(cond, 1)).alias(name) for name, cond in (("v", x > 0), ("n1", x == 1), ("n2", x == 2))]).alias(f"s{i}") for i, x in enumerate(of)]).first()
+    n, v = made[-1]["n"], made[-1]["v"]
+    end = vocab.where(F.col("word") == F.lit(END)).first()
+    classes = Classes(*[[row[name] for row in made] for name in ("n", "v", "n1", "n2")], [*end["by"], end["c"]])
+    tables = d.sparkSession.sparkContext.broadcast(fit_tables(vocab))
+    scored = materialise(score_words(vocab, tables, *fit_weights(vocab, tables), classes), "lm-scored")
     below = np.log10(n + v + 1)
-    hot = d.sparkSession.sparkContext.broadcast({w: (float(np.log10(c + 1) - below), lp) for w, (c, lp) in _hot(scored).items()})
-    end_base, end_lp, end_known = float(np.log10(end["c"] + 1) - below), end["lp"], int(end["c"] > 0)
+    names, hot_counts, hot_lp = _hot(scored)
+    hot = d.sparkSession.sparkContext.broadcast((names, np.log10(hot_counts + 1) - below, hot_lp))
+    end_base, end_known = float(np.log10(end["c"] + 1) - below), int(end["c"] > 0)
+    end_lp = np.array(scored.where(F.col("word") == F.lit(END)).first()["lp"], np.float64) + classes.prior
+
+    def look_up(own: list[bytes]) -> tuple[int, float, np.ndarray]:
+        """How many of the words are hot, the sum of their base scores and their sums by class, with the end and the prior."""
+        known, base, lp = hot.value
+        at = np.array([i for w in own if (i := known.get(w)) is not None], np.int64)
+        return len(at), float(base[at].sum()), lp[at].sum(0, dtype=np.float64) + end_lp if len(at) else end_lp
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 own = tokens(text)
-                found = [known[w] for w in own if w in known]
-                out.append((len(own) + 1, len(found) + end_known, sum([x[0] for x in found]) + end_base, sum([x[1] for x in found]) + end_lp, len(text.encode("utf-8", "surrogatepass"))))
+                found, base, lp = look_up(own)
+                out.append((len(own) + 1, found + end_known, base + end_base, float(lp.max()), len(text.encode("utf-8", "surrogatepass"))))
             made = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("key"), *made], ["doc_id", "held_out", "key", "n_tokens", "known", "base", "lp", "bytes"])
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        known = hot.value[0]
         number: dict[bytes, int] = {}
         word_at: list[int] = []
         key_at: list[int] = []
@@ -357,9 +426,13 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
 
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = Counter([w for w in tokens(text) if w not in known])
+                words = tokens(text)
+                own = Counter([w for w in words if w not in known])
+                if not own:
+                    continue
+                k = int(look_up(words)[2].argmax())
                 word_at += [number.setdefault(w, len(number)) for w in own]
-                times += own.values()
+                times += [c << 8 | k for c in own.values()]
                 key_at += [key] * len(own)
                 if len(word_at) > FLUSH_PAIRS:
                     yield rows()
@@ -383,8 +456,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
                 continue
             n_each = [len(x) // 8 for x in keys]
             c = np.repeat(batch.column("c").to_numpy(), n_each)
-            lp = np.repeat(batch.column("lp").to_numpy(), n_each)
+            table = np.array(batch.column("lp").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
             t = np.frombuffer(b"".join(times), np.int32)
+            lp = table[np.repeat(np.arange(len(keys)), n_each), t & 255]
+            t = t >> 8
             parts.append((np.frombuffer(b"".join(keys), np.int64), t * (c > 0), t * (np.log10(c + 1) - below), t * lp))
             size += len(t)
             if size > FLUSH_PAIRS:

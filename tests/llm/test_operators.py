@@ -316,8 +316,9 @@ def test_language_model(spark, docs):
 
 def test_language_model_is_a_distribution():
     words, ones = [b"abc", b"abd", b"x", lm.END], np.ones(4)
-    tables = [np.zeros((1 << log, 2), np.uint32) for log in lm.TABLE_LOGS]
+    tables = [np.zeros((1 << log, 2)) for log in lm.TABLE_LOGS]
     lm.count_tables(words, ones, tables)
+    tables = [lm.encode_counts(t) for t in tables]
     t = lm.Trainer(tables)
     t.learn(words, ones)
     model = lm.Model(tables, t.weights, t.map)
