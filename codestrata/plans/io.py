@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths as P
 
@@ -16,16 +17,22 @@ STORED = ["services", "classes", "methods", "fields", "imports", "annotations",
 
 
 def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite") -> None:
-    """One Parquet table a kind; only the partitions of the snapshots at hand are replaced."""
+    """One Parquet table a kind; only the partitions of the snapshots at hand are replaced. Schemas are kept beside, for tables without rows."""
     for name in STORED:
         if name in tables:
-            tables[name].write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(f"{base}/{name}")
+            d = tables[name]
+            d.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(f"{base}/{name}")
+            d.sparkSession.createDataFrame([(d.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/schemas/{name}")
 
 
 def read_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    # Inferred partition types would turn a commit such as 123e4567 into a number.
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return {n: spark.read.parquet(f"{base}/{n}") for n in STORED if _exists(spark, f"{base}/{n}")}
+    out = {}
+    for n in STORED:
+        if _exists(spark, f"{base}/{n}"):
+            # The stored schema also keeps a commit such as 123e4567 from being read as a number.
+            schema = T.StructType.fromJson(json.loads(spark.read.text(f"{base}/schemas/{n}").first()[0]))
+            out[n] = spark.read.schema(schema).parquet(f"{base}/{n}")
+    return out
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
