@@ -296,12 +296,20 @@ def fit_weights(vocab: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
             t.learn(words, np.ones(len(words)))
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t.weights, t.mass, t.map)], ["weights", "mass", "map"])
 
-    weights, mass, map_ = np.zeros((GATES, ORDERS + 1)), np.zeros(GATES), np.zeros((GATES, STEPS, 2))
-    for row in vocab.select("word", "c").mapInArrow(run, "weights binary, mass binary, map binary").toLocalIterator():
-        own = np.frombuffer(row["mass"])
-        weights += np.frombuffer(row["weights"]).reshape(weights.shape) * own[:, None]
-        mass += own
-        map_ += np.frombuffer(row["map"]).reshape(map_.shape)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((GATES, ORDERS + 1)), np.zeros(GATES), np.zeros((GATES, STEPS, 2))]
+        for b in batches:
+            for w, m, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                own = np.frombuffer(m)
+                sums[0] += np.frombuffer(w).reshape(sums[0].shape) * own[:, None]
+                sums[1] += own
+                sums[2] += np.frombuffer(x).reshape(sums[2].shape)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], ["weights", "mass", "map"])
+
+    # One small row a task; they are added up as a stream.
+    schema = "weights binary, mass binary, map binary"
+    row = vocab.select("word", "c").mapInArrow(run, schema).repartition(1).mapInArrow(add, schema).first()
+    weights, mass, map_ = (np.frombuffer(row[i]).reshape(shape).copy() for i, shape in enumerate(((GATES, ORDERS + 1), (GATES,), (GATES, STEPS, 2))))
     seen = mass > 0
     overall = weights.sum(0) / max(1.0, mass.sum())
     weights[seen] /= mass[seen, None]
