@@ -180,7 +180,7 @@ def test_chat_chain(spark):
 
 
 def test_schema_validation():
-    s = {"type": "object", "properties": {"n": {"type": ["integer", "null"], "minimum": 0}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "additionalProperties": False}
+    s = {"type": "object", "properties": {"n": {"type": ["integer", "null"], "minimum": 0}, "l": {"items": {"enum": [1, 2]}, "type": "array"}}, "additionalProperties": False}
     assert [chat.validate(v, s) for v in ({"n": None}, {"n": -1}, {"n": True}, {"l": [1, 3]}, {"m": 1}, [])] == [None, "$.n: out of range", "$.n: not of type integer/null", "$.l[1]: not in enum", "$.m: not allowed", "$: not of type object"]
 
 
