@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VALID_SUFFIXES = [".java", ".yml", ".yaml", "Dockerfile", "DockerFile", "pom.xml", ".properties", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "docker-compose.yml", "docker-compose.yaml"]
-IGNORED_DIRS = [".git", ".gradle", ".idea", ".mvn", "build", "node_modules", "out", "target"]
+VALID_SUFFIXES = ".java pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts .properties .yml .yaml Dockerfile DockerFile".split()
+IGNORED_DIRS = "target build out node_modules .git .idea .gradle .mvn".split()
 
 
 def is_valid_file(path: Column, suffixes: list[str] | None = None, excluded: str = ".github") -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "{?}"
-MAPPINGS = ["RequestMapping", "GetMapping", "PutMapping", "PostMapping", "DeleteMapping", "PatchMapping"]
-REST_TYPES = ["RestTemplate", "OAuth2RestOperations", "OAuth2RestTemplate", "WebClient"]
-REST_METHODS = ["getForObject", "postForObject", "patchForObject", "put", "delete", "exchange", "get", "post", "options", "patch"]
+MAPPINGS = [f"{x}Mapping" for x in "Get Post Put Patch Delete Request".split()]
+REST_TYPES = "WebClient RestTemplate OAuth2RestTemplate OAuth2RestOperations".split()
+REST_METHODS = "exchange get post put patch delete options getForObject postForObject patchForObject".split()
 _BY_MAPPING = {"Get": "GET", "Post": "POST", "Delete": "DELETE", "Put": "PUT", "Patch": "PATCH"}
 _BY_CALL = {"getForObject": "GET", "get": "GET", "postForObject": "POST", "post": "POST", "patchForObject": "PATCH", "patch": "PATCH", "put": "PUT", "delete": "DELETE"}
 

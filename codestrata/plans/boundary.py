@@ -15,12 +15,12 @@ from ..operators.evidence import THRESHOLD, WEIGHTS, accepted, score
 from ..operators.ownership import leaf_roots
 from ..sources import config_files as C
 
-BUILD_FILES = ["pom.xml", "build.gradle", "build.gradle.kts"]
+BUILD_FILES = "pom.xml build.gradle build.gradle.kts".split()
 DOCKER_FILES = ["dockerfile"]
-COMPOSE_FILES = ["docker-compose.yml", "docker-compose.yaml"]
-CONFIG_FILES = ["application.yml", "application.yaml", "application.properties"]
-GRADLE_FILES = ["settings.gradle", "settings.gradle.kts", "build.gradle", "build.gradle.kts"]
-DEPLOYMENT_DIRS = ["chart", "charts", "deploy", "deployment", "deployments", "helm", "k8s", "kubernetes"]
+COMPOSE_FILES = [f"docker-compose.{x}" for x in ("yml", "yaml")]
+CONFIG_FILES = [f"application.{x}" for x in ("yml", "yaml", "properties")]
+GRADLE_FILES = [f"{x}.gradle{y}" for x in ("settings", "build") for y in ("", ".kts")]
+DEPLOYMENT_DIRS = "k8s kubernetes helm charts chart deployments deployment deploy".split()
 KEY = ["repo", "branch", "commit"]
 
 

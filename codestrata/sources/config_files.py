@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRADLE = {"build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"}
+GRADLE = {f"{x}.gradle{y}" for x in ("build", "settings") for y in ("", ".kts")}
 
 
 def _plain(value):

@@ -2,7 +2,7 @@ import pytest
 
 from codestrata.plans.boundary import detect
 
-POM = "<project><modelVersion>4.0.0</modelVersion><parent><artifactId>parent</artifactId></parent><artifactId>{}</artifactId></project>"
+POM = "<project><parent><artifactId>parent</artifactId></parent><artifactId>{}</artifactId></project>"
 BOOT = "package a;\n@SpringBootApplication\npublic class App {}\n"
 CONTROLLER = "@RestController\n@RequestMapping(\"/x\")\nclass C {}\n"
 YML = "spring:\n  application:\n    name: {}\n"

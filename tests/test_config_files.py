@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.sources import config_files as C
 from codestrata.sources import system_config as SC
@@ -28,11 +29,16 @@ def test_frame(spark):
 
 def test_docker_column_agrees(spark):
     text = "FROM a \n\n RUN b\n"
-    got = spark.createDataFrame([(text,)], "t string").select(C.docker_json("t" and __import__("pyspark").sql.functions.col("t"))).first()[0]
+    got = spark.createDataFrame([(text,)], "t string").select(C.docker_json(F.col("t"))).first()[0]
     assert json.loads(got) == C.read_docker(text)
 
 
-GOOD = {"systemName": "s", "systemRepositories": [{"repoBranchPair": {"repositoryURL": "https://github.com/a/b.git", "branchName": "main"}, "commitID": "x"}]}
+def system_config(name="s", **repo):
+    pair = {k: v for k, v in (("branchName", repo.get("branch")), ("repositoryURL", repo.get("url"))) if v is not None}
+    return {"systemName": name, "systemRepositories": [{"commitID": repo.get("commit"), "repoBranchPair": pair}] if repo else []}
+
+
+GOOD = system_config(url="https://github.com/a/b.git", branch="main", commit="x")
 
 
 def test_system_config(spark, tmp_path):
@@ -42,7 +48,7 @@ def test_system_config(spark, tmp_path):
     assert [tuple(r) for r in SC.config_frame(spark, str(tmp_path / "c.json")).collect()] == [("s", "https://github.com/a/b.git", "main", "x", "b")]
 
 
-@pytest.mark.parametrize("bad", [{"systemName": " "}, {"systemRepositories": []}, {"systemRepositories": [{"repoBranchPair": {"repositoryURL": "http://x/b.git", "branchName": "m"}, "commitID": ""}]}, {"systemRepositories": [{"repoBranchPair": {"branchName": "m"}, "commitID": ""}]}])
+@pytest.mark.parametrize("bad", [system_config(" ", url="https://github.com/a/b.git", branch="m", commit=""), system_config(), system_config(url="http://x/b.git", branch="m", commit=""), system_config(branch="m", commit=""), system_config(url="https://github.com/a/b.git", branch="m")])
 def test_bad_config(bad):
     with pytest.raises(ValueError):
-        SC.validate(GOOD | bad)
+        SC.validate(bad)
