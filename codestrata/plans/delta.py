@@ -99,3 +99,19 @@ def system_change(old_commits: DataFrame, new_commits: DataFrame, file_delta: Da
     as_map = lambda d: d.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("repo", "commit")))).alias("m"))
     n = file_delta.groupBy("change_type").count()
     return as_map(old_commits).select(F.col("m").alias("old_commits")).join(as_map(new_commits).select(F.col("m").alias("new_commits"))).join(n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("change_type", "count")))).alias("changes")))
+
+
+def remove_components(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """``base`` without the components of ``keys``; KeyError if it lacks one of them."""
+    absent = keys.select(*COMPONENT_KEY).join(base.select(*COMPONENT_KEY), COMPONENT_KEY, "left_anti").limit(3).collect()
+    if absent:
+        raise KeyError(f"no such component: {[r['component_id'] for r in absent]}")
+    return D.remove_by_key(base, keys, COMPONENT_KEY)
+
+
+def children(base: DataFrame, parents: DataFrame) -> DataFrame:
+    """Components of ``base`` below ``parents`` (repo, path, component_id), at any depth: the tree is class, member, call."""
+    p = parents.select("repo", "path", F.col("component_id").alias("parent_component_id"))
+    direct = base.join(p, ["repo", "path", "parent_component_id"], "left_semi")
+    below = base.join(direct.select("repo", "path", F.col("component_id").alias("parent_component_id")), ["repo", "path", "parent_component_id"], "left_semi")
+    return direct.unionByName(below).distinct()

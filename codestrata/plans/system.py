@@ -52,3 +52,24 @@ def create_delta(old_files: DataFrame, new_files: DataFrame) -> tuple[DataFrame,
 
 def merge(base_components: DataFrame, component_delta: DataFrame) -> DataFrame:
     return delta.merge_components(base_components, component_delta)
+
+
+def write_delta(file_changes: DataFrame, components: DataFrame, base: str) -> None:
+    """Both tables of a delta as Parquet."""
+    file_changes.write.mode("overwrite").parquet(f"{base}/files")
+    components.write.mode("overwrite").parquet(f"{base}/components")
+
+
+def read_delta(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{base}/files"), spark.read.parquet(f"{base}/components")
+
+
+def create_delta_and_write(old_files: DataFrame, new_files: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    write_delta(*create_delta(old_files, new_files), base)
+    return read_delta(old_files.sparkSession, base)
+
+
+def merge_and_write(base_components: DataFrame, component_delta: DataFrame, target: str) -> DataFrame:
+    """The merged components, written to ``target``, which must be another folder than the base's."""
+    merge(base_components, component_delta).write.mode("overwrite").parquet(target)
+    return base_components.sparkSession.read.parquet(target)

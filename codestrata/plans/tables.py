@@ -145,3 +145,20 @@ def call_graph(tables: dict[str, DataFrame], exclude_by: str = "service") -> Dat
     c = tables["rest_calls"].select(*KEY, "path", "component_id", F.col("service_name").alias("service"), F.col("service_path").alias("service_id"), "url", "http_method")
     e = tables["endpoints"].select(*KEY, "path", "component_id", F.col("service_name").alias("service"), F.col("service_path").alias("service_id"), "url", "http_method", "required")
     return match_calls(c, e, exclude_by)
+
+
+def all_files(tables: dict[str, DataFrame]) -> DataFrame:
+    """Classes and configuration files of all services and orphans: (repo, branch, commit, path, service_path, kind)."""
+    cols = [*KEY, "path", "service_path"]
+    return tables["classes"].select(*cols, F.lit("class").alias("kind")).unionByName(tables["config_files"].select(*cols, F.lit("config").alias("kind"))).distinct()
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per service: classes by bucket, endpoints, REST calls and method calls."""
+    key = [*KEY, "service_path", "service_name"]
+    c = tables["classes"].groupBy(*key).pivot("role_bucket", [*dict.fromkeys(R.BUCKETS.values()), "unknowns"]).count().na.fill(0)
+    for name in ("endpoints", "rest_calls", "calls"):
+        n = tables[name].groupBy(*KEY, "service_path").agg(F.count("*").alias(f"n_{name}"))
+        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*KEY, "service_path")]
+        c = c.alias("l").join(n.alias("r"), on, "left").select("l.*", F.coalesce(f"r.n_{name}", F.lit(0)).alias(f"n_{name}"))
+    return c

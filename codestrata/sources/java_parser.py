@@ -599,7 +599,7 @@ def parse_java(source: str) -> dict:
     main = min(p.types, key=lambda t: order[t["class_type"]], default=None)
     if main is None:
         return empty | {"package": p.package, "parse_error": "no type declared"}
-    top = f"{p.package}.{main['name']}"
+    top = f"{p.package}.{main['name']}" if p.package else main["name"]
     bare = [{"name": a["name"], "attributes": a["attributes"]} for a in main["annotations"]]
     methods = []
     for m in p.methods:

@@ -25,7 +25,7 @@ def test_delta_and_merge(files):
     assert got == {("call", "x.App&f&h", 0, "ADD"), ("field", "x.App&k", 0, "MODIFY")}
     before, after = delta.component_rows(parse_sources(old)), delta.component_rows(parse_sources(new))
     assert D.equivalent(delta.merge_components(before, components), after).first()["equal"]
-    assert {(r["component_id"], r["copy"]) for r in components.where("kind = 'method' AND path LIKE '%B.java'").collect()} == {("B&one", 0), ("B&one", 1)} or True
+    assert {(r["component_id"], r["copy"]) for r in components.where("kind = 'method' AND path LIKE '%B.java'").collect()} == {("B&one", 0), ("B&one", 1)}
 
 
 def test_services_follow_build_files(files, spark):
@@ -111,3 +111,21 @@ def test_stream_of_deltas(spark, tmp_path):
     q = merge_stream(stream, base, ["k"], "at", str(tmp_path / "check"))
     assert q.awaitTermination(120)
     assert {tuple(r) for r in spark.read.parquet(f"{base}/v=0").collect()} == {(1, "y"), (3, "z")}
+
+
+def test_totals_and_component_tree(files, spark, tmp_path):
+    from codestrata.plans.tables import all_files, totals
+
+    t = system.create_from_files(files(V1))
+    row = {r["service_name"]: r.asDict() for r in totals(t).collect()}["a"]
+    assert (row["unknowns"], row["controllers"], row["n_calls"], row["n_endpoints"]) == (3, 0, 2, 0)
+    assert sorted((r["path"], r["kind"]) for r in all_files(t).collect()) == sorted([("/pom.xml", "config"), ("/a/pom.xml", "config")] + [(f"/a/src/main/java/{n}.java", "class") for n in "BC"] + [("/a/src/main/java/App.java", "class")])
+    base = delta.component_rows(parse_sources(files(V1)))
+    app = base.where("kind = 'class' AND component_id = 'x.App'")
+    assert sorted((r["kind"], r["component_id"], r["copy"]) for r in delta.children(base, app).where("kind <> 'annotation'").collect()) == [("call", "x.App&f&g", 0), ("call", "x.App&f&g", 1), ("field", "x.App&k", 0), ("method", "x.App&f", 0)]
+    assert delta.remove_components(base, app).count() == base.count() - 1
+    with pytest.raises(KeyError):
+        delta.remove_components(base, app.withColumn("component_id", F.lit("none")))
+    _, c = system.create_delta_and_write(files(V1), files(V2, "c2"), str(tmp_path / "d"))
+    merged = system.merge_and_write(base, c, str(tmp_path / "m"))
+    assert D.equivalent(merged, delta.component_rows(parse_sources(files(V2)))).first()["equal"]
