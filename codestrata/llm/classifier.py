@@ -2,7 +2,7 @@
 
 Method: words, pairs of neighbouring words and the character n-grams of words are hashed into buckets; each bucket has a learned vector;
 a document is the average of its vectors; a softmax layer gives the probability of each label. All weights are trained by numpy stochastic
-gradient descent on the driver, on a bounded sample of labelled rows (``max_train_docs``, chosen by the hash of the id). The layer
+gradient descent on the driver, on a bounded sample of labelled rows (``max_train_docs`` and ``max_train_chars``, chosen by the hash of the id). The layer
 is linear in the average, so for scoring each bucket is folded to one number (its vector times the difference of the two output
 vectors): the model that is broadcast has ``BUCKETS`` floats, whatever the data's size.
 
@@ -27,7 +27,8 @@ from .common import append_columns, crc32_mod
 BUCKETS = 1 << 18
 DIM = 16
 NGRAMS = (2, 3)
-MAX_TRAIN_DOCS = 4000
+#: Bounds of the training sample: labelled documents, and characters of their whole texts together.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 4000, 30_000_000
 EPOCHS, RATE, SEED = 8, 1.0, 7
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
@@ -94,15 +95,25 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray, float]:
-    """Train on at most ``max_train_docs`` labelled documents outside the held-out quarter; which ones depends on ids alone."""
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_chars: int = MAX_TRAIN_CHARS) -> tuple[np.ndarray, float]:
+    """Train on at most ``max_train_docs`` labelled documents outside the held-out quarter, in the order of the ids' hashes.
+
+    A document that would exceed ``max_train_chars`` in all is passed over; those taken are whole.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).collect()
     by_id = {r["doc_id"]: r["quality"] for r in chosen}
     if not by_id:
         return train([], [])
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isin(list(by_id)))
-    rows = sorted({(r["doc_id"], r["text"]) for r in picked.collect()})
+    place = {i: n for n, i in enumerate(by_id)}
+    sizes = picked.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: place[r["doc_id"]]):
+        if total + r["n"] <= max_train_chars:
+            fits.append(r["doc_id"])
+            total += r["n"]
+    rows = sorted({(r["doc_id"], r["text"]) for r in picked.where(F.col("doc_id").isin(fits)).collect()}) if fits else []
     return train([t for _, t in rows], [by_id[i] for i, _ in rows])
 
 
