@@ -245,23 +245,23 @@ def leaf_candidates(spark, sf):
 
 @query(f"""
 WITH p AS (SELECT DISTINCT {RAW_PATH_SQL} AS stored FROM pages),
-q AS (SELECT DISTINCT regexp_replace({RAW_PATH_SQL}, '^/[^/]*', '') AS query FROM pages WHERE page_id % 5 = 0)
+q AS (SELECT DISTINCT regexp_replace({RAW_PATH_SQL}, '^/[^/]*', '') AS query FROM pages)
 SELECT stored, query, stored = query AS exact FROM p JOIN q ON query <> '' AND (stored = query OR ends_with(stored, query) OR ends_with(query, stored))
 """)
 def suffix_match(spark, sf):
     pages = _pages(spark, sf)
-    q = pages.where("page_id % 5 = 0").select(F.regexp_replace("path", "^/[^/]*", "").alias("query")).where("query <> ''")
+    q = pages.select(F.regexp_replace("path", "^/[^/]*", "").alias("query")).where("query <> ''")
     return O.suffix_matches(pages, q, "path", "query").select("stored", "query", "exact")
 
 
 @query(f"""
 WITH p AS (SELECT DISTINCT {RAW_PATH_SQL} AS stored FROM pages),
-q AS (SELECT DISTINCT regexp_replace({RAW_PATH_SQL}, '^/[^/]*', '') AS query FROM pages WHERE page_id % 5 = 0)
+q AS (SELECT DISTINCT regexp_replace({RAW_PATH_SQL}, '^/[^/]*', '') AS query FROM pages)
 SELECT query, min(stored) AS stored FROM p JOIN q ON query <> '' AND ends_with(stored, query) GROUP BY query
 """)
 def path_lookup(spark, sf):
     pages = _pages(spark, sf)
-    q = pages.where("page_id % 5 = 0").select(F.regexp_replace("path", "^/[^/]*", "").alias("query")).where("query <> ''")
+    q = pages.select(F.regexp_replace("path", "^/[^/]*", "").alias("query")).where("query <> ''")
     return O.lookup(pages, q, "path", "query").select("query", "stored")
 
 
@@ -412,12 +412,12 @@ def remove_by_key(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 <> 0)
+WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT DISTINCT o_custkey + 10 AS k FROM orders)
 SELECT k, 'left' AS side FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'right' FROM o WHERE k NOT IN (SELECT k FROM c)
 """)
 def set_diff_both(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    o = table(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("k")).distinct()
+    o = table(spark, sf, "orders").select((F.col("o_custkey") + 10).alias("k")).distinct()
     return D.both_ways(c, o)
 
 
@@ -472,12 +472,13 @@ def nested_roundtrip(spark, sf):
 
 
 @query("""
-SELECT source AS repo, lang, count(*) AS files FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY ALL
+SELECT repo, kind, count(*) AS files FROM (SELECT source AS repo, lang AS kind FROM documents UNION ALL SELECT role, 'turn' FROM conversations UNION ALL SELECT event_type, 'event' FROM events) GROUP BY ALL
 """)
 def multi_repo_union(spark, sf):
-    d = table(spark, sf, "documents")
-    parts = [d.where(F.col("source") == s).select(F.col("source").alias("repo"), "lang") for s in ("src0", "src1", "src2")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo", "lang").agg(F.count("*").alias("files"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("lang").alias("kind"))
+    for name, repo, kind in (("conversations", "role", "turn"), ("events", "event_type", "event")):
+        d = d.unionByName(table(spark, sf, name).select(F.col(repo).alias("repo"), F.lit(kind).alias("kind")))
+    return d.groupBy("repo", "kind").agg(F.count("*").alias("files"))
 
 
 @query("""
