@@ -54,12 +54,12 @@ def document_features(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     for w in text.split():
         found = cache.get(w)
         if found is None:
-            found = cache[w] = word_features(w)
-        parts += found
+            found = cache[w] = np.array(word_features(w), np.int32)
+        parts.append(found)
         ids.append(found[0])
     if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    buckets, counts = np.unique(np.concatenate([np.array(parts, np.int64), pair_features(np.array(ids))]), return_counts=True)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    buckets, counts = np.unique(np.concatenate([*parts, pair_features(np.array(ids)).astype(np.int32)]), return_counts=True)
     return buckets, counts.astype(np.float32)
 
 
@@ -71,6 +71,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
     cache: dict = {}
     docs = [document_features(t, cache) for t in texts]
+    cache.clear()
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
