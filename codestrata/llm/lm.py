@@ -398,55 +398,47 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
     names, hot_counts, hot_lp = _hot(scored)
     hot = d.sparkSession.sparkContext.broadcast((names, np.log10(hot_counts + 1) - below, hot_lp))
     end_base, end_known = float(np.log10(end["c"] + 1) - below), int(end["c"] > 0)
+    names_of = ["doc_id", "held_out", "key", "n_tokens", "known", "base", "lp", "bytes", "word", "keys", "times"]
     end_lp = np.array(scored.where(F.col("word") == F.lit(END)).first()["lp"], np.float64) + classes.prior
 
-    def look_up(own: list[bytes]) -> tuple[int, float, np.ndarray]:
-        """How many of the words are hot, the sum of their base scores and their sums by class, with the end and the prior."""
-        known, base, lp = hot.value
-        at = np.array([i for w in own if (i := known.get(w)) is not None], np.int64)
-        return len(at), float(base[at].sum()), lp[at].sum(0, dtype=np.float64) + end_lp if len(at) else end_lp
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                own = tokens(text)
-                found, base, lp = look_up(own)
-                out.append((len(own) + 1, found + end_known, base + end_base, float(lp.max()), len(text.encode("utf-8", "surrogatepass"))))
-            made = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("key"), *made], ["doc_id", "held_out", "key", "n_tokens", "known", "base", "lp", "bytes"])
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value[0]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two kinds of rows from one reading: a document's sums over its hot words, and requests for the others."""
+        known, hot_base, hot_lp = hot.value
         number: dict[bytes, int] = {}
         word_at: list[int] = []
         key_at: list[int] = []
         times: list[int] = []
 
-        def rows():
+        def requests():
             w, k, c = np.array(word_at, np.int64), np.array(key_at, np.int64), np.array(times, np.int32)
             order = np.argsort(w, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(number)))]).tolist()
-            k, c = k[order], c[order]
-            packed_k = [k[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            packed_c = [c[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), pa.array(packed_k, pa.binary()), pa.array(packed_c, pa.binary())], ["word", "keys", "times"])
+            edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(number)))])
+            n = len(number)
+            packed = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in (k, c)]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())] + [pa.array(list(number), pa.binary()), *packed], names_of)
 
         for batch in batches:
+            heads = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = tokens(text)
-                own = Counter([w for w in words if w not in known])
-                if not own:
-                    continue
-                k = int(look_up(words)[2].argmax())
-                word_at += [number.setdefault(w, len(number)) for w in own]
-                times += [c << 8 | k for c in own.values()]
-                key_at += [key] * len(own)
-                if len(word_at) > FLUSH_PAIRS:
-                    yield rows()
-                    number, word_at, key_at, times = {}, [], [], []
+                own = tokens(text)
+                place = [known.get(w, -1) for w in own]
+                at = np.array(place, np.int64)
+                at = at[at >= 0]
+                lp = hot_lp[at].sum(0, dtype=np.float64) + end_lp if len(at) else end_lp
+                heads.append((len(own) + 1, len(at) + end_known, float(hot_base[at].sum()) + end_base, float(lp.max()), len(text.encode("utf-8", "surrogatepass"))))
+                if len(at) < len(own):
+                    k = int(lp.argmax())
+                    rare = Counter([w for w, i in zip(own, place, strict=True) if i < 0])
+                    word_at += [number.setdefault(w, len(number)) for w in rare]
+                    times += [c << 8 | k for c in rare.values()]
+                    key_at += [key] * len(rare)
+                    if len(word_at) > FLUSH_PAIRS:
+                        yield requests()
+                        number, word_at, key_at, times = {}, [], [], []
+            made = [pa.array(list(x), t) for x, t in zip(zip(*heads, strict=True) if heads else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("key"), *made, *[pa.nulls(batch.num_rows, pa.binary())] * 3], names_of)
         if word_at:
-            yield rows()
+            yield requests()
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -476,9 +468,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
         if parts:
             yield rows()
 
-    head = d.select("doc_id", "held_out", "key", "text").mapInArrow(heads, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, lp double, bytes long")
-    # Rows that repeat a document send the same requests under one key; counting them once keeps every row's sums right.
-    once = d.select("key", "text").mapInArrow(requests, "word binary, keys binary, times binary")
+    asked = d.select("doc_id", "held_out", "key", "text").mapInArrow(ask, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, lp double, bytes long, word binary, keys binary, times binary")
+    asked = materialise(asked, "lm-asked")
+    head = asked.where("key IS NOT NULL").drop("word", "keys", "times")
+    # Rows that repeat a document send the same requests under one key; their sums are divided by the number of rows below.
+    once = asked.where("key IS NULL").select("word", "keys", "times")
     rare = once.join(scored, "word").select("keys", "times", "c", "lp").mapInArrow(answers, "key2 long, known2 long, base2 double, lp2 double")
     rare = rare.groupBy("key2").agg(F.sum("known2").alias("known2"), F.sum("base2").alias("base2"), F.sum("lp2").alias("lp2"))
     copies = head.groupBy(F.col("key").alias("key3")).agg(F.count("*").alias("copies"))
