@@ -4,13 +4,16 @@ Method: every text is cut into units; a unit is normalised (lower case, white sp
 documents, the earliest ranked occurrence stays, and every other one is removed. What is removed is given with its offsets in the
 original text.
 
-Units: a text can be cut at line starts, after sentence ends and before words that begin with a capital. A unit begins at each such
-place and ends at the first one that is ``min_words`` or more words further on. Whole lines and paragraphs are runs of units; plain line
-hashing alone would miss a passage pasted into the middle of a line, which these places, being local to the passage, still find.
-
-Scale: digests are grouped with a partial minimum before the shuffle, so that a unit held by a third of all documents costs one row a
-task. The group's answer isn't joined back to its occurrences (a hot join key) but sent to the one document that owns it: a document
-learns which of its units are first, and this join is by document, whose keys are unique. Only 16-byte digests and positions are
+Units: a text can be cut at line starts, after sentence ends, before words that begin with a capital, and before words whose hash is the
+least of some ``WINDOW`` neighbouring words. The last kind depends on the words alone, so any ``WINDOW`` words of a repeated passage have a cut
+that all its copies share, wherever the passage was pasted. A unit begins at each cut and ends at the first one that is ``min_words`` or more
+words further on; at cuts of the other kinds one also ends, that begins at the last cut ``min_words`` or more words before, so that whole lines
+and sentences go to their last word. Of a repeated passage at most ``WINDOW - 1`` words stay at its beginning and about three times as many at its end,
+where the words after it may move the last cuts; copies broken into lines or sentences differently may keep words at those places, too.
+
+Scale: a task sends each digest once, with its earliest occurrence there; the others it knows to be gone. So a unit held by a third of
+all documents costs one row a task in the comparison by digest. The answer isn't joined back to the occurrences (a hot join key) but sent to the
+documents that lose a unit, as numbers of units, and this join is by document, whose keys are unique. Digests of 12 bytes and positions are
 shuffled besides one exchange of the texts.
 
 Edge cases: units of fewer than ``min_words`` words (the end of a text, short texts) are kept; null and empty texts come out unchanged;
@@ -22,32 +25,71 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 MIN_WORDS = 8
+#: So many neighbouring words have a cut among them.
+WINDOW = 8
+FLUSH_UNITS = 200_000
 _WORDS = re.compile(r"\S+")
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered as far as the bound goes."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _slide(x: np.ndarray, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) over every WINDOW neighbours."""
+    done = 1
+    while done < WINDOW:
+        step = min(done, WINDOW - done)
+        x = least(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def content_cuts(low: list[str]) -> list[int]:
+    """Numbers of the words whose hash is the least of some WINDOW neighbouring words."""
+    if len(low) < WINDOW:
+        return []
+    h = np.fromiter(map(_HASHES.__getitem__, low), np.int64, len(low))
+    edge = np.full(WINDOW - 1, -1)
+    return np.flatnonzero(_slide(np.concatenate([edge, _slide(h, np.minimum), edge]), np.maximum) == h).tolist()
+
+
 def unit_bounds(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lower-case words, and (first, end) word numbers of the units."""
-    low, cuts, n = [], [], 0
+    """The lower-case words, and (first, end) word numbers of the units, in order."""
+    low, places, n = [], [], 0
     for line in text.split("\n"):
         own = line.split()
         if not own:
             continue
         low += line.lower().split()
-        cuts.append(n)
-        cuts += [n + i for i in range(1, len(own)) if own[i - 1][-1] in ".!?" or own[i][0].isupper()]
+        places.append(n)
+        places += [n + i for i in range(1, len(own)) if own[i - 1][-1] in ".!?" or own[i][0].isupper()]
         n += len(own)
     if len(low) != n:  # lower() made or removed white space; no known character does
         low = [w.lower() for w in text.split()]
-    cuts.append(n)
+    places.append(n)
+    cuts = sorted({*places, *content_cuts(low)})
     bounds, m = [], 0
     for c in cuts:
         while m < len(cuts) and cuts[m] < c + min_words:
@@ -55,18 +97,25 @@ def unit_bounds(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[
         if m == len(cuts):
             break
         bounds.append((c, cuts[m]))
-    return low, bounds
+    m = 0
+    for c in places:
+        while cuts[m + 1 : m + 2] and cuts[m + 1] <= c - min_words:
+            m += 1
+        if cuts[m] <= c - min_words:
+            bounds.append((cuts[m], c))
+    return low, sorted(set(bounds))
 
 
-def digest(words: list[str]) -> tuple[int, int]:
-    d = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:12]
 
 
 def cut(text: str, first: set[int], min_words: int = MIN_WORDS) -> tuple[str, int, list[tuple[int, int]]]:
     """The text without the units whose number isn't in ``first``; their number; the spans removed, in code points, white space after included."""
-    bounds = unit_bounds(text, min_words)[1]
-    gone = [b for i, b in enumerate(bounds) if i not in first]
+    return _remove(text, [b for i, b in enumerate(unit_bounds(text, min_words)[1]) if i not in first])
+
+
+def _remove(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
     if not gone:
         return text, 0, []
     runs: list[list[int]] = []
@@ -88,25 +137,44 @@ def _key() -> tuple:
     return F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def first_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, hash, first): for every document the numbers of its units that occur nowhere earlier."""
-    schema = "id long, hash long, unit int, d0 long, d1 long"
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, hash, gone): the numbers of a document's units that occur earlier, for documents that have such."""
+    schema = "id long, hash long, unit int, d0 long, d1 int"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # digest -> (no id, id, hash, unit) of its earliest occurrence so far; and occurrences known to be later ones.
+        own: dict[bytes, tuple] = {}
+        lost: list[tuple] = []
+
+        def rows():
+            at = [*own.values(), *lost]
+            key = np.frombuffer(b"".join(own), [("d0", "<i8"), ("d1", "<i4")])
+            # What is lost is compared with nothing; it passes under keys of its own, its unit's number negative.
+            units = np.array([x[3] for x in at], np.int32)
+            other = np.array([x[2] for x in lost], np.int64) ^ (units[len(own) :] * np.int64(0x9E3779B97F4A7C15 >> 1))
+            units[len(own) :] = -1 - units[len(own) :]
+            columns = [pa.array([None if x[0] else x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int64()), pa.array(units), pa.array(np.concatenate([key["d0"], other])), pa.array(np.concatenate([key["d1"], np.zeros(len(lost), np.int32)]))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "hash", "unit", "d0", "d1"])
+
         for batch in batches:
-            rows: list[tuple] = []
             for i, h, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 low, bounds = unit_bounds(text or "", min_words)
-                own: dict[tuple[int, int], int] = {}
                 for n, (a, b) in enumerate(bounds):
-                    own.setdefault(digest(low[a:b]), n)
-                rows += [(i, h, n, *d) for d, n in own.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["id", "hash", "unit", "d0", "d1"])
+                    d, here = digest(low[a:b]), (i is None, i or 0, h, n)
+                    at = own.setdefault(d, here)
+                    if here < at:
+                        own[d], here = here, at
+                    if here != own[d]:
+                        lost.append(here)
+                if len(own) + len(lost) > FLUSH_UNITS:
+                    yield rows()
+                    own.clear(), lost.clear()
+        yield rows()
 
     found = docs.select(_key()[0].alias("id"), _key()[1].alias("hash"), "text").mapInArrow(explode, schema)
-    owners = found.groupBy("d0", "d1").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "unit")).alias("own")).select("own.*")
-    return owners.groupBy("id", "hash").agg(F.collect_list("unit").alias("first"))
+    place = F.rank().over(W.partitionBy("d0", "d1").orderBy(F.col("id").asc_nulls_last(), "hash", "unit"))
+    gone = found.withColumn("place", place).where("place > 1 OR unit < 0").select("id", "hash", F.when(F.col("unit") < 0, -1 - F.col("unit")).otherwise(F.col("unit")).alias("unit"))
+    return gone.groupBy("id", "hash").agg(F.collect_set("unit").alias("gone"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -114,20 +182,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     names = {f.name for f in extra}
     kept = [f for f in docs.schema.fields if f.name not in names]
-    first = first_units(docs, min_words)
+    repeated = repeated_units(docs, min_words)
     d = docs.select(*[f"`{f.name}`" for f in kept], _key()[0].alias("__id"), _key()[1].alias("__hash"))
-    on = d["__id"].eqNullSafe(first["id"]) & (d["__hash"] == first["hash"])
-    d = d.join(first, on, "left").select(*[d[f"`{f.name}`"] for f in kept], first["first"].alias("__first"))
+    on = d["__id"].eqNullSafe(repeated["id"]) & (d["__hash"] == repeated["hash"])
+    d = d.join(repeated, on, "left").select(*[d[f"`{f.name}`"] for f in kept], repeated["gone"].alias("__gone"))
     at = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *own, first = batch.columns
+            *own, gone = batch.columns
             texts, n_units, n_removed, removed = [], [], [], []
-            for text, numbers in zip(own[at].to_pylist(), first.to_pylist(), strict=True):
-                new, n, spans = cut(text or "", set(numbers or ()), min_words)
+            for text, numbers in zip(own[at].to_pylist(), gone.to_pylist(), strict=True):
+                bounds = unit_bounds(text or "", min_words)[1]
+                new, n, spans = _remove(text or "", [bounds[i] for i in sorted(numbers or ())])
                 texts.append(None if text is None else new)
-                n_units.append(len(numbers or ()) + n), n_removed.append(n)
+                n_units.append(len(bounds)), n_removed.append(n)
                 removed.append([{"start": a, "end": b} for a, b in spans])
             own[at] = pa.array(texts, own[at].type)
             made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_units, n_removed, removed), extra, strict=True)]

@@ -140,6 +140,30 @@ def test_substring_passage_inside_a_line(spark):
     assert "".join(original[x["start"] : x["end"]] for x in s).strip() in passage
 
 
+def test_substring_leaves_no_long_repeat(spark):
+    """Against windows of 50 words, which know no units: the windows that an earlier document has are gone but for a few words at the ends."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, f"some words of the first document and then {passage} and others that follow"), (10**6 + 1, f"another one begins in quite a different manner {passage} until it stops elsewhere")]
+    out = {r["doc_id"]: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, left = {}, []
+    for i, text in sorted(rows):
+        found = list(re.finditer(r"\S+", text or ""))
+        low = [m[0].lower() for m in found]
+        repeated = np.zeros(len(low) + 1, bool)
+        for a in range(len(low) - 49):
+            if first.setdefault(tuple(low[a : a + 50]), i) != i:
+                repeated[a : a + 50] = True
+        kept = np.array([not any(s["start"] <= m.start() < s["end"] for s in out[i]["removed"]) for m in found] + [False])
+        edges = np.flatnonzero(np.diff(repeated.astype(int), prepend=0))
+        left += [int(kept[a:b].sum()) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    assert len(left) > 150 and max(left) < 20 and np.mean(left) < 5
+    seen = {}
+    for i, r in sorted(out.items()):
+        low = (r["text"] or "").lower().split()
+        assert all(seen.setdefault(tuple(low[a : a + 50]), i) == i for a in range(len(low) - 49))
+
+
 def test_substring_odd_rows(spark, odd):
     out = substring.dedup(odd.withColumn("n_units", F.lit("mine"))).collect()
     assert len(out) == len(ODD) and {r["doc_id"]: r["text"] for r in out}[1] is None and substring.dedup(odd.limit(0)).count() == 0
