@@ -39,6 +39,15 @@ def test_run_equals_stages(spark):
     assert key(C.run(spark, SMALL)) == key(docs)
 
 
+def test_passage_inside_a_line(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"some words of the first document and then {passage} and others that follow", 0), (2, f"another one begins in quite a different manner {passage} until it stops elsewhere", 0)]
+    out = {r["doc_id"]: r for r in C.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), SMALL).collect()}
+    assert out[1]["text"] == rows[0][1] and out[2]["n_chars"] == len(out[2]["text"])
+    assert len(set(out[2]["text"].split()) & set(passage.split())) < 20
+    assert out[2]["text"].startswith("another one begins in quite a different manner") and out[2]["text"].endswith("until it stops elsewhere")
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
