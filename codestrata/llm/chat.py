@@ -9,8 +9,9 @@ In a turn a call is ``<tool_call>{"id":..., "name":..., "arguments": {...}}</too
 result as ``{"$ref": "<id>"}`` at any depth.
 
 Scale: one row a turn from start to end. Nothing is grouped by conversation, so a conversation of any length is spread over tasks; joins
-are by (conversation, identifier), whose owner is found with a partial minimum. Levels are found by rounds of joins over calls that
-refer to others, written to the shared folder each round; conversations without references take no round.
+are by (conversation, identifier), whose owner is found with a partial minimum. Levels of calls that refer to others are found by conversation
+where it has at most ``LOCAL_EDGES`` references; in longer ones by rounds of joins, written to the shared folder each round, until no call
+becomes ready. Chains may have any depth either way.
 
 Edge cases: null texts and roles become empty strings in the JSON; null conversations or turns are kept and match only themselves;
 malformed blocks stay in the text and are counted; of calls with one identifier the earliest (turn, then place, then content) owns
@@ -34,6 +35,8 @@ from .common import materialise
 
 _BLOCK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: A conversation of at most so many references between calls is put in order by one task.
+LOCAL_EDGES = 200_000
 #: Tools known to the query over ``conversations``.
 SCHEMAS: dict[str, dict] = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
@@ -122,7 +125,29 @@ EVENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id",
 TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("malformed", T.LongType()), T.StructField("events", T.ArrayType(EVENT))])
 
 
-def levels(calls: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _levels_of(edges: pa.Table) -> pa.Table:
+    """Levels of one conversation's calls (conv_id, id, ref); a null ref is one to no call."""
+    refs: dict[str, set[str]] = {}
+    for i, r in zip(edges.column("id").to_pylist(), edges.column("ref").to_pylist(), strict=True):
+        refs.setdefault(i, set()).update(() if r is None else (r,))
+    users: dict[str, list[str]] = {}
+    for i, own in refs.items():
+        for r in own:
+            users.setdefault(r, []).append(i)
+    n_open = {i: sum(r in refs for r in own) for i, own in refs.items()}
+    level = {i: int(bool(own)) for i, own in refs.items()}
+    ready = [i for i, n in n_open.items() if not n]
+    for i in ready:
+        for u in users.get(i, ()):
+            level[u] = max(level[u], level[i] + 1)
+            n_open[u] -= 1
+            if not n_open[u]:
+                ready.append(u)
+    conv = edges.column("conv_id")[0].as_py()
+    return pa.table([pa.array([conv] * len(ready), pa.int64()), pa.array(ready, pa.string()), pa.array([level[i] for i in ready], pa.int32())], ["conv_id", "id", "level"])
+
+
+def levels(calls: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(conv_id, id, level) of owned calls: 0 without references, else one more than the deepest call referred to; null in a cycle."""
     known = calls.where(F.size("refs") == 0).select("conv_id", "id", F.lit(0).alias("level"))
     waiting = calls.where(F.size("refs") > 0).select("conv_id", "id", "refs")
@@ -130,20 +155,29 @@ def levels(calls: DataFrame, max_rounds: int = 200) -> DataFrame:
         return known
     known, waiting = materialise(known, "chat-levels"), materialise(waiting, "chat-waiting")
     ids = materialise(calls.select("conv_id", "id"), "chat-ids")
-    for _ in range(max_rounds):
+    # At most one conversation in local_edges references is long.
+    sizes = waiting.groupBy("conv_id").agg(F.sum(F.size("refs")).alias("n")).where(F.col("n") > local_edges)
+    long = [r["conv_id"] for r in sizes.select("conv_id").collect()]
+    is_long = F.coalesce(F.col("conv_id").isin([c for c in long if c is not None]), F.lit(None in long))
+    short = waiting.where(~is_long).select("conv_id", "id", F.explode("refs").alias("ref"))
+    i = ids.select(F.col("conv_id").alias("k2"), F.col("id").alias("ref2"))
+    short = short.join(i, F.col("conv_id").eqNullSafe(F.col("k2")) & (F.col("ref") == F.col("ref2")), "left").select("conv_id", "id", F.col("ref2").alias("ref"))
+    known = materialise(known.union(short.groupBy("conv_id").applyInArrow(_levels_of, "conv_id long, id string, level int")), "chat-levels")
+    if not long:
+        return known
+    waiting = materialise(waiting.where(is_long), "chat-waiting")
+    while True:
         needs = waiting.select("conv_id", "id", F.explode("refs").alias("ref"))
         r = known.select(F.col("conv_id").alias("k"), F.col("id").alias("ref"), F.col("level").alias("ref_level"))
-        i = ids.select(F.col("conv_id").alias("k2"), F.col("id").alias("ref2"))
         found = needs.join(r, F.col("conv_id").eqNullSafe(F.col("k")) & (needs["ref"] == r["ref"]), "left").join(i, F.col("conv_id").eqNullSafe(F.col("k2")) & (needs["ref"] == i["ref2"]), "left")
         # A reference to no call at all binds nothing.
         state = found.groupBy("conv_id", "id").agg(F.max("ref_level").alias("deepest"), F.count(F.when(F.col("ref_level").isNull() & F.col("ref2").isNotNull(), 1)).alias("open"))
         ready = materialise(state.where("open = 0").select("conv_id", "id", (F.coalesce("deepest", F.lit(-1)) + 1).alias("level")), "chat-ready")
         if ready.isEmpty():
-            break
+            return known
         done = ready.select(F.col("conv_id").alias("k"), F.col("id").alias("done"))
         waiting = materialise(waiting.join(done, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("id") == F.col("done")), "left_anti"), "chat-waiting")
         known = materialise(known.union(ready), "chat-levels")
-    return known
 
 
 def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:

@@ -203,6 +203,18 @@ def test_chat_chain(spark):
     assert {r["turn"]: r["first_level"] for r in out} == {i: 2 * i for i in range(6)}
 
 
+def test_chat_deep_chain(spark):
+    """Chains of any depth are put in order, whether by one task or by rounds; only cycles have no level."""
+    deep = [(c, f"c{i}", [f"c{i - 1}"] if i else []) for c in (1, None) for i in range(301)]
+    odd = [(1, "x", ["y"]), (1, "y", ["x"]), (1, "z", ["nowhere"]), (1, "t", ["c300", "z"]), (1, "u", ["x", "z"])]
+    calls = spark.createDataFrame(deep + odd, "conv_id long, id string, refs array<string>")
+    got = {(r["conv_id"], r["id"]): r["level"] for r in chat.levels(calls).collect()}
+    assert got == {(c, f"c{i}"): i for c in (1, None) for i in range(301)} | {(1, "z"): 0, (1, "t"): 301}
+    few = calls.where("id IN ('c0', 'c1', 'c2', 'c3', 'x', 'y', 'z', 'u')")
+    by_round = [tuple(r) for r in chat.levels(few, local_edges=0).collect()]
+    assert sorted(map(str, by_round)) == sorted(str(tuple(r)) for r in chat.levels(few).collect()) and len(by_round) == 9
+
+
 def test_schema_validation():
     s = {"type": "object", "properties": {"n": {"type": ["integer", "null"], "minimum": 0}, "l": {"items": {"enum": [1, 2]}, "type": "array"}}, "additionalProperties": False}
     assert [chat.validate(v, s) for v in ({"n": None}, {"n": -1}, {"n": True}, {"l": [1, 3]}, {"m": 1}, [])] == [None, "$.n: out of range", "$.n: not of type integer/null", "$.l[1]: not in enum", "$.m: not allowed", "$: not of type object"]
