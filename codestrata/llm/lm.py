@@ -13,6 +13,9 @@ symbol?). A document's class is part of its code: the one under which its freque
 Everything is counted over all training documents. The contexts stay within a word, so a word's probability depends on nothing else and is
 computed once per distinct word of the corpus, not per occurrence.
 
+The whole-prefix predictor counts a prefix if it begins ``PREFIX_MIN`` distinct words of all training documents. In sorted order these are neighbours,
+so how far a word's prefixes are counted (its depth) is seen from the words at most ``PREFIX_MIN - 1`` places away.
+
 Scale: counts of words are pre-aggregated in each task and summed by word; the hashed tables have a fixed size (``TABLE_LOGS``) and are
 summed in slices; they are broadcast with one byte a count (14 MB at any input size). To score documents, the words above a count
 threshold (at most ``HOT_WORDS``, in a broadcast dictionary) are looked up at once; all others are requested by word: a request holds
@@ -61,7 +64,7 @@ def tokens(text: str | None) -> list[bytes]:
 class Edges:
     """Distinct (prefix, next byte) of a set of words, with contexts and the sum of the words' counts."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, depths: np.ndarray | None = None):
         flat = np.frombuffer(b"".join([w + b" " for w in words]), np.uint8)
         length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.starts = np.concatenate([[0], np.cumsum(length)[:-1]])
@@ -76,6 +79,8 @@ class Edges:
         self.count = np.bincount(self.inverse, np.repeat(counts, length), len(first))
         self.byte = flat[first].astype(np.uint64)
         offset = at[first] - start[first]
+        # Is the edge's prefix counted? Without depths these words are all there are.
+        self.common = self.count >= PREFIX_MIN if depths is None else offset < np.repeat(depths, length)[first]
         last = np.zeros(len(first), np.uint64)
         self.contexts = []
         for k in range(1, 5):
@@ -122,10 +127,10 @@ def _steps(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
 
 
-def count_tables(words: list[bytes], counts: np.ndarray, tables: list[np.ndarray]) -> None:
-    """Add the words' counts to the tables, arrays of (slots, 2)."""
-    e = Edges(words, counts)
-    common = e.count >= PREFIX_MIN
+def count_tables(words: list[bytes], counts: np.ndarray, tables: list[np.ndarray], depths: np.ndarray | None = None) -> None:
+    """Add the words' counts to the tables, arrays of (slots, 2). ``depths``: as of prefix_depths, if the words are a part of all."""
+    e = Edges(words, counts, depths)
+    common = e.common
     for b in range(8):
         slots, bit = e.bit(b)
         for k in range(ORDERS):
@@ -144,9 +149,9 @@ class Trainer:
         self.map = np.zeros((GATES, STEPS, 2))
         self.mass = np.zeros(GATES)
 
-    def learn(self, words: list[bytes], counts: np.ndarray) -> None:
-        e = Edges(words, counts)
-        common = e.count >= PREFIX_MIN
+    def learn(self, words: list[bytes], counts: np.ndarray, depths: np.ndarray | None = None) -> None:
+        e = Edges(words, counts, depths)
+        common = e.common
         for b in range(8):
             slots, bit = e.bit(b)
             x = np.ones((len(bit), ORDERS + 1))
@@ -253,14 +258,53 @@ def _words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list
         yield words, np.array(counts, np.float64)
 
 
-def fit_tables(vocab: DataFrame) -> list[np.ndarray]:
-    """The hashed tables, summed over all tasks in slices of 2**SLICE cells."""
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def prefix_depths(words: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """(word, depth) of distinct words: its prefixes of up to ``depth`` bytes begin PREFIX_MIN or more of all words. In an order by hash."""
+    spark = words.sparkSession
+    row = (1 << 33) - 1  # monotonically_increasing_id: the partition above 33 bits of row number
+    placed = materialise(words.select("word").orderBy("word").withColumn("at", F.monotonically_increasing_id()), "lm-sorted")
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg((F.max(F.col("at").bitwiseAND(row)) + 1).alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before += [F.lit(p), F.lit(total)]
+        total += n
+    placed = placed.select("word", (F.col("at").bitwiseAND(row) + (F.create_map(*before)[part] if before else F.lit(0))).cast("long").alias("at"))
+    # A block also has the PREFIX_MIN - 1 words before and after it.
+    near = PREFIX_MIN - 1
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("at") + i) / block).cast("long") for i in (-near, 0, near)]))
+
+    def depths(rows: pa.Table) -> pa.Table:
+        at = rows.column("at").to_numpy()
+        order = np.argsort(at)
+        at, w = at[order], rows.column("word").take(pa.array(order)).to_pylist()
+        shared = np.array([_common(a, b) for a, b in zip(w, w[near:], strict=False)], np.int64)
+        edge = np.zeros(near, np.int64)
+        padded = np.concatenate([edge, shared, edge])[: len(w) + near]
+        depth = np.max([padded[i : i + len(w)] for i in range(near + 1)], axis=0) if len(shared) else np.zeros(len(w), np.int64)
+        own = np.flatnonzero(at // block == rows.column("block")[0].as_py())
+        return pa.table([pa.array([w[i] for i in own], pa.binary()), pa.array(depth[own])], ["word", "depth"])
+
+    found = placed.select("word", "at", F.explode(blocks).alias("block")).groupBy("block").applyInArrow(depths, "word binary, depth long")
+    return found.repartition(shuffle_partitions(spark), "word").sortWithinPartitions(F.xxhash64("word"), "word")
+
+
+def fit_tables(words: DataFrame) -> list[np.ndarray]:
+    """The hashed tables from (word, depth), summed over all tasks in slices of 2**SLICE cells."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros((1 << log, 2), np.float64) for log in TABLE_LOGS]
         some = False
-        for words, _ in _words(batches, 1):
-            count_tables(words, np.ones(len(words)), tables)
+        for run, depths in _words(batches, 0):
+            count_tables(run, np.ones(len(run)), tables, depths)
             some = True
         for k, t in enumerate(tables if some else []):
             flat = t.reshape(-1)
@@ -278,8 +322,8 @@ def fit_tables(vocab: DataFrame) -> list[np.ndarray]:
         for (k, i), own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([encode_counts(own).tobytes()], pa.binary())], ["k", "i", "counts"])
 
-    parts = vocab.select("word", "c").mapInArrow(part, "k int, i int, cells binary, counts binary")
-    n = shuffle_partitions(vocab.sparkSession)
+    parts = words.select("word", "depth").mapInArrow(part, "k int, i int, cells binary, counts binary")
+    n = shuffle_partitions(words.sparkSession)
     sums = parts.repartition(n, "k", "i").mapInArrow(add, "k int, i int, counts binary")
     tables = [np.zeros(2 << log, np.uint8) for log in TABLE_LOGS]
     for row in sums.collect():  # the tables' fixed size in all
@@ -287,13 +331,13 @@ def fit_tables(vocab: DataFrame) -> list[np.ndarray]:
     return [t.reshape(-1, 2) for t in tables]
 
 
-def fit_weights(vocab: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Weights averaged over the tasks by what each gate saw there, and the summed adaptive map. ``shared``: the broadcast tables."""
+def fit_weights(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Weights averaged over the tasks by what each gate saw there, and the summed adaptive map. ``shared``: the broadcast tables; ``words``: (word, depth)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trainer(shared.value)
-        for words, _ in _words(batches, 1):
-            t.learn(words, np.ones(len(words)))
+        for own, depths in _words(batches, 0):
+            t.learn(own, np.ones(len(own)), depths)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t.weights, t.mass, t.map)], ["weights", "mass", "map"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +352,7 @@ def fit_weights(vocab: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
 
     # One small row a task; they are added up as a stream.
     schema = "weights binary, mass binary, map binary"
-    row = vocab.select("word", "c").mapInArrow(run, schema).repartition(1).mapInArrow(add, schema).first()
+    row = words.select("word", "depth").mapInArrow(run, schema).repartition(1).mapInArrow(add, schema).first()
     weights, mass, map_ = (np.frombuffer(row[i]).reshape(shape).copy() for i, shape in enumerate(((GATES, ORDERS + 1), (GATES,), (GATES, STEPS, 2))))
     seen = mass > 0
     overall = weights.sum(0) / max(1.0, mass.sum())
@@ -392,8 +436,9 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
     n, v = made[-1]["n"], made[-1]["v"]
     end = vocab.where(F.col("word") == F.lit(END)).first()
     classes = Classes(*[[row[name] for row in made] for name in ("n", "v", "n1", "n2")], [*end["by"], end["c"]])
-    tables = d.sparkSession.sparkContext.broadcast(fit_tables(vocab))
-    scored = materialise(score_words(vocab, tables, *fit_weights(vocab, tables), classes), "lm-scored")
+    words = materialise(prefix_depths(vocab.where("c >= 1")), "lm-depths")
+    tables = d.sparkSession.sparkContext.broadcast(fit_tables(words))
+    scored = materialise(score_words(vocab, tables, *fit_weights(words, tables), classes), "lm-scored")
     below = np.log10(n + v + 1)
     names, hot_counts, hot_lp = _hot(scored)
     hot = d.sparkSession.sparkContext.broadcast((names, np.log10(hot_counts + 1) - below, hot_lp))

@@ -365,6 +365,22 @@ def test_language_model_is_a_distribution():
     assert singles[1] > singles[2]
 
 
+def test_language_model_prefixes_of_all_words(spark):
+    """Which prefixes are counted depends on all words, not on the run they are in."""
+    words = sorted({f"{a}{b}{c}".encode() for a in ("be", "bes", "überaus", "z") for b in range(40) for c in ("", "st", "ting") if (b * 7 + len(a)) % 3} | {lm.END})
+    begins = collections.Counter(w[:i] for w in words for i in range(1, len(w) + 1))
+    found = lm.prefix_depths(spark.createDataFrame([(bytearray(w),) for w in words], "word binary").repartition(5), block=16).collect()
+    depth = {bytes(r["word"]): r["depth"] for r in found}
+    assert len(found) == len(words) and depth == {w: sum(begins[w[:i]] >= lm.PREFIX_MIN for i in range(1, len(w) + 1)) for w in words}
+    whole, parts = [[np.zeros((1 << log, 2)) for log in lm.TABLE_LOGS] for _ in range(2)]
+    lm.count_tables(words, np.ones(len(words)), whole)
+    for i in range(0, len(words), 10):
+        run = words[i : i + 10]
+        lm.count_tables(run, np.ones(len(run)), parts, np.array([depth[w] for w in run]))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and whole[4].any()
+    assert lm.prefix_depths(spark.createDataFrame([], "word binary")).count() == 0
+
+
 def test_language_model_odd_rows(spark, odd):
     out = lm.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(math.isfinite(r["score"]) for r in out)
