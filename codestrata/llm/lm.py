@@ -1,28 +1,36 @@
-"""LM scoring by logistic context mixing.
+"""LM scoring by online logistic context mixing.
 
-Method: a text is its lower-case words and one end; a word is coded as its bytes and a closing space, eight binary decisions a byte. Five
-predictors see hashed contexts: the last 1, 2, 3 and 4 bytes of the word and its whole prefix. Each keeps, for every hashed (context, bits so
-far), how often a 0 and a 1 followed. Their log odds are combined by weights that a gate chooses (how well known the prefix and the longest
-context are); the weights are learned online, each word predicted from counts that leave out its own occurrence. An adaptive map
-over (gate, quantised prediction) refines the result. The sum over all bits is a probability of the text; bits per byte follow.
+Method: a text is its lower-case words and one end. A word of the dictionary (the most frequent words that occur twice or more, ``HOT_WORDS`` at most) is a path of
+bits: a Huffman code of the language it is most used in, then one within it; all other words are the path of an escape and their spelling. Every bit is
+predicted by five predictors with hashed contexts: the bits so far alone, with the languages and symbols of the last words, with the word before,
+with the two words before, and with the word two before. Each context has counted how often a 0 and a 1 followed in the training documents. Their log odds are
+combined by weights that a gate chooses (how well known the contexts are); an adaptive map over (gate, quantised prediction) refines the result. Weights
+and map are learned online, over the stream of documents: a step of ``STEP`` words is predicted, then learned from.
 
-Whole words are known, too: a word's probability is its discounted count in the document's class, backed off to its discounted count in all
-classes, backed off to its spelling. The classes are the training documents' languages, each in two styles (do many words end in a
-symbol?). A document's class is part of its code: the one under which its frequent words are likeliest, at the cost of its prior.
+A longer context is matched over the whole corpus: at places that two neighbouring words' hash chooses (one in ``SPACING``), the last ``CONTEXT`` words name the
+stretch to the next such place that followed them in another training document. One bit tells whether it follows again; its probability is an
+adaptive one, by the number of stretches matched just before and of occurrences. If it follows, its words cost no more.
 
-Everything is counted over all training documents. The contexts stay within a word, so a word's probability depends on nothing else and is
-computed once per distinct word of the corpus, not per occurrence.
+The spelling is mixed, too: the bytes of a word and a closing space, eight bits a byte, from five predictors with the last 1 to 4 bytes and the prefix as contexts
+(counted over distinct words, as unknown words are new ones). It is found once per distinct word. An escaped word's probability is its discounted count among
+the escaped training words, backed off to its spelling.
 
-The whole-prefix predictor counts a prefix if it begins ``PREFIX_MIN`` distinct words of all training documents. In sorted order these are neighbours,
-so how far a word's prefixes are counted (its depth) is seen from the words at most ``PREFIX_MIN - 1`` places away.
+A training document is predicted from counts that leave out the occurrence itself, and from stretches of other documents only; scored documents that are held out
+change nothing.
+
+Order: a document belongs to the shard that a hash of its text and id names; there are as many shards as the training words fill at ``SHARD_WORDS`` each. A shard is learned
+in the order of the hash from the same beginning. So scores depend on the rows alone, not on their order or the number of partitions.
+
+Scale: counts of words are summed by word after each task's own sums. The tables have a fixed size, are summed in slices and broadcast (8 MB and
+14 MB); the dictionary is bounded and broadcast. What grows with the corpus is joined: stretches by context (whose hot ones are salted), and escaped words by
+word; a request holds a word and packed (document, count) rows of one task. Texts are exchanged once, compressed, by shard; a task holds one step and one document of a
+shard, never a whole shard.
 
-Scale: counts of words are pre-aggregated in each task and summed by word; the hashed tables have a fixed size (``TABLE_LOGS``) and are
-summed in slices; they are broadcast with one byte a count (14 MB at any input size). To score documents, the words above a count
-threshold (at most ``HOT_WORDS``, in a broadcast dictionary) are looked up at once; all others are requested by word: a request holds
-a word and packed (document, count) pairs of one task, so a word in a third of all documents costs a row a task.
+The prefix predictor of the spelling counts a prefix if it begins ``PREFIX_MIN`` distinct words of all training documents. In sorted order these are neighbours,
+so how far a word's prefixes are counted (its depth) is seen from the words at most ``PREFIX_MIN - 1`` places away.
 
-Edge cases: a null text is empty and has the end only; null ids are not held out; rows equal in id and text are scored alike, each
-keeping its row; an empty table gives no rows; without training documents N is 0 and every bit costs 1 bit.
+Edge cases: a null text is empty and has the end only; null ids are not held out; rows equal in id and text are one document, learned once and scored alike, each
+keeping its row; an empty table gives no rows; without training documents N is 0 and every bit of a spelling costs 1 bit; other columns than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +53,19 @@ TABLE_LOGS = (16, 19, 21, 21, 21)
 #: The prefix predictor counts prefixes that occur so often at least: rarer ones would only fill its table.
 PREFIX_MIN = 8
 HOT_WORDS, HOT_LENGTH = 1 << 18, 64
-FLUSH_WORDS, FLUSH_PAIRS = 400_000, 2_000_000
+FLUSH_WORDS, FLUSH_PAIRS = 400_000, 1_000_000
 BATCH_WORDS = 20_000
-#: The most frequent languages that are classes of their own, and the share of words ending in a symbol that makes the other style.
-LANGUAGES, STYLE_SHARE = 7, 0.3
+#: Words of one step of learning the spelling, and of a shard of words that is learned in one stream.
+SPELL_STEP, SPELL_SHARD = 1000, 50_000
+#: Languages that classes of words are told by; all others are one more.
+LANGUAGES = 7
+#: Words of a step of learning, and training words of a shard.
+STEP, SHARD_WORDS = 2048, 500_000
+#: One place in SPACING begins a stretch that is looked up by the CONTEXT words before it.
+SPACING, CONTEXT = 24, 6
+#: Predictors over words: slots of each (as logarithm), and how deep in a path they speak. The words a context tells apart.
+WORD_LOGS, DEPTHS = (19, 20, 20, 20, 20), (64, 64, 12, 8, 12)
+TOP_WORDS, TOP_PAIR = 1022, 126
 _ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 ORDERS = len(TABLE_LOGS)
 GATES, STEPS = 48, 33
@@ -62,9 +81,9 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Edges:
-    """Distinct (prefix, next byte) of a set of words, with contexts and the sum of the words' counts."""
+    """Distinct (class, prefix, next byte) of a set of words, with contexts and the sum of the words' counts."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, depths: np.ndarray | None = None):
+    def __init__(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, depths: np.ndarray | None = None):
         flat = np.frombuffer(b"".join([w + b" " for w in words]), np.uint8)
         length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.starts = np.concatenate([[0], np.cumsum(length)[:-1]])
@@ -74,7 +93,8 @@ class Edges:
         inverse = np.cumprod(np.concatenate([[_U(1)], np.full(len(flat), _U(_PINV))]), dtype=np.uint64)
         total = np.concatenate([[_U(0)], np.cumsum((flat.astype(np.uint64) + _U(1)) * power[:-1], dtype=np.uint64)])
         prefix = (total[:-1] - total[start]) * inverse[start]
-        whole = prefix ^ ((flat.astype(np.uint64) + _U(1)) * _MUL[0])
+        own = np.repeat(classes.astype(np.uint64), length) << _U(32)
+        whole = prefix ^ ((flat.astype(np.uint64) + _U(1) + own) * _MUL[0])
         _, first, self.inverse = np.unique(whole, return_index=True, return_inverse=True)
         self.count = np.bincount(self.inverse, np.repeat(counts, length), len(first))
         self.byte = flat[first].astype(np.uint64)
@@ -86,7 +106,8 @@ class Edges:
         for k in range(1, 5):
             byte = np.where(offset >= k, flat[np.maximum(first - k, 0)], 0).astype(np.uint64)
             last = last | (byte << _U(8 * (k - 1)))
-            self.contexts.append((last + _U(1)) * _MUL[k - 1])
+            # The class is part of the two shortest contexts: they tell the first bytes.
+            self.contexts.append((last + _U(1) + (own[first] if k < 3 else _U(0))) * _MUL[k - 1])
         self.contexts.append((prefix[first] + _U(1)) * _MUL[4])
 
     def bit(self, b: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -127,9 +148,9 @@ def _steps(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
 
 
-def count_tables(words: list[bytes], counts: np.ndarray, tables: list[np.ndarray], depths: np.ndarray | None = None) -> None:
+def count_tables(words: list[bytes], classes: np.ndarray, counts: np.ndarray, tables: list[np.ndarray], depths: np.ndarray | None = None) -> None:
     """Add the words' counts to the tables, arrays of (slots, 2). ``depths``: as of prefix_depths, if the words are a part of all."""
-    e = Edges(words, counts, depths)
+    e = Edges(words, classes, counts, depths)
     common = e.common
     for b in range(8):
         slots, bit = e.bit(b)
@@ -149,8 +170,8 @@ class Trainer:
         self.map = np.zeros((GATES, STEPS, 2))
         self.mass = np.zeros(GATES)
 
-    def learn(self, words: list[bytes], counts: np.ndarray, depths: np.ndarray | None = None) -> None:
-        e = Edges(words, counts, depths)
+    def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, depths: np.ndarray | None = None) -> None:
+        e = Edges(words, classes, counts, depths)
         common = e.common
         for b in range(8):
             slots, bit = e.bit(b)
@@ -186,9 +207,9 @@ class Model:
         share = (map_[:, :, 1] + 20 * centre) / (seen + 20)
         self.refined = np.log(share / (1 - share))
 
-    def log2(self, words: list[bytes]) -> np.ndarray:
-        """log2 probability of each word with its closing space."""
-        e = Edges(words, np.zeros(len(words)))
+    def log2(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
+        """log2 probability of each word, in a text of its class, with its closing space."""
+        e = Edges(words, classes, np.zeros(len(words)))
         cost = np.zeros(len(e.byte))
         for b in range(8):
             slots, bit = e.bit(b)
@@ -204,14 +225,10 @@ class Model:
         return np.add.reduceat(cost[e.inverse], e.starts) / np.log(2)
 
 
-def style(words: list[bytes]) -> int:
-    return int(sum([w[-1] not in _ALNUM for w in words]) > STYLE_SHARE * len(words))
-
-
 def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
-    """(word, c array) over all documents: counts by class, of training documents only. ``docs`` has text, train and lang."""
-    number = {x: 2 * i for i, x in enumerate(langs)}
-    other, size = 2 * len(langs), 2 * len(langs) + 2
+    """(word, by array) over all documents: counts by language, of training documents only. ``docs`` has text, train and lang."""
+    number = {x: i for i, x in enumerate(langs)}
+    size = len(langs) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -222,12 +239,11 @@ def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
         for batch in batches:
             for text, train, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = tokens(text)
+                here = found[number.get(lang, size - 1)]
                 if train:
-                    here = found[number.get(lang, other) + style(own)]
                     here.update(own)
                     here[END] += 1
                 else:
-                    here = found[other]
                     for w in own:
                         if w not in here:
                             here[w] = 0
@@ -241,21 +257,23 @@ def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
     return counted.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c"))), F.lit(0)).alias(f"c{i}") for i in range(size)]).select("word", F.array(*[f"c{i}" for i in range(size)]).alias("by"))
 
 
-def _words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Sorted runs of about BATCH_WORDS words with count ``least`` or more; a run's bytes are bounded, too."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(words, classes, depths) of rows (word, mask, depth), a word once for every class in its mask; BATCH_WORDS or so at once, their bytes bounded, too."""
     words: list[bytes] = []
-    counts: list[int] = []
+    classes: list[int] = []
+    depths: list[int] = []
     size = 0
     for batch in batches:
-        for w, c in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-            if c >= least:
-                words.append(w), counts.append(c)
-                size += len(w) + 1
-                if len(words) >= BATCH_WORDS or size > 1_000_000:
-                    yield words, np.array(counts, np.float64)
-                    words, counts, size = [], [], 0
+        for w, mask, depth in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k in range(mask.bit_length()):
+                if mask >> k & 1:
+                    words.append(w), classes.append(k), depths.append(depth)
+                    size += len(w) + 1
+            if len(words) >= BATCH_WORDS or size > 1_000_000:
+                yield words, np.array(classes), np.array(depths)
+                words, classes, depths, size = [], [], [], 0
     if words:
-        yield words, np.array(counts, np.float64)
+        yield words, np.array(classes), np.array(depths)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -267,17 +285,17 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def prefix_depths(words: DataFrame, block: int = 1 << 14) -> DataFrame:
-    """(word, depth) of distinct words: its prefixes of up to ``depth`` bytes begin PREFIX_MIN or more of all words. In an order by hash."""
+    """(word, mask, depth) of distinct words (word, mask): its prefixes of up to ``depth`` bytes begin PREFIX_MIN or more of all words."""
     spark = words.sparkSession
     row = (1 << 33) - 1  # monotonically_increasing_id: the partition above 33 bits of row number
-    placed = materialise(words.select("word").orderBy("word").withColumn("at", F.monotonically_increasing_id()), "lm-sorted")
+    placed = materialise(words.select("word", "mask").orderBy("word").withColumn("at", F.monotonically_increasing_id()), "lm-sorted")
     part = F.shiftright("at", 33)
     sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg((F.max(F.col("at").bitwiseAND(row)) + 1).alias("n")).collect())
     before, total = [], 0
     for p, n in sizes:
         before += [F.lit(p), F.lit(total)]
         total += n
-    placed = placed.select("word", (F.col("at").bitwiseAND(row) + (F.create_map(*before)[part] if before else F.lit(0))).cast("long").alias("at"))
+    placed = placed.select("word", "mask", (F.col("at").bitwiseAND(row) + (F.create_map(*before)[part] if before else F.lit(0))).cast("long").alias("at"))
     # A block also has the PREFIX_MIN - 1 words before and after it.
     near = PREFIX_MIN - 1
     blocks = F.array_distinct(F.array(*[F.floor((F.col("at") + i) / block).cast("long") for i in (-near, 0, near)]))
@@ -291,20 +309,21 @@ def prefix_depths(words: DataFrame, block: int = 1 << 14) -> DataFrame:
         padded = np.concatenate([edge, shared, edge])[: len(w) + near]
         depth = np.max([padded[i : i + len(w)] for i in range(near + 1)], axis=0) if len(shared) else np.zeros(len(w), np.int64)
         own = np.flatnonzero(at // block == rows.column("block")[0].as_py())
-        return pa.table([pa.array([w[i] for i in own], pa.binary()), pa.array(depth[own])], ["word", "depth"])
+        mask = rows.column("mask").take(pa.array(order[own]))
+        return pa.table([pa.array([w[i] for i in own], pa.binary()), mask, pa.array(depth[own])], ["word", "mask", "depth"])
 
-    found = placed.select("word", "at", F.explode(blocks).alias("block")).groupBy("block").applyInArrow(depths, "word binary, depth long")
-    return found.repartition(shuffle_partitions(spark), "word").sortWithinPartitions(F.xxhash64("word"), "word")
+    found = placed.select("word", "mask", "at", F.explode(blocks).alias("block")).groupBy("block").applyInArrow(depths, "word binary, mask long, depth long")
+    return found
 
 
 def fit_tables(words: DataFrame) -> list[np.ndarray]:
-    """The hashed tables from (word, depth), summed over all tasks in slices of 2**SLICE cells."""
+    """The hashed tables from (word, mask, depth), summed over all tasks in slices of 2**SLICE cells."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros((1 << log, 2), np.float64) for log in TABLE_LOGS]
         some = False
-        for run, depths in _words(batches, 0):
-            count_tables(run, np.ones(len(run)), tables, depths)
+        for run, classes, depths in _runs(batches):
+            count_tables(run, classes, np.ones(len(run)), tables, depths)
             some = True
         for k, t in enumerate(tables if some else []):
             flat = t.reshape(-1)
@@ -322,7 +341,7 @@ def fit_tables(words: DataFrame) -> list[np.ndarray]:
         for (k, i), own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([encode_counts(own).tobytes()], pa.binary())], ["k", "i", "counts"])
 
-    parts = words.select("word", "depth").mapInArrow(part, "k int, i int, cells binary, counts binary")
+    parts = words.select("word", "mask", "depth").mapInArrow(part, "k int, i int, cells binary, counts binary")
     n = shuffle_partitions(words.sparkSession)
     sums = parts.repartition(n, "k", "i").mapInArrow(add, "k int, i int, counts binary")
     tables = [np.zeros(2 << log, np.uint8) for log in TABLE_LOGS]
@@ -331,28 +350,52 @@ def fit_tables(words: DataFrame) -> list[np.ndarray]:
     return [t.reshape(-1, 2) for t in tables]
 
 
-def fit_weights(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Weights averaged over the tasks by what each gate saw there, and the summed adaptive map. ``shared``: the broadcast tables; ``words``: (word, depth)."""
+def fit_weights(words: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the spelling, averaged over shards of words by what each gate saw there, and the summed adaptive map. ``words``: (word, mask, depth)."""
+    shards = max(1, -(-n_words // SPELL_SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(shared.value)
-        for own, depths in _words(batches, 0):
-            t.learn(own, np.ones(len(own)), depths)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t.weights, t.mass, t.map)], ["weights", "mass", "map"])
+        def flush():
+            if own:
+                t.learn([w for w, _, _ in own], np.array([k for _, k, _ in own]), np.ones(len(own)), np.array([d for _, _, d in own]))
+                own.clear()
+
+        def row():
+            flush()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (t.weights, t.mass, t.map)]], ["shard", "weights", "mass", "map"])
+
+        t, current, own, size = None, None, [], 0
+        for batch in batches:
+            for shard, w, mask, depth in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != current:
+                    if t is not None:
+                        yield row()
+                    t, current, size = Trainer(shared.value), shard, 0
+                for k in range(mask.bit_length()):
+                    if mask >> k & 1:
+                        own.append((w, k, depth))
+                        size += len(w) + 1
+                if len(own) >= SPELL_STEP or size > 1_000_000:
+                    flush()
+                    size = 0
+        if t is not None:
+            yield row()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((GATES, ORDERS + 1)), np.zeros(GATES), np.zeros((GATES, STEPS, 2))]
         for b in batches:
-            for w, m, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for w, m, x in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
                 own = np.frombuffer(m)
                 sums[0] += np.frombuffer(w).reshape(sums[0].shape) * own[:, None]
                 sums[1] += own
                 sums[2] += np.frombuffer(x).reshape(sums[2].shape)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], ["weights", "mass", "map"])
 
-    # One small row a task; they are added up as a stream.
-    schema = "weights binary, mass binary, map binary"
-    row = words.select("word", "depth").mapInArrow(run, schema).repartition(1).mapInArrow(add, schema).first()
+    shard = F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard")
+    ordered = words.select(shard, "word", "mask", "depth").repartition(shuffle_partitions(words.sparkSession), "shard").sortWithinPartitions("shard", F.xxhash64("word"), "word")
+    # One small row a shard; they are added up as a stream, in order.
+    rows = ordered.mapInArrow(run, "shard int, weights binary, mass binary, map binary").repartition(1).sortWithinPartitions("shard")
+    row = rows.mapInArrow(add, "weights binary, mass binary, map binary").first()
     weights, mass, map_ = (np.frombuffer(row[i]).reshape(shape).copy() for i, shape in enumerate(((GATES, ORDERS + 1), (GATES,), (GATES, STEPS, 2))))
     seen = mass > 0
     overall = weights.sum(0) / max(1.0, mass.sum())
@@ -361,171 +404,556 @@ def fit_weights(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return weights, map_
 
 
-class Classes:
-    """Numbers of tokens and types, discount and prior of each class and of all together (the last)."""
-
-    def __init__(self, n: list[int], v: list[int], n1: list[int], n2: list[int], docs: list[int]):
-        self.n, self.v = np.maximum(np.array(n, np.float64), 1), np.array(v, np.float64)
-        ones, twos = np.array(n1, np.float64), np.array(n2, np.float64)
-        self.discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.05, 0.95)
-        self.back = np.minimum(self.discount * self.v / self.n, 1)
-        known = np.array(docs[:-1], np.float64)
-        self.active = np.flatnonzero(known)
-        self.prior = np.log10(known[self.active] / known.sum()) if len(self.active) else np.zeros(1)
-
-    def log10(self, by: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """(words, active classes): log10 probability, from (words, classes) counts and the log10 probability of the spelling."""
-        if not len(self.active):
-            return spelled[:, None]
-        p = 10.0**spelled
-        whole = np.maximum(by.sum(1) - self.discount[-1], 0) / self.n[-1]
-        everywhere = whole + self.back[-1] * p
-        # The logarithm of a long word's spelling may be below any float: then the back-off is added up in logarithms.
-        low = np.log10(np.maximum(everywhere, 1e-300))
-        low = np.where(everywhere > 1e-280, low, spelled + np.log10(self.back[-1]))
-        a = self.active
-        own = np.maximum(by[:, a] - self.discount[a], 0) / self.n[a]
-        return np.where(own > 0, np.log10(own + self.back[a] * 10.0 ** low[:, None], where=own > 0, out=np.zeros_like(own)), low[:, None] + np.log10(self.back[a]))
-
-
-def score_words(vocab: DataFrame, shared, weights: np.ndarray, map_: np.ndarray, classes: Classes) -> DataFrame:
-    """(word, c, lp array): the model's log10 probabilities of the word in the active classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, weights, map_)
-        for batch in batches:
-            by = np.array(batch.column("by").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            at = 0
-            for words, counts in _words(iter([batch]), 0):
-                lp = classes.log10(by[at : at + len(words)], model.log2(words) * np.log10(2)).astype(np.float32)
-                at += len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(list(lp), pa.list_(pa.float32()))], ["word", "c", "lp"])
-
-    return vocab.select("word", "c", "by").mapInArrow(run, "word binary, c long, lp array<float>")
-
-
-def _hot(scored: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The most frequent words, those above the lowest count bucket by which there are at most HOT_WORDS: word -> row, counts, lp."""
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a canonical Huffman code of counts in descending order; a single symbol has length 0."""
+    n = len(counts)
+    up = np.maximum(counts[::-1], max(1, int(counts.sum()) >> 40)).tolist()
+    made: list[int] = []
+    parent = [0] * max(0, 2 * n - 2)
+    i = j = 0
+    for k in range(n - 1):
+        total = 0
+        for _ in range(2):
+            if j >= len(made) or (i < n and up[i] <= made[j]):
+                total += up[i]
+                parent[i] = n + k
+                i += 1
+            else:
+                total += made[j]
+                parent[n + j] = n + k
+                j += 1
+        made.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    length = np.sort(np.array(depth[:n], np.int64))
+    codes, code, last = [], 0, 0
+    for x in length.tolist():
+        code <<= x - last
+        codes.append(code)
+        code, last = code + 1, x
+    return length, np.array(codes, np.int64)
+
+
+class Dictionary:
+    """Frequent words by falling count: number 0 is the escape, 1 the end; each has a class and a path of bits."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, classes: np.ndarray, ends: int, escapes: int, n_classes: int, below: float):
+        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+        self.words = [b"", END, *[words[i] for i in order]]
+        self.counts = np.concatenate([[escapes, ends], np.array(counts, np.int64)[order]]).astype(np.int64)
+        self.classes = np.concatenate([[n_classes, n_classes + 1], np.array(classes, np.int64)[order]]).astype(np.int64)
+        self.n_classes = n_classes
+        # The base model's logarithm and whether the word is known; of escaped words both are added elsewhere.
+        self.base, self.known = np.log10(self.counts + 1) - below, (self.counts > 0).astype(np.int64)
+        self.base[0] = self.known[0] = 0
+        self.length, self.code = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        weight = np.bincount(self.classes, np.maximum(self.counts, 1), n_classes + 2)
+        used = sorted(np.flatnonzero(weight).tolist(), key=lambda c: (-weight[c], c))
+        for c, n, v in zip(used, *huffman(weight[used].astype(np.int64)), strict=True):
+            own = np.flatnonzero(self.classes == c)
+            own = own[np.argsort(-self.counts[own], kind="stable")]
+            length, code = huffman(self.counts[own])
+            self.length[own], self.code[own] = length + n, (v << length) | code
+
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words) if i}
+
+    def open(self) -> None:
+        """What a task needs besides."""
+        if hasattr(self, "hash"):
+            return
+        i = np.arange(len(self.words))
+        self.top = np.where(i < TOP_WORDS, i, TOP_WORDS + self.classes)
+        self.pair = np.where(i < TOP_PAIR, i, TOP_PAIR + self.classes)
+        self.symbol = np.array([bool(w) and w != END and w[-1] not in _ALNUM for w in self.words], np.int64)
+        self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+
+
+def contexts(d: Dictionary, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(5, words): the context of each predictor, for documents that begin at ``starts``. Only words before a word count."""
+    n = len(ids)
+    at = np.arange(n)
+    start = np.repeat(starts, np.diff(np.append(starts, n)))
+    before = lambda x, k, none: np.where(at - k >= start, x[np.maximum(at - k, 0)], none)
+    none, pair_none = TOP_WORDS + d.n_classes + 2, TOP_PAIR + d.n_classes + 2
+    votes = np.zeros((n + 1, d.n_classes), np.int32)
+    own = d.classes[ids]
+    seen = own < d.n_classes
+    votes[1:][at[seen], own[seen]] = 1
+    votes = np.cumsum(votes, axis=0, dtype=np.int32)
+    votes = votes[at] - votes[np.maximum(at - 32, start)]
+    language = np.where(votes.any(1), votes.argmax(1), d.n_classes) if d.n_classes else np.zeros(n, np.int64)
+    symbols = np.concatenate([[0], np.cumsum(d.symbol[ids])])
+    symbols = symbols[at] - symbols[np.maximum(at - 8, start)]
+    return np.stack([np.zeros(n, np.int64), language * 16 + symbols, before(d.top[ids], 1, none), before(d.pair[ids], 1, pair_none) * 4096 + before(d.pair[ids], 2, pair_none), before(d.top[ids], 2, none)])
+
+
+class Path:
+    """The bits of words, with the slots of the predictors."""
+
+    def __init__(self, d: Dictionary, ids: np.ndarray, context: np.ndarray):
+        length = d.length[ids]
+        self.starts = np.cumsum(length) - length
+        self.word = np.repeat(np.arange(len(ids)), length)
+        self.depth = np.arange(len(self.word)) - self.starts[self.word]
+        left = length[self.word] - self.depth
+        code = d.code[ids][self.word]
+        self.bit = (code >> (left - 1)) & 1
+        self.node = ((np.int64(1) << self.depth) | (code >> left)).astype(np.uint64) * _MUL[1]
+        self.context = (context.astype(np.uint64) + _U(1)) * np.array(_MUL, _U)[:, None]
+
+    def slots(self, k: int) -> tuple[np.ndarray | slice, np.ndarray]:
+        """The bits of which predictor k speaks, and their slots."""
+        rows = slice(None) if DEPTHS[k] >= 64 else np.flatnonzero(self.depth < DEPTHS[k])
+        h = (self.node[rows] ^ self.context[k][self.word[rows]]) * _MUL[2]
+        return rows, ((h ^ (h >> _U(29))) * _MUL[0] >> _U(64 - WORD_LOGS[k])).astype(np.int64)
+
+
+def count_paths(d: Dictionary, ids: np.ndarray, context: np.ndarray, tables: list[np.ndarray]) -> None:
+    """Add the bits of words to the tables, arrays of slots * 2."""
+    for at in range(0, len(ids), 50_000):
+        p = Path(d, ids[at : at + 50_000], context[:, at : at + 50_000])
+        for k, table in enumerate(tables):
+            rows, slot = p.slots(k)
+            table += np.bincount(slot * 2 + p.bit[rows], minlength=len(table)).astype(table.dtype)
+
+
+def _pairs() -> tuple[np.ndarray, np.ndarray]:
+    """Log odds, and the number of occurrences on a logarithmic scale, of a slot's two bytes: as they are, with one 0 less and with one 1 less."""
+    n0, n1 = np.tile(COUNTS, 256), np.repeat(COUNTS, 256)
+    sets = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+    return np.concatenate([odds(a, b) for a, b in sets]), np.concatenate([np.log2(a + b + 1) for a, b in sets])
+
+
+LOG_ODDS, SEEN = _pairs()
+PREDICTORS, WORD_GATES = len(WORD_LOGS), 56
+
+
+class Mixer:
+    """One shard's stream: predicts a step, then learns from it."""
+
+    def __init__(self, d: Dictionary, tables: list[np.ndarray]):
+        self.d, self.tables = d, [t.reshape(-1).view(np.uint16) for t in tables]
+        self.weights = np.full((WORD_GATES, PREDICTORS + 1), 0.3)
+        self.weights[:, -1] = 0
+        self.squares = np.full(self.weights.shape, 1e-3)
+        self.map = np.zeros((WORD_GATES, STEPS, 2))
+        self.stretches = np.full((4, 4, 2), 0.5)
+
+    def step(self, ids: np.ndarray, context: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """log2 probability of each word. ``train``: is it of a training document?"""
+        p = Path(self.d, ids, context)
+        own = train[p.word]
+        less = np.where(own, (1 + p.bit) << 16, 0)
+        x = np.zeros((PREDICTORS + 1, len(p.bit)))
+        x[-1] = 1
+        known = np.zeros((PREDICTORS, len(p.bit)))
+        for k, table in enumerate(self.tables):
+            rows, slot = p.slots(k)
+            found = table[slot] + less[rows]
+            x[k, rows] = LOG_ODDS[found]
+            if k in (0, 2, 3):
+                known[k, rows] = SEEN[found]
+        gate_ = np.where(p.depth < DEPTHS[2], np.minimum(known[2].astype(np.int64), 11) * 4 + np.minimum((known[3] / 3).astype(np.int64), 3), 48 + np.minimum((known[0] / 2).astype(np.int64), 7))
+        z = np.einsum("kn,nk->n", x, self.weights[gate_])
+        steps = _steps(z)
+        centre = squash((np.arange(STEPS) - STEPS // 2) / 2)
+        share = (self.map[:, :, 1] + 20 * centre) / (self.map.sum(2) + 20)
+        refined = np.log(share / (1 - share))[gate_, steps]
+        final = np.clip((z + refined) / 2, -20, 20)
+        cost = -np.logaddexp(0, np.where(p.bit == 1, -final, final)) / np.log(2)
+        if own.any():
+            g = gate_[own]
+            mass = np.maximum(np.bincount(g, minlength=WORD_GATES), 1)
+            error = squash(z[own]) - p.bit[own]
+            for k in range(PREDICTORS + 1):
+                slope = np.bincount(g, error * x[k, own], WORD_GATES) / mass
+                self.squares[:, k] += slope**2
+                self.weights[:, k] -= 0.05 * slope / np.sqrt(self.squares[:, k])
+            self.map += np.bincount((g * STEPS + steps[own]) * 2 + p.bit[own], minlength=self.map.size).reshape(self.map.shape)
+        return np.add.reduceat(cost, p.starts)
+
+    def flags(self, found: list[tuple[int, bool, int]], train: bool) -> float:
+        """log2 probability of a document's (stretch, does it follow?, occurrences), which are in order."""
+        total, run = 0.0, 0
+        for _, hit, n in found:
+            cell = self.stretches[min(run, 3), min(n.bit_length() - 1, 3)]
+            total += np.log2(cell[int(hit)] / (cell[0] + cell[1]))
+            if train:
+                cell[int(hit)] += 1
+            run = run + 1 if hit else 0
+        return float(total)
+
+
+def word_hashes(d: Dictionary, ids: np.ndarray, rare: list[bytes]) -> np.ndarray:
+    """64 bits of each word; ``rare`` are the words of number 0, in order."""
+    h = d.hash[ids]
+    h[ids == 0] = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), np.uint64, len(rare))
+    return h
+
+
+def stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, contexts, digests) of a document's stretches, from its words' hashes, the end's last. A stretch reaches to the next one or the end."""
+    pair = h[:-2] * _MUL[1] + h[1:-1] * _MUL[3]
+    pair = (pair ^ (pair >> _U(31))) * _MUL[2]
+    starts = np.flatnonzero((pair >> _U(20)) % _U(SPACING) == 0) + 2
+    if not len(starts):
+        return starts, starts.astype(np.uint64), starts.astype(np.uint64)
+    context = np.zeros(len(starts), np.uint64)
+    for i in range(CONTEXT, 0, -1):
+        context = (context + np.where(starts >= i, h[np.maximum(starts - i, 0)], _U(0))) * _U(_P)
+        context ^= context >> _U(32)
+    length = np.diff(np.append(starts, len(h)))
+    place = np.arange(starts[0], len(h)) - np.repeat(starts, length)
+    power = np.cumprod(np.concatenate([[_U(1)], np.full(int(length.max()), _U(_P))]), dtype=np.uint64)
+    mixed = (h[starts[0] :] ^ (h[starts[0] :] >> _U(30))) * _MUL[0]
+    return starts, context, np.add.reduceat(mixed * power[place], starts - starts[0]) ^ length.astype(np.uint64)
+
+
+def escaped(c: np.ndarray, spelled: np.ndarray, n: int, discount: float, back: float) -> np.ndarray:
+    """log10 probability of an escaped word from its count, of ``n`` in all, and the log10 probability of its spelling."""
+    own = np.maximum(c - discount, 0) / max(n, 1)
+    low = spelled + np.log10(max(back, 1e-12))  # its power of 10 may be below any float
+    return np.where(own > 0, np.log10(own + 10.0 ** np.maximum(low, -300), where=own > 0, out=np.zeros_like(own)), low)
+
+
+def _is_hot(vocab: DataFrame):
+    """The condition that a word is in the dictionary: above the lowest count bucket by which there are at most HOT_WORDS."""
     bucket = F.floor(F.log2("c") * 16).cast("int")
-    short = scored.where((F.col("c") > 0) & (F.length("word") <= HOT_LENGTH)).withColumn("bucket", bucket)
-    sizes, n, least = {r["bucket"]: r["count"] for r in short.groupBy("bucket").count().collect()}, 0, None
+    fits = (F.col("c") > 1) & (F.length("word") <= HOT_LENGTH) & (F.col("word") != F.lit(END))
+    sizes, n, least = {r["bucket"]: r["count"] for r in vocab.where(fits).groupBy(bucket.alias("bucket")).count().collect()}, 0, 1 << 30
     for b in sorted(sizes, reverse=True):
         n += sizes[b]
         if n > HOT_WORDS:
             break
         least = b
-    t = short.where(F.col("bucket") >= (least if least is not None else 1 << 30)).select("word", "c", "lp").toArrow()
-    rows = t.num_rows
-    lp = np.array(t.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(rows, -1) if rows else np.zeros((0, 1), np.float32)
-    return {w: i for i, w in enumerate(t.column(0).to_pylist())}, t.column(1).to_numpy(), lp
+    return fits & (bucket >= least)
+
+
+def fit_paths(docs: DataFrame, hot) -> list[np.ndarray]:
+    """The word predictors' tables, counted over the training documents and summed over all tasks in slices of 2**SLICE cells."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, number = hot.value
+        d.open()
+        tables = [np.zeros(2 << log, np.uint32) for log in WORD_LOGS]
+        z = zstandard.ZstdCompressor(level=3)
+        for ids, starts, _, _ in _streams(batches, number):
+            count_paths(d, ids, contexts(d, ids, starts), tables)
+        for k, flat in enumerate(tables):
+            for i in range(0, len(flat), 1 << SLICE):
+                own = flat[i : i + (1 << SLICE)]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i >> SLICE], pa.int32()), pa.array([z.compress(own.tobytes())], pa.binary())], ["k", "i", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, i, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums.setdefault((k, i), np.zeros(1 << SLICE, np.uint64))[:] += np.frombuffer(z.decompress(counts), np.uint32)
+        for (k, i), own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([encode_counts(own).tobytes()], pa.binary())], ["k", "i", "counts"])
+
+    parts = docs.where("train").select("text").mapInArrow(part, "k int, i int, counts binary")
+    sums = parts.repartition(shuffle_partitions(docs.sparkSession), "k", "i").mapInArrow(add, "k int, i int, counts binary")
+    tables = [np.zeros(2 << log, np.uint8) for log in WORD_LOGS]
+    for row in sums.collect():  # the tables' fixed size in all
+        tables[row["k"]][row["i"] << SLICE : (row["i"] + 1) << SLICE] = np.frombuffer(row["counts"], np.uint8)
+    return tables
+
+
+def _streams(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[int]]]:
+    """(numbers of words, where documents begin, escaped words, their documents) of texts in the batches' last column, ``least`` words or so at once.
+
+    The last item is the number of documents so far.
+    """
+    ids: list[int] = []
+    starts: list[int] = []
+    rare: list[bytes] = []
+    done = 0
+    for batch in batches:
+        for text in batch.columns[-1].to_pylist():
+            starts.append(len(ids))
+            own = tokens(text)
+            place = [number.get(w, 0) for w in own]
+            ids += place
+            ids.append(1)
+            if 0 in place:
+                rare += [w for w, i in zip(own, place, strict=True) if not i]
+            if len(ids) >= least:
+                done += len(starts)
+                yield np.array(ids, np.int64), np.array(starts, np.int64), rare, done
+                ids, starts, rare = [], [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(starts, np.int64), rare, done + len(starts)
+
+
+def matched(docs: DataFrame, hot) -> DataFrame:
+    """(doc_id, h, i, hit, n): of the stretches that another training document has after the same words, does the same follow here? n: occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, number = hot.value
+        d.open()
+        for batch in batches:
+            at = 0
+            for ids, starts, rare, done in _streams(iter([batch]), number):
+                h = word_hashes(d, ids, rare)
+                made = [stretches(x) for x in np.split(h, starts[1:])]
+                n = [len(m[0]) for m in made]
+                rows = pa.array(np.repeat(np.arange(at, done), n))
+                own = [batch.column(c).take(rows) for c in ("doc_id", "h", "train")]
+                i = np.concatenate([np.arange(x) for x in n]).astype(np.int32)
+                at = done
+                yield pa.RecordBatch.from_arrays([*own, pa.array(i), *[pa.array(np.concatenate([m[k] for m in made]).view(np.int64)) for k in (1, 2)]], ["doc_id", "h", "train", "i", "context", "digest"])
+
+    places = materialise(docs.select("doc_id", "h", "train", "text").mapInArrow(run, "doc_id long, h long, train boolean, i int, context long, digest long"), "lm-places")
+    one = F.struct("h", "digest")
+    source = places.where("train").groupBy("context").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n"))
+    source = materialise(source, "lm-stretches")
+    # Contexts of more than a thousandth of all places, a thousand at most, are salted.
+    hot_n = max(50_000, places.count() // 1000)
+    salted = F.broadcast(source.where(F.col("n") > hot_n).select(F.col("context").alias("hc"), F.least(F.lit(64), F.ceil(F.col("n") / hot_n)).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    ask = places.join(salted, places["context"] == salted["hc"], "left").withColumn("salt", F.pmod("h", salts).cast("int"))
+    tell = source.join(salted, source["context"] == salted["hc"], "left").select("context", "low", "high", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    met = ask.join(tell, ["context", "salt"])
+    expected = F.when(~F.col("train") | (F.col("low.h") != F.col("h")), F.col("low.digest")).when(F.col("high.h") != F.col("h"), F.col("high.digest"))
+    return met.withColumn("expected", expected).where("expected IS NOT NULL").select("doc_id", "h", "i", (F.col("expected") == F.col("digest")).alias("hit"), "n")
+
+
+class Pending:
+    """A shard's words that wait for a full step, and its documents that wait for their scores."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+        self.scores: list[float] = []
+        self.rows: list[tuple] = []
+        self.last: tuple | None = None
+        self.row: tuple = ()
+
+    def add(self, ids: np.ndarray, context: np.ndarray, train: bool, extra: float) -> None:
+        if len(ids):
+            self.parts.append((ids, context, np.full(len(ids), train), np.full(len(ids), len(self.scores))))
+        self.scores.append(extra)
+        self.n += len(ids)
+
+    def run(self, everything: bool) -> None:
+        """Score full steps; the rest, too, at the end of the shard."""
+        if not self.n or (self.n < STEP and not everything):
+            return
+        ids, context, train, doc = (np.concatenate([p[i] for p in self.parts], axis=-1) for i in range(4))
+        at = 0
+        while at + STEP <= self.n or (everything and at < self.n):
+            own = slice(at, at + STEP)
+            bits = self.mixer.step(ids[own], context[:, own], train[own])
+            low = doc[at]
+            for k, x in enumerate(np.bincount(doc[own] - low, bits).tolist()):
+                self.scores[low + k] += x
+            at += STEP
+        self.parts = [(ids[at:], context[:, at:], train[at:], doc[at:])] if at < self.n else []
+        self.n = max(0, self.n - at)
+
+    def done(self, everything: bool) -> list[tuple]:
+        """Rows (..., score) of documents with all words scored."""
+        first = len(self.scores) if everything or not self.n else int(self.parts[0][3][0])
+        out = [(*r[:-1], self.scores[r[-1]] * float(np.log10(2))) for r in self.rows if r[-1] < first]
+        self.rows = [r for r in self.rows if r[-1] >= first]
+        return out
+
+
+def score_stream(rows: Iterator[tuple], d: Dictionary, number: dict[bytes, int], tables: list[np.ndarray], ask, flush: int = 512) -> Iterator[list[tuple]]:
+    """Documents of whole shards in order, rows (shard, h, doc_id, held_out, text, [(stretch, hit, n)]) -> (doc_id, h, held_out, n_tokens, known, base, bytes, score).
+
+    ``ask`` is called with (h, doc_id, train, {(word, class): [occurrences, coded occurrences]}) for the escaped words of a document; they are missing in the sums. Rows equal in
+    (h, doc_id) follow each other and are one document.
+    """
+    shard, pending, waiting = None, None, 0
+    for s, h, doc_id, held_out, text, found in rows:
+        if s != shard:
+            if pending:
+                pending.run(True)
+                yield pending.done(True)
+            shard, pending, waiting = s, Pending(Mixer(d, tables)), 0
+        if pending.last == (h, doc_id):
+            pending.rows.append(pending.row)
+            continue
+        pending.last = (h, doc_id)
+        own = tokens(text)
+        place = [number.get(w, 0) for w in own]
+        ids = np.array([*place, 1], np.int64)
+        rare = [w for w, i in zip(own, place, strict=True) if not i] if 0 in place else []
+        context = contexts(d, ids, np.zeros(1, np.int64))
+        coded = np.ones(len(ids), bool)
+        extra = 0.0
+        if found:
+            found = sorted(set(found))
+            extra = pending.mixer.flags(found, not held_out)
+            if any(hit for _, hit, _ in found):
+                starts = stretches(word_hashes(d, ids, rare))[0]
+                ends = [*starts[1:].tolist(), len(ids)]
+                for i, hit, _ in found:
+                    if hit:
+                        coded[starts[i] : ends[i]] = False
+        if rare:
+            wanted: dict[tuple[bytes, int], list[int]] = {}
+            escapes = ids == 0
+            for w, k, c in zip(rare, (context[1, escapes] // 16 % d.n_classes).tolist(), coded[escapes].tolist(), strict=True):
+                cell = wanted.setdefault((w, k), [0, 0])
+                cell[0] += 1
+                cell[1] += c
+            ask(h, doc_id, not held_out, wanted)
+        pending.add(ids[coded], context[:, coded], not held_out, extra)
+        pending.row = (doc_id, h, held_out, len(ids), int(d.known[ids].sum()), float(d.base[ids].sum()), sum(map(len, own)) + len(ids), len(pending.scores) - 1)
+        pending.rows.append(pending.row)
+        pending.run(False)
+        waiting += 1
+        if waiting >= flush:
+            if out := pending.done(False):
+                yield out
+            waiting = 0
+    if pending:
+        pending.run(True)
+        yield pending.done(True)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text).
+
+    The bytes are those that are coded: of the words, with one byte for the space or the end after each.
+    """
+    spark = docs.sparkSession
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"), (crc32_mod("doc_id", modulus) == held_out).alias("held_out"))
-    d = d.withColumn("train", ~F.col("held_out")).withColumn("key", F.xxhash64("text", F.col("doc_id").cast("string")))
+    d = d.withColumn("train", ~F.col("held_out")).withColumn("h", F.xxhash64("text", F.col("doc_id").cast("string")))
     langs = [r["lang"] for r in d.where("train AND lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    size = 2 * len(langs) + 2
-    counted = word_counts(d, langs)
-    nothing = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.array(*[F.lit(0).cast("long")] * size).alias("by"))
-    counted = counted.unionByName(nothing).groupBy("word").agg(*[F.sum(F.col("by")[i]).alias(f"c{i}") for i in range(size)])
+    size = len(langs) + 1
+    nothing = spark.range(1).select(F.lit(END).alias("word"), F.array(*[F.lit(0).cast("long")] * size).alias("by"))
+    counted = word_counts(d, langs).unionByName(nothing).groupBy("word").agg(*[F.sum(F.col("by")[i]).alias(f"c{i}") for i in range(size)])
     vocab = materialise(counted.select("word", sum([F.col(f"c{i}") for i in range(1, size)], F.col("c0")).alias("c"), F.array(*[f"c{i}" for i in range(size)]).alias("by")), "lm-words")
-    of = [F.col("by")[i] for i in range(size)] + [F.col("c")]
-    made = vocab.agg(*[F.struct(F.coalesce(F.sum(x), F.lit(0)).alias("n"), *[F.count(F.when(cond, 1)).alias(name) for name, cond in (("v", x > 0), ("n1", x == 1), ("n2", x == 2))]).alias(f"s{i}") for i, x in enumerate(of)]).first()
-    n, v = made[-1]["n"], made[-1]["v"]
-    end = vocab.where(F.col("word") == F.lit(END)).first()
-    classes = Classes(*[[row[name] for row in made] for name in ("n", "v", "n1", "n2")], [*end["by"], end["c"]])
-    words = materialise(prefix_depths(vocab.where("c >= 1")), "lm-depths")
-    tables = d.sparkSession.sparkContext.broadcast(fit_tables(words))
-    scored = materialise(score_words(vocab, tables, *fit_weights(words, tables), classes), "lm-scored")
-    below = np.log10(n + v + 1)
-    names, hot_counts, hot_lp = _hot(scored)
-    hot = d.sparkSession.sparkContext.broadcast((names, np.log10(hot_counts + 1) - below, hot_lp))
-    end_base, end_known = float(np.log10(end["c"] + 1) - below), int(end["c"] > 0)
-    names_of = ["doc_id", "held_out", "key", "n_tokens", "known", "base", "lp", "bytes", "word", "keys", "times"]
-    end_lp = np.array(scored.where(F.col("word") == F.lit(END)).first()["lp"], np.float64) + classes.prior
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two kinds of rows from one reading: a document's sums over its hot words, and requests for the others."""
-        known, hot_base, hot_lp = hot.value
-        number: dict[bytes, int] = {}
-        word_at: list[int] = []
-        key_at: list[int] = []
-        times: list[int] = []
+    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    below = float(np.log10(n + v + 1))
+    is_hot = _is_hot(vocab)
+    t = vocab.where(is_hot).select("word", "c", "by").toArrow()  # HOT_WORDS rows at most
+    by = np.array(t.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64).reshape(t.num_rows, size)
+    rare = vocab.where(~F.coalesce(is_hot, F.lit(False)) & (F.col("word") != F.lit(END)))
+    n_rare, v_rare, ones, twos = rare.agg(F.coalesce(F.sum("c"), F.lit(0)), *[F.count(F.when(x, 1)) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
+    end = vocab.where(F.col("word") == F.lit(END)).first()["c"]
+    dictionary = Dictionary(t.column(0).to_pylist(), t.column(1).to_numpy(), by.argmax(1) if t.num_rows else np.zeros(0), end, n_rare, size, below)
+    hot = spark.sparkContext.broadcast((dictionary, dictionary.index()))
+    # Every escaped word may be new: at most 0.95 of an occurrence stays with it. With one occurrence each, nearly all goes to the spelling.
+    discount = float(np.clip(ones / max(ones + 2 * twos, 1), 0.05, 0.95))
+    back = min(1.0, discount * v_rare / n_rare) if n_rare else 1.0
+    mask = sum([F.when(F.col("by")[i] > 0, 1 << i).otherwise(0) for i in range(1, size)], F.when(F.col("by")[0] > 0, 1).otherwise(0)).cast("long")
+    words = materialise(prefix_depths(vocab.where("c >= 1").select("word", mask.alias("mask"))), "lm-depths")
+    spelling = spark.sparkContext.broadcast(fit_tables(words))
+    weights = fit_weights(words, v, spelling)
+    paths = spark.sparkContext.broadcast(fit_paths(d, hot))
+    shard = F.pmod("h", F.lit(max(1, -(-n // SHARD_WORDS)))).cast("int").alias("shard")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            *own, text = batch.columns
+            yield pa.RecordBatch.from_arrays([*own, pa.array([z.compress(x.encode("utf-8", "surrogatepass")) for x in text.to_pylist()], pa.binary())], ["doc_id", "h", "held_out", "blob"])
+
+    packed = d.select("doc_id", "h", "held_out", "text").mapInArrow(pack, "doc_id long, h long, held_out boolean, blob binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    stream = matched(d, hot).select("doc_id", "h", none("boolean").alias("held_out"), none("binary").alias("blob"), "i", "hit", "n")
+    stream = stream.unionByName(packed.select("*", none("int").alias("i"), none("boolean").alias("hit"), none("long").alias("n")))
+    stream = stream.select(shard, "*").repartitionById(shuffle_partitions(spark), F.col("shard") % shuffle_partitions(spark)).sortWithinPartitions("shard", "h", "doc_id", F.col("blob").isNotNull())
+    names = ["doc_id", "h", "held_out", "n_tokens", "known", "base", "bytes", "lp", "word", "k", "keys", "ids", "times", "coded"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two kinds of rows: a document's sums, and requests for escaped words."""
+        d, number = hot.value
+        d.open()
+        z = zstandard.ZstdDecompressor()
+        asked: dict[tuple[bytes, int], int] = {}
+        lists: list[list[int]] = [[], [], [], [], []]  # word, h, id, occurrences, coded ones and whether to leave one out
+
+        def ask(h, doc_id, train, wanted):
+            for w, (times, coded) in wanted.items():
+                for own, x in zip(lists, (asked.setdefault(w, len(asked)), h, doc_id or 0, times, coded * 2 + train), strict=True):
+                    own.append(x)
 
         def requests():
-            w, k, c = np.array(word_at, np.int64), np.array(key_at, np.int64), np.array(times, np.int32)
-            order = np.argsort(w, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(number)))])
-            n = len(number)
-            packed = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in (k, c)]
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())] + [pa.array(list(number), pa.binary()), *packed], names_of)
+            word = np.array(lists[0], np.int64)
+            order = np.argsort(word, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(asked)))])
+            n = len(asked)
+            packed = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * np.dtype(t).itemsize).astype(np.int32)), pa.py_buffer(np.array(x, t)[order])]) for x, t in zip(lists[1:], (np.int64, np.int64, np.int32, np.int32), strict=True)]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in kinds], pa.array([w for w, _ in asked], pa.binary()), pa.array([k for _, k in asked], pa.int32()), *packed], names)
 
-        for batch in batches:
-            heads = []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = tokens(text)
-                place = [known.get(w, -1) for w in own]
-                at = np.array(place, np.int64)
-                at = at[at >= 0]
-                lp = hot_lp[at].sum(0, dtype=np.float64) + end_lp if len(at) else end_lp
-                heads.append((len(own) + 1, len(at) + end_known, float(hot_base[at].sum()) + end_base, float(lp.max()), len(text.encode("utf-8", "surrogatepass"))))
-                if len(at) < len(own):
-                    k = int(lp.argmax())
-                    rare = Counter([w for w, i in zip(own, place, strict=True) if i < 0])
-                    word_at += [number.setdefault(w, len(number)) for w in rare]
-                    times += [c << 8 | k for c in rare.values()]
-                    key_at += [key] * len(rare)
-                    if len(word_at) > FLUSH_PAIRS:
-                        yield requests()
-                        number, word_at, key_at, times = {}, [], [], []
-            made = [pa.array(list(x), t) for x, t in zip(zip(*heads, strict=True) if heads else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("key"), *made, *[pa.nulls(batch.num_rows, pa.binary())] * 3], names_of)
-        if word_at:
+        def rows():
+            found = []
+            for batch in batches:
+                for s, i, h, held, blob, at, hit, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if blob is None:
+                        found.append((at, hit, n))
+                    else:
+                        yield s, h, i, held, z.decompress(blob).decode("utf-8", "surrogatepass"), found
+                        found = []
+
+        for done in score_stream(rows(), d, number, paths.value, ask):
+            if done:
+                made = [pa.array(list(x), t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(done), t) for t in (pa.binary(), pa.int32(), *[pa.binary()] * 4)]], names)
+            if len(lists[0]) > FLUSH_PAIRS:
+                yield requests()
+                asked.clear()
+                for own in lists:
+                    own.clear()
+        if asked:
             yield requests()
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(spelling.value, *weights)
         parts: list[tuple] = []
         size = 0
 
         def rows():
-            keys = np.concatenate([p[0] for p in parts])
-            ids, where = np.unique(keys, return_inverse=True)
-            sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), len(ids)) for i in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[0].astype(np.int64), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["key2", "known2", "base2", "lp2"])
+            both = np.empty(size, [("h", np.int64), ("i", np.int64)])
+            both["h"], both["i"] = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            ids, where = np.unique(both, return_inverse=True)
+            sums = [np.bincount(where, np.concatenate([p[i] for p in parts]), len(ids)) for i in (2, 3, 4)]
+            return pa.RecordBatch.from_arrays([pa.array(ids["h"]), pa.array(ids["i"]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key2", "id2", "known2", "base2", "lp2"])
 
         for batch in batches:
-            keys, times = batch.column("keys").to_pylist(), batch.column("times").to_pylist()
+            keys = batch.column("keys").to_pylist()
             if not keys:
                 continue
             n_each = [len(x) // 8 for x in keys]
-            c = np.repeat(batch.column("c").to_numpy(), n_each)
-            table = np.array(batch.column("lp").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
-            t = np.frombuffer(b"".join(times), np.int32)
-            lp = table[np.repeat(np.arange(len(keys)), n_each), t & 255]
-            t = t >> 8
-            parts.append((np.frombuffer(b"".join(keys), np.int64), t * (c > 0), t * (np.log10(c + 1) - below), t * lp))
-            size += len(t)
+            pairs: dict[tuple[bytes, int], int] = {}
+            at = [pairs.setdefault(x, len(pairs)) for x in zip(batch.column("word").to_pylist(), batch.column("k").to_pylist(), strict=True)]
+            spelled = model.log2([w for w, _ in pairs], np.array([k for _, k in pairs]))[at] * np.log10(2)
+            c = batch.column("c").to_numpy()
+            lp, less = (escaped(np.maximum(x, 0), spelled, n_rare, discount, back) for x in (c, c - 1))
+            c, lp, less = (np.repeat(x, n_each) for x in (c, lp, less))
+            h, i = (np.frombuffer(b"".join(x), np.int64) for x in (keys, batch.column("ids").to_pylist()))
+            times, coded = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.int32) for x in ("times", "coded"))
+            parts.append((h, i, times * (c > 0), times * (np.log10(c + 1) - below), (coded >> 1) * np.where(coded & 1, less, lp)))
+            size += len(h)
             if size > FLUSH_PAIRS:
                 yield rows()
                 parts, size = [], 0
         if parts:
             yield rows()
 
-    asked = d.select("doc_id", "held_out", "key", "text").mapInArrow(ask, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, lp double, bytes long, word binary, keys binary, times binary")
+    asked = stream.mapInArrow(score, "doc_id long, h long, held_out boolean, n_tokens long, known long, base double, bytes long, lp double, word binary, k int, keys binary, ids binary, times binary, coded binary")
     asked = materialise(asked, "lm-asked")
-    head = asked.where("key IS NOT NULL").drop("word", "keys", "times")
-    # Rows that repeat a document send the same requests under one key; their sums are divided by the number of rows below.
-    once = asked.where("key IS NULL").select("word", "keys", "times")
-    rare = once.join(scored, "word").select("keys", "times", "c", "lp").mapInArrow(answers, "key2 long, known2 long, base2 double, lp2 double")
-    rare = rare.groupBy("key2").agg(F.sum("known2").alias("known2"), F.sum("base2").alias("base2"), F.sum("lp2").alias("lp2"))
-    copies = head.groupBy(F.col("key").alias("key3")).agg(F.count("*").alias("copies"))
-    out = head.join(rare, F.col("key") == F.col("key2"), "left").join(copies, F.col("key") == F.col("key3"))
+    head = asked.where("word IS NULL").drop("word", "k", "keys", "ids", "times", "coded")
+    told = asked.where("word IS NOT NULL").select("word", "k", "keys", "ids", "times", "coded").join(rare.select("word", "c"), "word")
+    told = told.mapInArrow(answers, "key2 long, id2 long, known2 long, base2 double, lp2 double")
+    told = told.groupBy("key2", "id2").agg(F.sum("known2").alias("known2"), F.sum("base2").alias("base2"), F.sum("lp2").alias("lp2"))
+    out = head.join(told, (F.col("h") == F.col("key2")) & (F.coalesce("doc_id", F.lit(0)) == F.col("id2")), "left")
     zero = F.lit(0.0)
-    score = F.col("lp") + F.coalesce(F.col("lp2") / F.col("copies"), zero)
+    score_ = F.col("lp") + F.coalesce("lp2", zero)
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce((F.col("known2") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("base2") / F.col("copies"), zero)).alias("base_score"), score.alias("score"),
-        F.when(F.col("bytes") > 0, -score / F.lit(float(np.log10(2))) / F.col("bytes")).alias("bits_per_byte"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), score_.alias("score"), (-score_ / F.lit(float(np.log10(2))) / F.col("bytes")).alias("bits_per_byte"),
     )
