@@ -56,7 +56,7 @@ HOT_WORDS, HOT_LENGTH = 1 << 18, 64
 FLUSH_WORDS, FLUSH_PAIRS = 400_000, 1_000_000
 BATCH_WORDS = 20_000
 #: Words of one step of learning the spelling, and of a shard of words that is learned in one stream.
-SPELL_STEP, SPELL_SHARD = 1000, 50_000
+SPELL_STEP, SPELL_SHARD = 4000, 100_000
 #: Languages that classes of words are told by; all others are one more.
 LANGUAGES = 7
 #: Words of a step of learning, and training words of a shard.
@@ -501,33 +501,37 @@ class Path:
         code = d.code[ids][self.word]
         self.bit = (code >> (left - 1)) & 1
         self.node = ((np.int64(1) << self.depth) | (code >> left)).astype(np.uint64) * _MUL[1]
+        self.node ^= self.node >> _U(32)
         self.context = (context.astype(np.uint64) + _U(1)) * np.array(_MUL, _U)[:, None]
 
     def slots(self, k: int) -> tuple[np.ndarray | slice, np.ndarray]:
         """The bits of which predictor k speaks, and their slots."""
         rows = slice(None) if DEPTHS[k] >= 64 else np.flatnonzero(self.depth < DEPTHS[k])
-        h = (self.node[rows] ^ self.context[k][self.word[rows]]) * _MUL[2]
-        return rows, ((h ^ (h >> _U(29))) * _MUL[0] >> _U(64 - WORD_LOGS[k])).astype(np.int64)
+        return rows, ((self.node[rows] ^ self.context[k][self.word[rows]]) * _MUL[2] >> _U(64 - WORD_LOGS[k])).astype(np.int64)
 
 
 def count_paths(d: Dictionary, ids: np.ndarray, context: np.ndarray, tables: list[np.ndarray]) -> None:
     """Add the bits of words to the tables, arrays of slots * 2."""
-    for at in range(0, len(ids), 50_000):
-        p = Path(d, ids[at : at + 50_000], context[:, at : at + 50_000])
+    one = tables[0].dtype.type(1)
+    for at in range(0, len(ids), 20_000):
+        p = Path(d, ids[at : at + 20_000], context[:, at : at + 20_000])
         for k, table in enumerate(tables):
             rows, slot = p.slots(k)
-            table += np.bincount(slot * 2 + p.bit[rows], minlength=len(table)).astype(table.dtype)
+            np.add.at(table, slot * 2 + p.bit[rows], one)
 
 
 def _pairs() -> tuple[np.ndarray, np.ndarray]:
     """Log odds, and the number of occurrences on a logarithmic scale, of a slot's two bytes: as they are, with one 0 less and with one 1 less."""
     n0, n1 = np.tile(COUNTS, 256), np.repeat(COUNTS, 256)
     sets = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
-    return np.concatenate([odds(a, b) for a, b in sets]), np.concatenate([np.log2(a + b + 1) for a, b in sets])
+    return np.concatenate([odds(a, b) for a, b in sets]).astype(np.float32), np.concatenate([np.log2(a + b + 1) for a, b in sets])
 
 
 LOG_ODDS, SEEN = _pairs()
 PREDICTORS, WORD_GATES = len(WORD_LOGS), 56
+#: What a context's occurrences add to the number of the gate: of the word before, of the two words before; and of the bits alone, far down a path.
+GATE_OF = {2: np.minimum(SEEN, 11).astype(np.uint8) * 4, 3: np.minimum(SEEN / 3, 3).astype(np.uint8), 0: np.minimum(SEEN / 2, 7).astype(np.uint8) + 48}
+CENTRE = squash((np.arange(STEPS) - STEPS // 2) / 2)
 
 
 class Mixer:
@@ -535,44 +539,53 @@ class Mixer:
 
     def __init__(self, d: Dictionary, tables: list[np.ndarray]):
         self.d, self.tables = d, [t.reshape(-1).view(np.uint16) for t in tables]
-        self.weights = np.full((WORD_GATES, PREDICTORS + 1), 0.3)
-        self.weights[:, -1] = 0
+        self.weights = np.full((PREDICTORS + 1, WORD_GATES), 0.3)
+        self.weights[-1] = 0
         self.squares = np.full(self.weights.shape, 1e-3)
-        self.map = np.zeros((WORD_GATES, STEPS, 2))
+        self.map = np.zeros((WORD_GATES * STEPS, 2))
         self.stretches = np.full((4, 4, 2), 0.5)
 
     def step(self, ids: np.ndarray, context: np.ndarray, train: np.ndarray) -> np.ndarray:
         """log2 probability of each word. ``train``: is it of a training document?"""
         p = Path(self.d, ids, context)
+        n = len(p.bit)
         own = train[p.word]
-        less = np.where(own, (1 + p.bit) << 16, 0)
-        x = np.zeros((PREDICTORS + 1, len(p.bit)))
-        x[-1] = 1
-        known = np.zeros((PREDICTORS, len(p.bit)))
+        less = (own * (1 + p.bit)) << 16
+        x: list[np.ndarray] = []
+        gate_ = np.zeros(n, np.int64)
         for k, table in enumerate(self.tables):
             rows, slot = p.slots(k)
             found = table[slot] + less[rows]
-            x[k, rows] = LOG_ODDS[found]
-            if k in (0, 2, 3):
-                known[k, rows] = SEEN[found]
-        gate_ = np.where(p.depth < DEPTHS[2], np.minimum(known[2].astype(np.int64), 11) * 4 + np.minimum((known[3] / 3).astype(np.int64), 3), 48 + np.minimum((known[0] / 2).astype(np.int64), 7))
-        z = np.einsum("kn,nk->n", x, self.weights[gate_])
-        steps = _steps(z)
-        centre = squash((np.arange(STEPS) - STEPS // 2) / 2)
-        share = (self.map[:, :, 1] + 20 * centre) / (self.map.sum(2) + 20)
-        refined = np.log(share / (1 - share))[gate_, steps]
-        final = np.clip((z + refined) / 2, -20, 20)
-        cost = -np.logaddexp(0, np.where(p.bit == 1, -final, final)) / np.log(2)
+            said = LOG_ODDS[found]
+            if DEPTHS[k] < 64:
+                said, some = np.zeros(n, np.float32), said
+                said[rows] = some
+            x.append(said)
+            if k == 0:
+                gate_ = np.where(p.depth < DEPTHS[2], 0, GATE_OF[0][found]).astype(np.int64)
+            elif k in GATE_OF:
+                gate_[rows] += GATE_OF[k][found]
+        weights = self.weights.astype(np.float32)
+        z = weights[-1][gate_]
+        for k in range(PREDICTORS):
+            z += weights[k][gate_] * x[k]
+        np.clip(z, -30, 30, out=z)
+        cell = gate_ * STEPS + np.clip(np.rint(z * 2), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
+        share = (self.map[:, 1] + 20 * np.tile(CENTRE, WORD_GATES)) / (self.map.sum(1) + 20)
+        refined = np.log(share / (1 - share)).astype(np.float32)
+        sign = (1 - 2 * p.bit).astype(np.float32)
+        cost = np.log(1 + np.exp(np.clip((z + refined[cell]) / 2, -20, 20) * sign))
         if own.any():
-            g = gate_[own]
+            g, x = (gate_, x) if own.all() else (gate_[own], [v[own] for v in x])
+            z, bit, cell = (z, p.bit, cell) if own.all() else (z[own], p.bit[own], cell[own])
             mass = np.maximum(np.bincount(g, minlength=WORD_GATES), 1)
-            error = squash(z[own]) - p.bit[own]
+            error = 1 / (1 + np.exp(-z)) - bit.astype(np.float32)
             for k in range(PREDICTORS + 1):
-                slope = np.bincount(g, error * x[k, own], WORD_GATES) / mass
-                self.squares[:, k] += slope**2
-                self.weights[:, k] -= 0.05 * slope / np.sqrt(self.squares[:, k])
-            self.map += np.bincount((g * STEPS + steps[own]) * 2 + p.bit[own], minlength=self.map.size).reshape(self.map.shape)
-        return np.add.reduceat(cost, p.starts)
+                slope = np.bincount(g, error * x[k] if k < PREDICTORS else error, WORD_GATES) / mass
+                self.squares[k] += slope**2
+                self.weights[k] -= 0.05 * slope / np.sqrt(self.squares[k])
+            self.map += np.bincount(cell * 2 + bit, minlength=self.map.size).reshape(self.map.shape)
+        return np.add.reduceat(cost, p.starts, dtype=np.float64) / -np.log(2)
 
     def flags(self, found: list[tuple[int, bool, int]], train: bool) -> float:
         """log2 probability of a document's (stretch, does it follow?, occurrences), which are in order."""
