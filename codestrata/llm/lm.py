@@ -1,11 +1,12 @@
 """LM scoring by online logistic context mixing.
 
 Method: a text is its lower-case words and one end. A word of the dictionary (the most frequent words that occur twice or more, ``HOT_WORDS`` at most) is a path of
-bits: a Huffman code of the language it is most used in, then one within it; all other words are the path of an escape and their spelling. Every bit is
-predicted by five predictors with hashed contexts: the bits so far alone, with the languages and symbols of the last words, with the word before,
-with the two words before, and with the word two before. Each context has counted how often a 0 and a 1 followed in the training documents. Their log odds are
+bits: a Huffman code of the language it is most used in, then one within it; all other words are the path of an escape and their spelling. The first ``MIXED`` bits of
+a path are predicted by four predictors with hashed contexts: the bits so far alone, with the languages and symbols of the last words, with the word before, and
+with the word two before. Each context has counted how often a 0 and a 1 followed in the training documents. Their log odds are
 combined by weights that a gate chooses (how well known the contexts are); an adaptive map over (gate, quantised prediction) refines the result. Weights
-and map are learned online, over the stream of documents: a step of ``STEP`` words is predicted, then learned from.
+and map are learned online, over the stream of documents: a step of ``STEP`` words is predicted, then learned from. The rest of a long path has the word's share
+among the words that begin alike.
 
 A longer context is matched over the whole corpus: at places that two neighbouring words' hash chooses (one in ``SPACING``), the last ``CONTEXT`` words name the
 stretch to the next such place that followed them in another training document. One bit tells whether it follows again; its probability is an
@@ -13,7 +14,7 @@ adaptive one, by the number of stretches matched just before and of occurrences.
 
 The spelling is mixed, too: the bytes of a word and a closing space, eight bits a byte, from five predictors with the last 1 to 4 bytes and the prefix as contexts
 (counted over distinct words, as unknown words are new ones). It is found once per distinct word. An escaped word's probability is its discounted count among
-the escaped training words, backed off to its spelling.
+the escaped training words, backed off to its spelling; the share of the spellings that is the dictionary's falls to the others.
 
 A training document is predicted from counts that leave out the occurrence itself, and from stretches of other documents only; scored documents that are held out
 change nothing.
@@ -55,17 +56,19 @@ PREFIX_MIN = 8
 HOT_WORDS, HOT_LENGTH = 1 << 18, 64
 FLUSH_WORDS, FLUSH_PAIRS = 400_000, 1_000_000
 BATCH_WORDS = 20_000
-#: Words of one step of learning the spelling, and of a shard of words that is learned in one stream.
-SPELL_STEP, SPELL_SHARD = 4000, 100_000
+#: Words of a step of learning the spelling: an eighth of what was learned before, within these bounds; and of a shard of words that is learned in one stream.
+SPELL_STEPS, SPELL_SHARD = (250, 4000), 100_000
 #: Languages that classes of words are told by; all others are one more.
 LANGUAGES = 7
 #: Words of a step of learning, and training words of a shard.
 STEP, SHARD_WORDS = 2048, 500_000
 #: One place in SPACING begins a stretch that is looked up by the CONTEXT words before it.
 SPACING, CONTEXT = 24, 6
-#: Predictors over words: slots of each (as logarithm), and how deep in a path they speak. The words a context tells apart.
-WORD_LOGS, DEPTHS = (19, 20, 20, 20, 20), (64, 64, 12, 8, 12)
-TOP_WORDS, TOP_PAIR = 1022, 126
+#: Bits of a path that are mixed; the rest of a path is told by the words' counts. A context has 2**MIXED slots next to each other, one for each beginning of a path.
+MIXED = 8
+#: Predictors over words: slots of each (as logarithm), and the words that a context tells apart; others count as their class.
+WORD_LOGS = (8, 16, 21, 21)
+TOP_WORDS = 4094
 _ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 ORDERS = len(TABLE_LOGS)
 GATES, STEPS = 48, 33
@@ -356,7 +359,9 @@ def fit_weights(words: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
+            nonlocal seen, size
             if own:
+                seen, size = seen + len(own), 0
                 t.learn([w for w, _, _ in own], np.array([k for _, k, _ in own]), np.ones(len(own)), np.array([d for _, _, d in own]))
                 own.clear()
 
@@ -364,20 +369,19 @@ def fit_weights(words: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.
             flush()
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (t.weights, t.mass, t.map)]], ["shard", "weights", "mass", "map"])
 
-        t, current, own, size = None, None, [], 0
+        t, current, own, size, seen = None, None, [], 0, 0
         for batch in batches:
             for shard, w, mask, depth in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if shard != current:
                     if t is not None:
                         yield row()
-                    t, current, size = Trainer(shared.value), shard, 0
+                    t, current, seen = Trainer(shared.value), shard, 0
                 for k in range(mask.bit_length()):
                     if mask >> k & 1:
                         own.append((w, k, depth))
                         size += len(w) + 1
-                if len(own) >= SPELL_STEP or size > 1_000_000:
+                if len(own) >= min(max(SPELL_STEPS[0], seen // 8), SPELL_STEPS[1]) or size > 1_000_000:
                     flush()
-                    size = 0
         if t is not None:
             yield row()
 
@@ -465,18 +469,27 @@ class Dictionary:
             return
         i = np.arange(len(self.words))
         self.top = np.where(i < TOP_WORDS, i, TOP_WORDS + self.classes)
-        self.pair = np.where(i < TOP_PAIR, i, TOP_PAIR + self.classes)
+        left = self.length[:, None] - np.arange(MIXED + 1)
+        code = self.code[:, None] >> np.maximum(left, 0)
+        nodes = np.where(left >= 0, code | (1 << np.arange(MIXED + 1)), 0)
+        self.nodes, self.bits, self.valid = nodes[:, :-1].astype(np.int32), (nodes[:, 1:] & 1).astype(np.int32), left[:, :-1] > 0
+        self.nodes[~self.valid] = self.bits[~self.valid] = 0
+        # The rest of long paths: the word's share of all words whose paths begin alike, as it is and with one occurrence less.
+        own = np.maximum(self.counts, 1).astype(np.float64)
+        group = np.bincount(nodes[:, -1], own, 2 << MIXED)[nodes[:, -1]]
+        long = left[:, -1] > 0
+        self.tail = np.stack([np.where(long, np.log2(np.maximum(own - x, 0.5) / np.maximum(group - x, 0.5)), 0) for x in (0, 1)])
         self.symbol = np.array([bool(w) and w != END and w[-1] not in _ALNUM for w in self.words], np.int64)
         self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
 
 
 def contexts(d: Dictionary, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(5, words): the context of each predictor, for documents that begin at ``starts``. Only words before a word count."""
+    """(4, words): the context of each predictor, for documents that begin at ``starts``. Only words before a word count."""
     n = len(ids)
     at = np.arange(n)
     start = np.repeat(starts, np.diff(np.append(starts, n)))
     before = lambda x, k, none: np.where(at - k >= start, x[np.maximum(at - k, 0)], none)
-    none, pair_none = TOP_WORDS + d.n_classes + 2, TOP_PAIR + d.n_classes + 2
+    none = TOP_WORDS + d.n_classes + 2
     votes = np.zeros((n + 1, d.n_classes), np.int32)
     own = d.classes[ids]
     seen = own < d.n_classes
@@ -486,38 +499,26 @@ def contexts(d: Dictionary, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     language = np.where(votes.any(1), votes.argmax(1), d.n_classes) if d.n_classes else np.zeros(n, np.int64)
     symbols = np.concatenate([[0], np.cumsum(d.symbol[ids])])
     symbols = symbols[at] - symbols[np.maximum(at - 8, start)]
-    return np.stack([np.zeros(n, np.int64), language * 16 + symbols, before(d.top[ids], 1, none), before(d.pair[ids], 1, pair_none) * 4096 + before(d.pair[ids], 2, pair_none), before(d.top[ids], 2, none)])
+    return np.stack([np.zeros(n, np.int64), language * 16 + symbols, before(d.top[ids], 1, none), before(d.top[ids], 2, none)])
 
 
-class Path:
-    """The bits of words, with the slots of the predictors."""
-
-    def __init__(self, d: Dictionary, ids: np.ndarray, context: np.ndarray):
-        length = d.length[ids]
-        self.starts = np.cumsum(length) - length
-        self.word = np.repeat(np.arange(len(ids)), length)
-        self.depth = np.arange(len(self.word)) - self.starts[self.word]
-        left = length[self.word] - self.depth
-        code = d.code[ids][self.word]
-        self.bit = (code >> (left - 1)) & 1
-        self.node = ((np.int64(1) << self.depth) | (code >> left)).astype(np.uint64) * _MUL[1]
-        self.node ^= self.node >> _U(32)
-        self.context = (context.astype(np.uint64) + _U(1)) * np.array(_MUL, _U)[:, None]
-
-    def slots(self, k: int) -> tuple[np.ndarray | slice, np.ndarray]:
-        """The bits of which predictor k speaks, and their slots."""
-        rows = slice(None) if DEPTHS[k] >= 64 else np.flatnonzero(self.depth < DEPTHS[k])
-        return rows, ((self.node[rows] ^ self.context[k][self.word[rows]]) * _MUL[2] >> _U(64 - WORD_LOGS[k])).astype(np.int64)
+def blocks(k: int, context: np.ndarray) -> np.ndarray:
+    """The first slots of predictor k's contexts."""
+    some = WORD_LOGS[k] - MIXED
+    h = (context.astype(np.uint64) + _U(1)) * _MUL[2]
+    return (((h ^ (h >> _U(32))) * _MUL[0] >> _U(64 - some)) << _U(MIXED)).astype(np.int32) if some else np.zeros(len(context), np.int32)
 
 
 def count_paths(d: Dictionary, ids: np.ndarray, context: np.ndarray, tables: list[np.ndarray]) -> None:
     """Add the bits of words to the tables, arrays of slots * 2."""
     one = tables[0].dtype.type(1)
     for at in range(0, len(ids), 20_000):
-        p = Path(d, ids[at : at + 20_000], context[:, at : at + 20_000])
+        own = ids[at : at + 20_000]
+        valid = d.valid[own]
+        last = (d.nodes[own] * 2 + d.bits[own])[valid]
+        n = valid.sum(1)
         for k, table in enumerate(tables):
-            rows, slot = p.slots(k)
-            np.add.at(table, slot * 2 + p.bit[rows], one)
+            np.add.at(table, np.repeat(blocks(k, context[k, at : at + 20_000]) * 2, n) + last, one)
 
 
 def _pairs() -> tuple[np.ndarray, np.ndarray]:
@@ -528,9 +529,9 @@ def _pairs() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOG_ODDS, SEEN = _pairs()
-PREDICTORS, WORD_GATES = len(WORD_LOGS), 56
-#: What a context's occurrences add to the number of the gate: of the word before, of the two words before; and of the bits alone, far down a path.
-GATE_OF = {2: np.minimum(SEEN, 11).astype(np.uint8) * 4, 3: np.minimum(SEEN / 3, 3).astype(np.uint8), 0: np.minimum(SEEN / 2, 7).astype(np.uint8) + 48}
+PREDICTORS, WORD_GATES = len(WORD_LOGS), 48
+#: What a context's occurrences add to the number of the gate: of the word before, and of the word two before.
+GATE_OF = {2: np.minimum(SEEN, 11).astype(np.int32) * 4, 3: np.minimum(SEEN / 3, 3).astype(np.int32)}
 CENTRE = squash((np.arange(STEPS) - STEPS // 2) / 2)
 
 
@@ -547,45 +548,39 @@ class Mixer:
 
     def step(self, ids: np.ndarray, context: np.ndarray, train: np.ndarray) -> np.ndarray:
         """log2 probability of each word. ``train``: is it of a training document?"""
-        p = Path(self.d, ids, context)
-        n = len(p.bit)
-        own = train[p.word]
-        less = (own * (1 + p.bit)) << 16
+        d = self.d
+        bit, valid = d.bits[ids], d.valid[ids]
+        nodes = d.nodes[ids]
+        own = train.astype(np.int32)[:, None]
+        less = (own * (1 + bit)) << 16
         x: list[np.ndarray] = []
-        gate_ = np.zeros(n, np.int64)
+        gate_ = np.zeros(bit.shape, np.int32)
         for k, table in enumerate(self.tables):
-            rows, slot = p.slots(k)
-            found = table[slot] + less[rows]
-            said = LOG_ODDS[found]
-            if DEPTHS[k] < 64:
-                said, some = np.zeros(n, np.float32), said
-                said[rows] = some
-            x.append(said)
-            if k == 0:
-                gate_ = np.where(p.depth < DEPTHS[2], 0, GATE_OF[0][found]).astype(np.int64)
-            elif k in GATE_OF:
-                gate_[rows] += GATE_OF[k][found]
+            found = table[blocks(k, context[k])[:, None] + nodes] + less
+            x.append(LOG_ODDS[found])
+            if k in GATE_OF:
+                gate_ += GATE_OF[k][found]
         weights = self.weights.astype(np.float32)
         z = weights[-1][gate_]
         for k in range(PREDICTORS):
             z += weights[k][gate_] * x[k]
         np.clip(z, -30, 30, out=z)
-        cell = gate_ * STEPS + np.clip(np.rint(z * 2), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
+        cell = gate_ * STEPS + np.clip(np.rint(z * 2), -(STEPS // 2), STEPS // 2).astype(np.int32) + STEPS // 2
         share = (self.map[:, 1] + 20 * np.tile(CENTRE, WORD_GATES)) / (self.map.sum(1) + 20)
         refined = np.log(share / (1 - share)).astype(np.float32)
-        sign = (1 - 2 * p.bit).astype(np.float32)
-        cost = np.log(1 + np.exp(np.clip((z + refined[cell]) / 2, -20, 20) * sign))
+        cost = np.log(1 + np.exp(np.clip((z + refined[cell]) / 2, -20, 20) * (1 - 2 * bit).astype(np.float32)))
+        cost[~valid] = 0
         if own.any():
-            g, x = (gate_, x) if own.all() else (gate_[own], [v[own] for v in x])
-            z, bit, cell = (z, p.bit, cell) if own.all() else (z[own], p.bit[own], cell[own])
-            mass = np.maximum(np.bincount(g, minlength=WORD_GATES), 1)
-            error = 1 / (1 + np.exp(-z)) - bit.astype(np.float32)
+            learned = (valid & (own > 0)).reshape(-1)
+            g = gate_.reshape(-1)
+            mass = np.maximum(np.bincount(g, learned, WORD_GATES), 1)
+            error = (1 / (1 + np.exp(-z)) - bit.astype(np.float32)).reshape(-1) * learned
             for k in range(PREDICTORS + 1):
-                slope = np.bincount(g, error * x[k] if k < PREDICTORS else error, WORD_GATES) / mass
+                slope = np.bincount(g, error * x[k].reshape(-1) if k < PREDICTORS else error, WORD_GATES) / mass
                 self.squares[k] += slope**2
                 self.weights[k] -= 0.05 * slope / np.sqrt(self.squares[k])
-            self.map += np.bincount(cell * 2 + bit, minlength=self.map.size).reshape(self.map.shape)
-        return np.add.reduceat(cost, p.starts, dtype=np.float64) / -np.log(2)
+            self.map += np.bincount((cell * 2 + bit).reshape(-1), learned, self.map.size).reshape(self.map.shape)
+        return d.tail[train.astype(np.int64), ids] - cost.sum(1, dtype=np.float64) / np.log(2)
 
     def flags(self, found: list[tuple[int, bool, int]], train: bool) -> float:
         """log2 probability of a document's (stretch, does it follow?, occurrences), which are in order."""
@@ -665,7 +660,8 @@ def fit_paths(docs: DataFrame, hot) -> list[np.ndarray]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, i, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                sums.setdefault((k, i), np.zeros(1 << SLICE, np.uint64))[:] += np.frombuffer(z.decompress(counts), np.uint32)
+                own = np.frombuffer(z.decompress(counts), np.uint32)
+                sums.setdefault((k, i), np.zeros(len(own), np.uint64))[:] += own
         for (k, i), own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([encode_counts(own).tobytes()], pa.binary())], ["k", "i", "counts"])
 
@@ -864,6 +860,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
     words = materialise(prefix_depths(vocab.where("c >= 1").select("word", mask.alias("mask"))), "lm-depths")
     spelling = spark.sparkContext.broadcast(fit_tables(words))
     weights = fit_weights(words, v, spelling)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(spelling.value, *weights)
+        for own, classes, _ in _runs(pa.RecordBatch.from_arrays([b[0], pa.array(np.full(b.num_rows, (1 << size) - 1)), pa.array(np.zeros(b.num_rows, np.int64))], ["word", "mask", "depth"]) for b in batches):
+            p = np.bincount(classes, 2.0 ** model.log2(own, classes), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(p)], ["k", "p"])
+
+    # A word that is escaped isn't in the dictionary, whose share of the spellings falls to the others.
+    taken = {r["k"]: r["p"] for r in vocab.where(is_hot).select("word").mapInArrow(share, "k long, p double").groupBy("k").agg(F.sum("p").alias("p")).collect()}
+    beyond = np.log10(1 - np.minimum([taken.get(k, 0.0) for k in range(size)], 0.99))
     paths = spark.sparkContext.broadcast(fit_paths(d, hot))
     shard = F.pmod("h", F.lit(max(1, -(-n // SHARD_WORDS)))).cast("int").alias("shard")
 
@@ -943,7 +949,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
             n_each = [len(x) // 8 for x in keys]
             pairs: dict[tuple[bytes, int], int] = {}
             at = [pairs.setdefault(x, len(pairs)) for x in zip(batch.column("word").to_pylist(), batch.column("k").to_pylist(), strict=True)]
-            spelled = model.log2([w for w, _ in pairs], np.array([k for _, k in pairs]))[at] * np.log10(2)
+            classes = np.array([k for _, k in pairs])
+            spelled = (model.log2([w for w, _ in pairs], classes) * np.log10(2) - beyond[classes])[at]
             c = batch.column("c").to_numpy()
             lp, less = (escaped(np.maximum(x, 0), spelled, n_rare, discount, back) for x in (c, c - 1))
             c, lp, less = (np.repeat(x, n_each) for x in (c, lp, less))
