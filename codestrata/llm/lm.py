@@ -143,6 +143,16 @@ def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.3) / (n0 + 0.3))
 
 
+def _pairs() -> tuple[np.ndarray, np.ndarray]:
+    """Log odds, and the number of occurrences on a logarithmic scale, of a slot's two bytes: as they are, with one 0 less and with one 1 less."""
+    n0, n1 = np.tile(COUNTS, 256), np.repeat(COUNTS, 256)
+    sets = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+    return np.concatenate([odds(a, b) for a, b in sets]).astype(np.float32), np.concatenate([np.log2(a + b + 1) for a, b in sets])
+
+
+LOG_ODDS, SEEN = _pairs()
+
+
 def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -166,7 +176,7 @@ class Trainer:
     """Online learning of the gated weights and the adaptive map, over one stream of words."""
 
     def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
+        self.tables = [t.reshape(-1).view(np.uint16) for t in tables]
         self.weights = np.full((GATES, ORDERS + 1), 0.25)
         self.weights[:, -1] = 0
         self.squares = np.full((GATES, ORDERS + 1), 1e-3)
@@ -176,25 +186,27 @@ class Trainer:
     def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, depths: np.ndarray | None = None) -> None:
         e = Edges(words, classes, counts, depths)
         common = e.common
+        less = np.stack([np.ones(len(e.byte), np.int64)] * 4 + [common.astype(np.int64)])
         for b in range(8):
             slots, bit = e.bit(b)
-            x = np.ones((len(bit), ORDERS + 1))
+            x, known = [], {}
+            for k in range(ORDERS):
+                found = self.tables[k][slots[k]] + ((less[k] * (1 + bit)) << 16)
+                x.append(LOG_ODDS[found])
+                if k > 2:
+                    known[k] = SEEN[found]
+            g = np.minimum(known[4].astype(np.int64), 11) * 4 + np.minimum((known[3] / 3).astype(np.int64), 3)
+            weights = self.weights.astype(np.float32)
+            z = weights[:, -1][g]
             for k in range(ORDERS):
-                n = COUNTS[self.tables[k][slots[k]]]
-                own = (common if k == 4 else np.ones(len(bit), bool)).astype(np.float64)
-                n[np.arange(len(bit)), bit] = np.maximum(0, n[np.arange(len(bit)), bit] - own)
-                x[:, k] = odds(n[:, 0], n[:, 1])
-                if k == 3:
-                    known_long = n.sum(1)
-            g = gate(n.sum(1), known_long)
-            z = (self.weights[g] * x).sum(1)
-            p = squash(z)
-            np.add.at(self.map, (g, _steps(z), bit), e.count)
-            error = (p - bit) * e.count
+                z += weights[:, k][g] * x[k]
+            np.clip(z, -30, 30, out=z)
+            self.map += np.bincount((g * STEPS + _steps(z)) * 2 + bit, e.count, self.map.size).reshape(self.map.shape)
+            error = (1 / (1 + np.exp(-z)) - bit.astype(np.float32)) * e.count
             mass = np.bincount(g, e.count, GATES)
             self.mass += mass
             for k in range(ORDERS + 1):
-                slope = np.bincount(g, error * x[:, k], GATES) / np.maximum(mass, 1)
+                slope = np.bincount(g, error * x[k] if k < ORDERS else error, GATES) / np.maximum(mass, 1)
                 self.squares[:, k] += slope**2
                 self.weights[:, k] -= 0.05 * slope / np.sqrt(self.squares[:, k])
 
@@ -521,14 +533,6 @@ def count_paths(d: Dictionary, ids: np.ndarray, context: np.ndarray, tables: lis
             np.add.at(table, np.repeat(blocks(k, context[k, at : at + 20_000]) * 2, n) + last, one)
 
 
-def _pairs() -> tuple[np.ndarray, np.ndarray]:
-    """Log odds, and the number of occurrences on a logarithmic scale, of a slot's two bytes: as they are, with one 0 less and with one 1 less."""
-    n0, n1 = np.tile(COUNTS, 256), np.repeat(COUNTS, 256)
-    sets = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
-    return np.concatenate([odds(a, b) for a, b in sets]).astype(np.float32), np.concatenate([np.log2(a + b + 1) for a, b in sets])
-
-
-LOG_ODDS, SEEN = _pairs()
 PREDICTORS, WORD_GATES = len(WORD_LOGS), 48
 #: What a context's occurrences add to the number of the gate: of the word before, and of the word two before.
 GATE_OF = {2: np.minimum(SEEN, 11).astype(np.int32) * 4, 3: np.minimum(SEEN / 3, 3).astype(np.int32)}
@@ -863,12 +867,12 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(spelling.value, *weights)
-        for own, classes, _ in _runs(pa.RecordBatch.from_arrays([b[0], pa.array(np.full(b.num_rows, (1 << size) - 1)), pa.array(np.zeros(b.num_rows, np.int64))], ["word", "mask", "depth"]) for b in batches):
+        for own, classes, _ in _runs(batches):
             p = np.bincount(classes, 2.0 ** model.log2(own, classes), size)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(p)], ["k", "p"])
 
-    # A word that is escaped isn't in the dictionary, whose share of the spellings falls to the others.
-    taken = {r["k"]: r["p"] for r in vocab.where(is_hot).select("word").mapInArrow(share, "k long, p double").groupBy("k").agg(F.sum("p").alias("p")).collect()}
+    # A word that is escaped isn't in the dictionary, whose share of the spellings (in the classes where its words occur) falls to the others.
+    taken = {r["k"]: r["p"] for r in vocab.where(is_hot).select("word", mask.alias("mask"), F.lit(0).cast("long").alias("depth")).mapInArrow(share, "k long, p double").groupBy("k").agg(F.sum("p").alias("p")).collect()}
     beyond = np.log10(1 - np.minimum([taken.get(k, 0.0) for k in range(size)], 0.99))
     paths = spark.sparkContext.broadcast(fit_paths(d, hot))
     shard = F.pmod("h", F.lit(max(1, -(-n // SHARD_WORDS)))).cast("int").alias("shard")
