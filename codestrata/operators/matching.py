@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 
-def match_calls(calls: DataFrame, endpoints: DataFrame, exclude_by: str = "service") -> DataFrame:
+def match_calls(calls: DataFrame, endpoints: DataFrame, exclude_by: str = "service", within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of calls (url, http_method, service) and endpoints (url, http_method, service, required array).
 
     A call matches an endpoint of another service whose address equals the call's address before the query, whose method is the same or
-    ALL, and whose required parameters the query names. ``exclude_by`` is the column that tells services apart: the name, or an id.
+    ALL, and whose required parameters the query names. ``exclude_by`` is the column that tells services apart: the name, or an id. Both sides
+    agree in the columns ``within``, such as the number of a snapshot of the whole system.
     All columns come out with the prefixes call_ and endpoint_.
     """
     c = calls.select(*[F.col(x).alias(f"call_{x}") for x in calls.columns], U.base(F.col("url")).alias("__base"))
     e = endpoints.select(*[F.col(x).alias(f"endpoint_{x}") for x in endpoints.columns])
     method = (F.col("call_http_method") == F.col("endpoint_http_method")) | (F.col("endpoint_http_method") == "ALL")
     other = F.col(f"call_{exclude_by}") != F.col(f"endpoint_{exclude_by}")
-    found = c.join(e, (F.col("__base") == F.col("endpoint_url")) & method & other)
+    on = (F.col("__base") == F.col("endpoint_url")) & method & other
+    for column in within:
+        on = on & F.col(f"call_{column}").eqNullSafe(F.col(f"endpoint_{column}"))
+    found = c.join(e, on)
     required = F.coalesce(F.col("endpoint_required"), F.array().cast("array<string>"))
     return found.where(U.has_parameters(F.col("call_url"), required)).drop("__base")

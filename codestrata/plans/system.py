@@ -25,25 +25,40 @@ def create_from_trees(spark: SparkSession, trees: dict[str, str], branch: str =
     return create_from_files(files)
 
 
-def create(spark: SparkSession, config: dict, base: str | None = None, token: str | None = None) -> dict[str, DataFrame]:
-    """Tables of the configured repositories at their commits. Snapshots that are stored below ``base`` are read instead of extracted."""
-    clones = git.prepare(spark, config, token=token)
-    files = None
+def create(spark: SparkSession, config: dict, base: str | None = None, token: str | None = None, work: str = f"./{git.WORK_DIR}") -> dict[str, DataFrame]:
+    """Tables of the configured repositories at their commits. Snapshots that are stored below ``base`` are read instead of extracted.
+
+    ``work`` is where the clones lie; on a cluster a folder that all executors share.
+    """
+    clones = git.prepare(spark, config, work, token)
+    names = git.repository_names([r["repoBranchPair"]["repositoryURL"] for r in config["systemRepositories"]])
+    files, asked = None, []
     for r in config["systemRepositories"]:
-        pair = r["repoBranchPair"]
-        path = clones[(pair["repositoryURL"], pair["branchName"])]
-        repo = pair["repositoryURL"].rsplit("/", 1)[-1].removesuffix(".git")
-        if base and io.has_snapshot(spark, base, repo, pair["branchName"], r["commitID"]):
+        url, branch = r["repoBranchPair"]["repositoryURL"], r["repoBranchPair"]["branchName"]
+        path = clones[(url, branch)]
+        key = (names[url], branch, r["commitID"] or git.head(path, branch))
+        asked.append(key)
+        if base and io.has_snapshot(spark, base, *key):
             continue
-        one = git.snapshot(spark, path, repo, r["commitID"] or git.head(path), pair["branchName"])
+        one = git.snapshot(spark, path, key[0], key[2], branch)
         files = one if files is None else files.unionByName(one)
-    if files is None:
-        return io.read_tables(spark, base)
-    made = create_from_files(files)
     if base is None:
-        return made
-    io.write_tables(made, base)
-    return io.read_tables(spark, base)
+        return create_from_files(files)
+    if files is not None:
+        io.write_tables(create_from_files(files), base)
+    return io.read_tables(spark, base, asked)
+
+
+def create_deltas(spark: SparkSession, steps: list[tuple[str, str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(file changes, component changes) of many steps (clone, repo, branch, old commit, new commit) at once, each row with the new commit of its step.
+
+    Trees are compared by blob first; only the contents of files that differ are read.
+    """
+    changes = None
+    for clone, repo, branch, old, new in steps:
+        one = git.commit_changes(spark, clone, repo, branch, old, new)
+        changes = one if changes is None else changes.unionByName(one)
+    return delta.delta_of(changes, ["commit"])
 
 
 def create_delta(old_files: DataFrame, new_files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from ..sources.config_files import parse_config_files
 from ..sources.java_parser import parse_java
 
 KEY = ["repo", "branch", "commit"]
-TABLES: dict[str, T.StructType] = {"files": S.FILES, "services": S.SERVICES, "class": S.CLASS, "method": S.METHOD, "field": S.FIELD, "import": S.IMPORT, "annotation": S.ANNOTATION, "call": S.CALL}
+TABLES: dict[str, T.StructType] = {"files": S.FILES, "services": S.SERVICES, "class": S.CLASS, "method": S.METHOD, "field": S.FIELD, "import": S.IMPORT, "annotation": S.ANNOTATION, "call": S.CALL, "rest_call": S.REST_CALL, "endpoint": S.ENDPOINT, "config_file": S.CONFIG_FILE, "file_change": S.FILE_CHANGE, "component_change": S.COMPONENT_CHANGE}
 
 
 def parse_sources(files: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def methods(parsed: DataFrame, class_table: DataFrame) -> DataFrame:
     """Methods with url and http_method where they are endpoints, and required request parameters.
 
     Mapped methods of any class are endpoints, those of Feign clients are calls instead. Methods of repository resources are endpoints of
-    their own: GET /<name>s/search/<method>, unless marked as not exported.
+    their own: GET /<name>s/search/<method>, or below the path that @RepositoryRestResource gives, unless marked as not exported.
     """
-    m = components(parsed, "methods").join(class_table.select(*KEY, "path", "role", "class_mapping", F.col("name").alias("class_name")), [*KEY, "path"])
+    m = components(parsed, "methods").join(class_table.select(*KEY, "path", "role", "class_mapping", "class_annotations", F.col("name").alias("class_name")), [*KEY, "path"])
     first = F.get(F.filter("annotations", lambda a: a["name"].isin(U.MAPPINGS)), 0)
     # Map lookups of a null map give null: only the marker annotation of an empty map has no value at all.
     own = F.when(first["name"].isNotNull(), F.coalesce(first["attributes"], F.create_map().cast("map<string,string>")))
@@ -77,11 +77,14 @@ def methods(parsed: DataFrame, class_table: DataFrame) -> DataFrame:
     method = F.when(first["name"].isNotNull() & mapped, U.endpoint_method(own, first["name"]))
     rest = F.get(F.filter("annotations", lambda a: a["name"] == "RestResource"), 0)["attributes"]
     exported = F.coalesce(rest["exported"], F.lit("true")) != "false"
-    base = F.concat(F.lit("/"), F.replace(F.lower("class_name"), F.lit("repository"), F.lit("")), F.lit("s/search/"))
+    # The class's own path (or value), else its name without "repository" in the plural.
+    named = F.get(F.filter("class_annotations", lambda a: a["name"] == "RepositoryRestResource"), 0)["attributes"]
+    own_path = F.nullif(F.regexp_replace(F.coalesce(named["path"], named["default"]), "^/+|/+$", ""), F.lit(""))
+    base = F.concat(F.lit("/"), F.coalesce(own_path, F.concat(F.replace(F.lower("class_name"), F.lit("repository"), F.lit("")), F.lit("s"))), F.lit("/search/"))
     resource = F.concat(base, F.coalesce(F.regexp_replace(rest["path"], "^/", ""), F.col("name")))
     is_resource = (F.col("role") == "REP_REST_RSC") & exported
     return m.select(
-        *[c for c in m.columns if c not in ("class_mapping", "class_name")],
+        *[c for c in m.columns if c not in ("class_mapping", "class_annotations", "class_name")],
         F.when(is_resource, resource).otherwise(url).alias("url"), F.when(is_resource, "GET").otherwise(method).alias("http_method"), required_parameters(F.col("parameters")).alias("required"),
     )
 
@@ -138,13 +141,24 @@ def extract(files: DataFrame, services: DataFrame, filter_unknown: bool = False)
     }
 
 
-def call_graph(tables: dict[str, DataFrame], exclude_by: str = "service") -> DataFrame:
-    """Which service calls which endpoint of which other service."""
+def call_graph(tables: dict[str, DataFrame], exclude_by: str = "service", snapshots: DataFrame | None = None) -> DataFrame:
+    """Which service calls which endpoint of which other service, within one snapshot of the system.
+
+    ``snapshots`` (snapshot, repo, branch, commit) says which commits belong together; both sides then have the column snapshot. Without it, rows of one repository
+    match within one (branch, commit) and those of two repositories if both have one (branch, commit) each, or equal ones.
+    """
     from ..operators.matching import match_calls
 
     c = tables["rest_calls"].select(*KEY, "path", "component_id", F.col("service_name").alias("service"), F.col("service_path").alias("service_id"), "url", "http_method")
     e = tables["endpoints"].select(*KEY, "path", "component_id", F.col("service_name").alias("service"), F.col("service_path").alias("service_id"), "url", "http_method", "required")
-    return match_calls(c, e, exclude_by)
+    if snapshots is not None:
+        named = snapshots.select("snapshot", *KEY).distinct()
+        return match_calls(c.join(named, KEY), e.join(named, KEY), exclude_by, within=("snapshot",))
+    versions = tables["services"].groupBy("repo").agg(F.countDistinct("branch", "commit").alias("versions"))
+    c, e = (x.join(versions, "repo", "left") for x in (c, e))
+    same = (F.col("call_branch") == F.col("endpoint_branch")) & (F.col("call_commit") == F.col("endpoint_commit"))
+    single = (F.col("call_repo") != F.col("endpoint_repo")) & (F.col("call_versions") == 1) & (F.col("endpoint_versions") == 1)
+    return match_calls(c, e, exclude_by).where(same | single).drop("call_versions", "endpoint_versions")
 
 
 def all_files(tables: dict[str, DataFrame]) -> DataFrame:

@@ -366,8 +366,8 @@ def feign_query_string(spark, sf):
 # -- difference and merge
 
 ORDER_SQL = """
-o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0),
-n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0)
+o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
+n AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders)
 """
 DIFF_SQL = f"""{ORDER_SQL},
 d AS (
@@ -380,7 +380,8 @@ d AS (
 def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     edited = F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", edited)
+    moved = F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    return o, o.withColumn("o_orderstatus", edited).withColumn("o_orderkey", moved)
 
 
 @query(f"WITH {DIFF_SQL} SELECT * FROM d WHERE change_type IS NOT NULL")
@@ -436,13 +437,14 @@ def cosmetic_filter(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, o_orderpriority) AS commit FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS commit FROM orders LEFT JOIN customer ON o_custkey = c_custkey + 10 AND o_orderstatus = CASE WHEN c_acctbal < 0 THEN 'F' ELSE 'O' END
 """)
 def commit_coalesce(spark, sf):
     from .plans.delta import update_commits
 
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("commit"))
-    c = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("repo"), F.col("c_mktsegment").alias("commit"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("repo"), F.col("o_orderstatus").alias("branch"), F.col("o_orderpriority").alias("commit"))
+    branch = F.when(F.col("c_acctbal") < 0, "F").otherwise("O").alias("branch")
+    c = table(spark, sf, "customer").select((F.col("c_custkey") + 10).alias("repo"), branch, F.col("c_mktsegment").alias("commit"))
     return update_commits(o, c).select("o_orderkey", "commit")
 
 

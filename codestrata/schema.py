@@ -33,8 +33,15 @@ CLASS = struct(
     class_annotations=T.ArrayType(struct(name=S, attributes=ATTRIBUTES)), annotations=T.ArrayType(ANNOTATION), imports=T.ArrayType(IMPORT), fields=T.ArrayType(FIELD),
     methods=T.ArrayType(METHOD), calls=T.ArrayType(CALL), parse_error=S,
 )
+REST_CALL = struct(component_id=S, parent_component_id=S, ordinal=I, called_from=S, object_type=S, arguments=S, url=S, http_method=S)
+ENDPOINT = T.StructType([*METHOD.fields, T.StructField("role", S), T.StructField("url", S), T.StructField("http_method", S), T.StructField("required", STRINGS)])
 FILES = struct(**SNAPSHOT, path=S, content=S)
 SERVICES = struct(**SNAPSHOT, path=S, name=S)
+CONFIG_FILE = struct(**SNAPSHOT, path=S, json=S)
+FILE_CHANGE = struct(repo=S, branch=S, path=S, change_type=S)
+COMPONENT_CHANGE = struct(
+    repo=S, branch=S, path=S, kind=S, component_id=S, copy=I, change_type=S, old_parent_component_id=S, old_payload=S, new_parent_component_id=S, new_payload=S
+)
 CONFIG = struct(systemName=S, systemRepositories=T.ArrayType(struct(repoBranchPair=struct(repositoryURL=S, branchName=S), commitID=S)))
 
 

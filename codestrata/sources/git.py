@@ -85,17 +85,37 @@ def prepare(spark: SparkSession, config: dict, base: str = f"./{WORK_DIR}", toke
     """(url, branch) -> path of the clone, for every repository of the configuration."""
     pairs = [r["repoBranchPair"] for r in config["systemRepositories"]]
     urls = sorted({p["repositoryURL"] for p in pairs})
+    names = repository_names(urls)
     try:
         check_access(urls, token)
     except GitError:
         for u in urls:
-            remove_tree(os.path.join(base, u.rsplit("/", 1)[-1].removesuffix(".git")))
+            remove_tree(os.path.join(base, names[u]))
         raise
-    return {(p["repositoryURL"], p["branchName"]): clone(p["repositoryURL"], os.path.join(base, p["repositoryURL"].rsplit("/", 1)[-1].removesuffix(".git")), token) for p in pairs}
+    made = {u: clone(u, os.path.join(base, names[u]), token) for u in urls}
+    return {(p["repositoryURL"], p["branchName"]): made[p["repositoryURL"]] for p in pairs}
 
 
-def head(path: str) -> str:
-    return _git("rev-parse", "HEAD", cwd=path).strip()
+def repository_names(urls: list[str]) -> dict[str, str]:
+    """The last part of each address, with as many parts before it as it takes to tell all addresses apart."""
+    parts = {u: [x for x in u.rstrip("/").removesuffix(".git").replace(":", "/").split("/") if x] for u in set(urls)}
+    out = {}
+    for u, own in parts.items():
+        n = 1
+        while n < len(own) and any(v != u and other[-n:] == own[-n:] for v, other in parts.items()):
+            n += 1
+        out[u] = "_".join(own[-n:])
+    return out
+
+
+def head(path: str, branch: str = "") -> str:
+    """The newest commit of a branch, as the remote has it before a local one; without branch, of what HEAD names."""
+    for name in [f"refs/remotes/origin/{branch}", f"refs/heads/{branch}"] if branch else ["HEAD"]:
+        try:
+            return _git("rev-parse", "--verify", "--quiet", name, cwd=path).strip()
+        except GitError:
+            continue
+    raise GitError(f"no branch {branch} in {path}")
 
 
 def log(spark: SparkSession, path: str, repo: str, revision: str = "HEAD") -> DataFrame:
@@ -154,19 +174,32 @@ def snapshot(spark: SparkSession, clone_path: str, repo: str, commit: str, branc
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(repo, path, change_type) of files that differ between two trees, by blob."""
-    o, n = old.select("repo", "path", F.col("blob").alias("old_blob")), new.select("repo", "path", F.col("blob").alias("new_blob"))
-    both = o.join(n, ["repo", "path"], "full_outer").where(~F.col("old_blob").eqNullSafe(F.col("new_blob")))
+    """(repo, branch, path, change_type) of files that differ between two trees, by blob."""
+    o, n = old.select("repo", "branch", "path", F.col("blob").alias("old_blob")), new.select("repo", "branch", "path", F.col("blob").alias("new_blob"))
+    both = o.join(n, ["repo", "branch", "path"], "full_outer").where(~F.col("old_blob").eqNullSafe(F.col("new_blob")))
     letter = F.when(F.col("old_blob").isNull(), "A").when(F.col("new_blob").isNull(), "D").otherwise("M")
-    return both.select("repo", "path", change_type(letter).alias("change_type"), "old_blob", "new_blob")
+    return both.select("repo", "branch", "path", change_type(letter).alias("change_type"), "old_blob", "new_blob")
 
 
 def code_changes(old: DataFrame, new: DataFrame, string_aware: bool = False) -> DataFrame:
-    """(repo, path, change_type, old_content, new_content) of files that differ, without Java files that differ in comments and white space only."""
-    o = old.select("repo", "path", F.col("content").alias("old_content"))
-    n = new.select("repo", "path", F.col("content").alias("new_content"))
-    both = o.join(n, ["repo", "path"], "full_outer").where(~F.col("old_content").eqNullSafe(F.col("new_content")))
+    """(repo, branch, path, change_type, old_content, new_content) of files that differ, without Java files that differ in comments and white space only."""
+    o = old.select("repo", "branch", "path", F.col("content").alias("old_content"))
+    n = new.select("repo", "branch", "path", F.col("content").alias("new_content"))
+    both = o.join(n, ["repo", "branch", "path"], "full_outer").where(~F.col("old_content").eqNullSafe(F.col("new_content")))
     kind = F.when(F.col("old_content").isNull(), "ADD").when(F.col("new_content").isNull(), "DELETE").otherwise("MODIFY")
-    both = both.withColumn("change_type", kind)
+    return _code_only(both.withColumn("change_type", kind), string_aware).select("repo", "branch", "path", "change_type", "old_content", "new_content")
+
+
+def _code_only(changes: DataFrame, string_aware: bool) -> DataFrame:
     cosmetic = (F.col("change_type") == "MODIFY") & F.endswith("path", F.lit(".java")) & (stripped(F.col("old_content"), string_aware) == stripped(F.col("new_content"), string_aware))
-    return both.where(~cosmetic).select("repo", "path", "change_type", "old_content", "new_content")
+    return changes.where(~cosmetic)
+
+
+def commit_changes(spark: SparkSession, clone_path: str, repo: str, branch: str, old: str, new: str, string_aware: bool = False) -> DataFrame:
+    """As ``code_changes`` between two commits, with the column commit (the new one): the trees are compared by blob, and only contents that differ are read."""
+    differ = tree_diff(tree(spark, clone_path, repo, old, branch), tree(spark, clone_path, repo, new, branch))
+    sides = differ.withColumnRenamed("old_blob", "blob")
+    sides = with_content(sides, clone_path).withColumnsRenamed({"blob": "old_blob", "content": "old_content", "new_blob": "blob"})
+    sides = with_content(sides, clone_path).withColumnRenamed("content", "new_content")
+    out = _code_only(sides, string_aware)
+    return out.select("repo", "branch", F.lit(new).alias("commit"), "path", "change_type", "old_content", "new_content")

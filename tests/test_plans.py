@@ -35,12 +35,12 @@ def test_services_follow_build_files(files, spark):
     changed, _ = delta.delta(old, new)
     services = delta.merge_services(t["services"], new, changed)
     assert sorted(r["name"] for r in services.collect()) == ["a", "b"]
-    rows = delta.reassign(new.select("repo", "path"), services)
+    rows = delta.reassign(new.select("repo", "branch", "path"), services)
     assert {r["path"]: r["service_path"] for r in rows.collect()}["/b/src/main/java/Z.java"] == "/b"
-    commits = spark.createDataFrame([("shop", "c9")], "repo string, commit string")
+    commits = spark.createDataFrame([("shop", "main", "c9")], "repo string, branch string, commit string")
     assert {r["commit"] for r in delta.update_commits(services, commits).collect()} == {"c9"}
-    head = delta.system_change(spark.createDataFrame([("shop", "c1")], "repo string, commit string"), commits, changed).first()
-    assert head["old_commits"] == {"shop": "c1"} and head["new_commits"] == {"shop": "c9"} and head["changes"]["ADD"] == 2
+    head = delta.system_change(spark.createDataFrame([("shop", "main", "c1")], "repo string, branch string, commit string"), commits, changed).first()
+    assert head["old_commits"] == {"shop:main": "c1"} and head["new_commits"] == {"shop:main": "c9"} and head["changes"]["ADD"] == 2
 
 
 def test_storage_round_trip(files, spark, tmp_path):
@@ -51,11 +51,53 @@ def test_storage_round_trip(files, spark, tmp_path):
         assert D.equivalent(t[name].select(F.to_json(F.struct(*sorted(t[name].columns))).alias("j")), back[name].select(F.to_json(F.struct(*sorted(t[name].columns))).alias("j"))).first()["equal"]
     assert io.has_snapshot(spark, str(tmp_path / "t"), "shop", "main", "c1") and not io.has_snapshot(spark, str(tmp_path / "t"), "shop", "main", "c7")
     n = io.nested(t)
-    io.write_json(n, str(tmp_path / "j"), pretty=False)
-    again = io.read_json(spark, str(tmp_path / "j"), n.schema)
-    assert D.equivalent(n.select(F.to_json(F.struct("*")).alias("j")), again.select(F.to_json(F.struct("*")).alias("j"))).first()["equal"]
-    assert len(n.first()["unknowns"]) == 3
-    assert len(io.write_schemas(str(tmp_path / "s"))) == len(json_schemas()) == 8
+    for pretty in (True, False):
+        io.write_json(n, str(tmp_path / "j"), pretty)
+        again = io.read_json(spark, str(tmp_path / "j"), n.schema, pretty)
+        assert D.equivalent(n.select(F.to_json(F.struct("*")).alias("j")), again.select(F.to_json(F.struct("*")).alias("j"))).first()["equal"]
+    rows = {r["path"]: r for r in n.collect()}
+    assert len(rows["/a"]["unknowns"]) == 3 and [c["path"] for c in rows["/a"]["configFiles"]] == ["/a/pom.xml"] and [c["path"] for c in rows[None]["configFiles"]] == ["/pom.xml"]
+    for kind, shown in (("methods", "methods"), ("fields", "fields"), ("calls", "methodCalls"), ("annotations", "annotations")):
+        want = t[kind].select(*[c for c in t[kind].columns if c not in ("service_name", "role")])
+        flat = lambda d: d.select(F.to_json(F.struct(*sorted(want.columns))).alias("j"))
+        assert D.equivalent(flat(want), flat(io.components_of(n, shown))).first()["equal"], kind
+    assert len(io.write_schemas(str(tmp_path / "s"))) == len(json_schemas()) == 13
+
+
+def test_snapshots_are_told_apart(files, spark, tmp_path):
+    """Two stored commits of one system: each is read alone, calls match within one, and configuration files come back."""
+    from codestrata.plans.tables import all_files, call_graph
+    from test_java import APP, CLIENT, CONTROLLER
+
+    texts = {"/users/pom.xml": POM.format("users"), "/users/src/main/java/App.java": APP, "/users/src/main/java/C.java": CONTROLLER, "/orders/pom.xml": POM.format("orders"), "/orders/src/main/java/App.java": APP, "/orders/src/main/java/F.java": CLIENT}
+    base = str(tmp_path / "t")
+    for commit in ("c1", "c2"):
+        io.write_tables(system.create_from_files(files(texts, commit)), base)
+    one, both = io.read_snapshot(spark, base, "shop", "main", "c1"), io.read_tables(spark, base)
+    assert {r["commit"] for r in one["services"].collect()} == {"c1"} and both["services"].count() == 2 * one["services"].count() == 4
+    assert call_graph(one).count() == 2 and call_graph(both).count() == 4
+    labels = spark.createDataFrame([("s1", "shop", "main", "c1")], "snapshot string, repo string, branch string, commit string")
+    assert {r["call_commit"] for r in call_graph(both, snapshots=labels).collect()} == {"c1"} and call_graph(both, snapshots=labels).count() == 2
+    assert {(r["path"], r["kind"]) for r in all_files(one).collect()} == {(p, "config" if p.endswith("xml") else "class") for p in texts}
+    assert one["config_files"].selectExpr("variant_get(data, '$.project.artifactId', 'string') AS a").orderBy("a").collect()[0]["a"] == "orders"
+    with pytest.raises(KeyError):
+        io.read_snapshot(spark, base, "shop", "main", "c7")
+    slash = files(texts).selectExpr("repo", "'feature/x' AS branch", "'c3' AS commit", "path", "content")
+    io.write_tables(system.create_from_files(slash), base)
+    assert io.read_snapshot(spark, base, "shop", "feature/x", "c3")["services"].count() == 2
+
+
+def test_branches_are_told_apart(files):
+    """Two unchanged branches of one repository differ in nothing; a change of one is no change of the other."""
+    both = lambda a, b: files(a).unionByName(files(b).selectExpr("repo", "'dev' AS branch", "commit", "path", "content"))
+    changed, components = delta.delta(both(V1, V2), both(V1, V2))
+    assert changed.isEmpty() and components.isEmpty()
+    changed, components = delta.delta(both(V1, V1), both(V1, V2))
+    assert {r["branch"] for r in changed.collect()} == {r["branch"] for r in components.collect()} == {"dev"}
+
+
+def test_names_of_clones():
+    assert git.repository_names(["https://h/a/x.git", "https://h/b/x.git", "git@h:c/y.git"]) == {"https://h/a/x.git": "a_x", "https://h/b/x.git": "b_x", "git@h:c/y.git": "y"}
 
 
 def sh(path, *args):
@@ -88,6 +130,19 @@ def test_git_source(spark, repo, tmp_path):
     kinds = {r["path"]: r["change_type"] for r in git.tree_diff(*trees).collect()}
     assert kinds["/b/pom.xml"] == "ADD" and kinds["/a/src/main/java/B.java"] == "DELETE" and kinds["/a/src/main/java/C.java"] == "MODIFY"
     assert "/a/src/main/java/C.java" not in {r["path"] for r in git.code_changes(old, new).collect()}
+    changes, components = system.create_deltas(spark, [(repo, "shop", "main", log[1]["commit"], log[0]["commit"])])
+    want, want_components = delta.delta(old, new)
+    assert {(r["path"], r["change_type"], r["commit"]) for r in changes.collect()} == {(r["path"], r["change_type"], log[0]["commit"]) for r in want.collect()}
+    assert D.equivalent(components.drop("commit"), want_components).first()["equal"]
+    assert git.head(repo, "main") == log[0]["commit"]
+    with pytest.raises(git.GitError, match="no branch"):
+        git.head(repo, "gone")
+    config = {"systemName": "s", "systemRepositories": [{"repoBranchPair": {"repositoryURL": "file://" + repo, "branchName": "main"}, "commitID": c} for c in (log[1]["commit"],)]}
+    clones = str(tmp_path / "stored")
+    first = system.create(spark, config, clones, work=str(tmp_path / "work" / "clone"))
+    config["systemRepositories"][0]["commitID"] = ""
+    second = system.create(spark, config, clones, work=str(tmp_path / "work" / "clone"))
+    assert {r["commit"] for r in first["services"].collect()} == {log[1]["commit"]} and {r["commit"] for r in second["services"].collect()} == {log[0]["commit"]}
     assert git.is_repository(repo) and git.clone("unused", repo) == repo and not git.is_repository(str(tmp_path))
     scanned = {r["path"]: r["content"] for r in scan_tree(spark, repo, "shop").collect()}
     assert scanned == V2
