@@ -110,12 +110,12 @@ def path_repo_relative(spark, sf):
 
 @query("""
 SELECT page_id, ends_with(p, '/index.html') OR ends_with(p, '.yml') OR ends_with(p, '0') OR ends_with(p, '5') AS valid,
-       list_has_any(string_split(p, '/'), ['fr', 'de']) AS ignored
+       list_has_any(string_split(regexp_replace(p, '/?[^/]*$', ''), '/'), ['fr', 'de']) AS ignored
 FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)
 """)
 def valid_file_filter(spark, sf):
     p = F.regexp_replace("url", "[?#].*$", "")
-    return table(spark, sf, "pages").select("page_id", S.is_valid_file(p, ["/index.html", ".yml", "0", "5"]).alias("valid"), P.has_segment(p, ["fr", "de"]).alias("ignored"))
+    return table(spark, sf, "pages").select("page_id", S.is_valid_file(p, ["/index.html", ".yml", "0", "5"]).alias("valid"), S.in_ignored_dir(p, ["fr", "de"]).alias("ignored"))
 
 
 @query("""
@@ -266,12 +266,12 @@ def path_lookup(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT s_suppkey, '/n' || s_nationkey || '/s' || s_suppkey AS path FROM supplier), n AS (SELECT '/n' || n_nationkey AS root FROM nation WHERE n_regionkey <= 2)
+WITH s AS (SELECT s_suppkey, '/n' || s_nationkey || '/s' || s_suppkey AS path FROM supplier), n AS (SELECT '/n' || n_nationkey AS root FROM nation JOIN region ON n_regionkey = r_regionkey AND length(r_name) < 7)
 SELECT s_suppkey, path, root AS owner FROM s LEFT JOIN n ON starts_with(path, root || '/')
 """)
 def adopt_orphans(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("/n"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string")).alias("path"))
-    n = table(spark, sf, "nation").where("n_regionkey <= 2").select(F.concat(F.lit("/n"), F.col("n_nationkey").cast("string")).alias("root"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region").where("length(r_name) < 7"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("/n"), F.col("n_nationkey").cast("string")).alias("root"))
     owned, orphans = O.adopt(s, n, "path", "root")
     return owned.unionByName(orphans.withColumn("owner", F.lit(None).cast("string"))).select("s_suppkey", "path", "owner")
 
@@ -448,43 +448,207 @@ def commit_coalesce(spark, sf):
     return update_commits(o, c).select("o_orderkey", "commit")
 
 
-# -- aggregates, nesting, unions
+# -- a system of source files, made of the suppliers: one directory each, one repository a nation
+
+REST = "/src/main/java/p/"
+
+
+def system_files(spark, sf) -> DataFrame:
+    """(repo, branch, commit, path, content): pom everywhere, configuration, Dockerfile, application class and controller for some; a client of the next supplier's controller."""
+    key, following = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 1).cast("string")
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    file = lambda name, content, condition=None: F.when(F.lit(True) if condition is None else condition, F.struct(text(*name).alias("name"), content.alias("content")))
+    controller = text(
+        "package p;\nimport java.util.List;\n/** Supplier } */\n@RestController\n@RequestMapping(\"/s", key, "\")\npublic class C", key, " {\n  private static int nation = ", F.col("s_nationkey").cast("string"),
+        ";\n  @GetMapping(\"/{id}\") public List<String> one(@PathVariable long id) { return helper.find(id); }\n  @PostMapping public void add(@RequestParam(\"n\") String n) { run(n); }\n  void plain() {}\n}\n",
+    )
+    client = text("package p;\n@FeignClient(name = \"next\")\ninterface F", key, " {\n  @GetMapping(\"/s", following, "/{x}\") String get(@PathVariable long x);\n  @PostMapping(\"/s", following, "\") void put(@RequestParam(\"n\") String v);\n}\n")
+    resource = text("package p;\n@RepositoryRestResource", F.when(F.col("s_suppkey") % 2 == 1, "(path = \"own\")").otherwise(""), "\npublic interface R", key, "Repository extends CrudRepository<X, Long> {\n  List<X> findByName(String n);\n  @RestResource(exported = false) void gone();\n}\n")
+    even = F.col("s_suppkey") % 2 == 0
+    made = F.array_compact(F.array(
+        file(["pom.xml"], text("<project><parent><artifactId>no</artifactId></parent><artifactId>art", key, "</artifactId></project>")),
+        file(["src/main/resources/application.yml"], text("spring:\n  application:\n    name: svc", key, "\n"), even),
+        file(["Dockerfile"], text("FROM x\n"), F.col("s_suppkey") % 3 == 0),
+        file(["src/main/java/App.java"], text("@SpringBootApplication\nclass App {}\n"), F.col("s_acctbal") > 0),
+        file(["src/main/java/p/C", key, ".java"], controller, F.col("s_suppkey") % 5 != 0),
+        file(["src/main/java/p/F", key, ".java"], client), file(["src/main/java/p/R", key, "Repository.java"], resource),
+        file(["build/x/pom.xml"], text("<project><artifactId>copy</artifactId></project>")), file(["src/main/java/p/Broken.java"], text("class Broken { void f() { "), F.col("s_suppkey") % 7 == 0),
+    ))
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("repo"), key.alias("key"), F.explode(made).alias("f"))
+    return rows.select("repo", F.lit("main").alias("branch"), F.lit("c1").alias("commit"), F.concat(F.lit("/s"), "key", F.lit("/"), "f.name").alias("path"), "f.content")
+
+
+SYSTEM_SQL = """
+x AS (
+  SELECT *, s_suppkey AS k, 'nation' || s_nationkey AS repo, '/s' || s_suppkey AS root, s_suppkey % 2 = 0 AS conf, s_suppkey % 3 = 0 AS docker, s_acctbal > 0 AS boot, s_suppkey % 5 <> 0 AS ctl FROM supplier),
+sc AS (
+  SELECT *, 5 + CASE WHEN conf THEN 3 ELSE 0 END + CASE WHEN docker THEN 4 ELSE 0 END + CASE WHEN boot THEN 5 ELSE 0 END + CASE WHEN ctl THEN 2 ELSE 0 END AS score FROM x),
+svc AS (SELECT *, CASE WHEN conf THEN 'svc' ELSE 'art' END || k AS name FROM sc WHERE score >= 7)
+"""
+
+
+def _system(spark, sf) -> dict[str, DataFrame]:
+    from .plans.system import create_from_files
+
+    return create_from_files(system_files(spark, sf))
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT repo, root, name AS service_name, score::INT AS score,
+       concat_ws('; ', CASE WHEN ctl THEN 'RequestMapping: src/main/java/p/C' || k || '.java' END, CASE WHEN boot THEN 'SpringBootApplication: src/main/java/App.java' END,
+                 CASE WHEN conf THEN 'application config: src/main/resources/application.yml' END, 'build file: pom.xml', CASE WHEN ctl THEN 'controller annotation: src/main/java/p/C' || k || '.java' END,
+                 CASE WHEN docker THEN 'dockerfile: Dockerfile' END, 'source tree: src/main/java') AS evidence
+FROM svc
+""")
+def service_boundaries(spark, sf):
+    from .plans.boundary import detect
+
+    return detect(system_files(spark, sf)).select("repo", "root", "service_name", "score", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query(f"WITH {SYSTEM_SQL} SELECT root, CASE WHEN conf THEN 'svc' ELSE 'art' END || k AS service_name FROM x")
+def names_by_directory(spark, sf):
+    from .plans import boundary as B
+
+    files = system_files(spark, sf)
+    roots = table(spark, sf, "supplier").select(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("repo"), F.lit("main").alias("branch"), F.lit("c1").alias("commit"), F.concat(F.lit("/s"), F.col("s_suppkey").cast("string")).alias("root"))
+    return B.names(B.file_facts(files), roots).select("root", "service_name")
+
+
+@query(f"""
+WITH {SYSTEM_SQL}, m AS (
+  SELECT root || '{REST}C' || k || '.java' AS path, unnest([('one', 'List<String>', 'PUBLIC', 1), ('add', 'void', 'PUBLIC', 1), ('plain', 'void', 'PACKAGE_PRIVATE', 0)]) AS m, 'p.C' || k AS c FROM x WHERE ctl
+  UNION ALL SELECT root || '{REST}F' || k || '.java', unnest([('get', 'String', 'PACKAGE_PRIVATE', 1), ('put', 'void', 'PACKAGE_PRIVATE', 1)]), 'p.F' || k FROM x
+  UNION ALL SELECT root || '{REST}R' || k || 'Repository.java', unnest([('findByName', 'List<X>', 'PACKAGE_PRIVATE', 1), ('gone', 'void', 'PACKAGE_PRIVATE', 0)]), 'p.R' || k || 'Repository' FROM x)
+SELECT path, c || '&' || m[1] AS component_id, m[1] AS name, m[2] AS return_type, m[3] AS protection, m[4]::INT AS n_parameters FROM m
+""")
+def source_methods(spark, sf):
+    from .plans.tables import components, parse_sources
+
+    m = components(parse_sources(system_files(spark, sf)), "methods")
+    return m.select("path", "component_id", "name", "return_type", "protection", F.size("parameters").alias("n_parameters"))
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT root || '{REST}C' || k || '.java' AS path, 'field' AS kind, 'nation' AS name, s_nationkey::VARCHAR AS detail FROM x WHERE ctl
+UNION ALL SELECT root || '{REST}C' || k || '.java', 'import', 'List', 'java.util' FROM x WHERE ctl
+UNION ALL SELECT root || '{REST}C' || k || '.java', 'call', 'find', 'helper' FROM x WHERE ctl
+UNION ALL SELECT root || '{REST}C' || k || '.java', 'call', 'run', '' FROM x WHERE ctl
+UNION ALL SELECT root || '{REST}Broken.java', 'error', '', '' FROM x WHERE k % 7 = 0
+""")
+def source_members(spark, sf):
+    from .plans.tables import components, parse_sources
+
+    p = parse_sources(system_files(spark, sf))
+    row = lambda d, kind, name, detail: d.select("path", F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+    out = row(components(p, "fields"), "field", F.col("name"), F.col("initializer"))
+    out = out.unionByName(row(components(p, "imports"), "import", F.col("object"), F.col("package"))).unionByName(row(components(p, "calls"), "call", F.col("name"), F.coalesce("object_name", F.lit(""))))
+    return out.unionByName(row(p.where("class.parse_error IS NOT NULL"), "error", F.lit(""), F.lit("")))
 
 
-@query("SELECT r_name, count(DISTINCT n_nationkey) AS services, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT root || '{REST}C' || k || '.java' AS path, 'CONTROLLER' AS role, 'controllers' AS role_bucket, svc.name AS service_name FROM x LEFT JOIN svc USING (k, root) WHERE x.ctl
+UNION ALL SELECT root || '{REST}F' || k || '.java', 'FEIGN_CLIENT', 'feignClients', svc.name FROM x LEFT JOIN svc USING (k, root)
+UNION ALL SELECT root || '{REST}R' || k || 'Repository.java', 'REP_REST_RSC', 'repositories', svc.name FROM x LEFT JOIN svc USING (k, root)
+UNION ALL SELECT root || '/src/main/java/App.java', 'UNKNOWN', 'unknowns', svc.name FROM x LEFT JOIN svc USING (k, root) WHERE x.boot
+""")
+def source_classes(spark, sf):
+    return _system(spark, sf)["classes"].select("path", "role", "role_bucket", "service_name")
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT root, 'one' AS name, '/s' || k || '/{{?}}' AS url, 'GET' AS http_method, '' AS required FROM x WHERE ctl
+UNION ALL SELECT root, 'add', '/s' || k, 'POST', 'n' FROM x WHERE ctl
+UNION ALL SELECT root, 'findByName', CASE WHEN k % 2 = 1 THEN '/own' ELSE '/r' || k || 's' END || '/search/findByName', 'GET', '' FROM x
+""")
+def source_endpoints(spark, sf):
+    from .plans.tables import classes, endpoints, methods, parse_sources
+
+    p = parse_sources(system_files(spark, sf))
+    e = endpoints(methods(p, classes(p)), include_repositories=True)
+    return e.select(F.regexp_extract("path", "^(/s[0-9]+)/", 1).alias("root"), "name", "url", "http_method", F.array_join("required", ",").alias("required"))
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT root, 'get' AS called_from, '/s' || (k + 1) || '/{{?}}' AS url, 'GET' AS http_method FROM x
+UNION ALL SELECT root, 'put', '/s' || (k + 1) || '?n={{?}}', 'POST' FROM x
+""")
+def feign_calls(spark, sf):
+    from .plans.tables import classes, methods, parse_sources, rest_calls
+
+    p = parse_sources(system_files(spark, sf))
+    return rest_calls(p, methods(p, classes(p))).select(F.regexp_extract("path", "^(/s[0-9]+)/", 1).alias("root"), "called_from", "url", "http_method")
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT a.name AS caller, b.name AS called, unnest(['/s' || b.k || '/{{?}}', '/s' || b.k]) AS endpoint_url FROM svc a JOIN svc b ON b.k = a.k + 1 AND b.ctl
+""")
+def system_call_graph(spark, sf):
+    from .plans.tables import call_graph
+
+    return call_graph(_system(spark, sf)).select(F.col("call_service").alias("caller"), F.col("endpoint_service").alias("called"), "endpoint_url")
+
+
+@query(f"WITH {SYSTEM_SQL} SELECT repo, count(*) AS services, string_agg(name, ',' ORDER BY name) AS names FROM svc GROUP BY repo")
 def services_per_repo(spark, sf):
-    d = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return d.groupBy("r_name").agg(F.countDistinct("n_nationkey").alias("services"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"))
+    from .plans.tables import totals
 
+    t = totals(_system(spark, sf)).where("service_name IS NOT NULL")
+    return t.groupBy("repo").agg(F.count("*").alias("services"), F.array_join(F.array_sort(F.collect_list("service_name")), ",").alias("names"))
 
-@query("SELECT o_orderstatus, sum(c)::BIGINT AS endpoints, count(*) AS services FROM orders JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
-def total_endpoints(spark, sf):
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c"))
-    d = table(spark, sf, "orders").join(per, F.col("l_orderkey") == F.col("o_orderkey"))
-    return d.groupBy("o_orderstatus").agg(F.sum("c").alias("endpoints"), F.count("*").alias("services"))
 
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT name AS service_name, ctl::INT::BIGINT AS controllers, 1::BIGINT AS feign_clients, boot::INT::BIGINT AS unknowns, 2 * ctl::INT::BIGINT AS n_endpoints, 2::BIGINT AS n_rest_calls, 2 * ctl::INT::BIGINT AS n_calls FROM svc
+""")
+def total_endpoints(spark, sf):
+    from .plans.tables import totals
 
-@query("SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def nested_roundtrip(spark, sf):
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("items"))
-    d = table(spark, sf, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "items")
-    as_json = d.select(F.to_json(F.struct("*")).alias("json"))
-    back = as_json.select(F.from_json("json", d.schema).alias("r")).select("r.*")
-    return back.select("o_orderkey", "o_orderstatus", F.inline("items"))
+    t = totals(_system(spark, sf)).where("service_name IS NOT NULL")
+    return t.select("service_name", "controllers", F.col("feignClients").alias("feign_clients"), "unknowns", F.col("n_endpoints").cast("long"), F.col("n_rest_calls").cast("long"), F.col("n_calls").cast("long"))
 
 
-@query("""
-SELECT repo, kind, count(*) AS files FROM (SELECT source AS repo, lang AS kind FROM documents UNION ALL SELECT role, 'turn' FROM conversations UNION ALL SELECT event_type, 'event' FROM events) GROUP BY ALL
+@query(f"""
+WITH {SYSTEM_SQL}, f AS (
+  SELECT repo, k, 'class' AS kind, (ctl::INT + boot::INT + 2)::BIGINT AS n FROM x UNION ALL SELECT repo, k, 'config', (2 + conf::INT + docker::INT)::BIGINT FROM x)
+SELECT repo, kind, sum(n)::BIGINT AS files FROM f GROUP BY ALL
 """)
 def multi_repo_union(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("lang").alias("kind"))
-    for name, repo, kind in (("conversations", "role", "turn"), ("events", "event_type", "event")):
-        d = d.unionByName(table(spark, sf, name).select(F.col(repo).alias("repo"), F.lit(kind).alias("kind")))
-    return d.groupBy("repo", "kind").agg(F.count("*").alias("files"))
+    from .plans.tables import all_files
 
+    return all_files(_system(spark, sf)).groupBy("repo", "kind").agg(F.count("*").alias("files"))
 
-@query("""
-SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS names, count(*) AS files FROM events GROUP BY user_id
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT svc.root AS service_path, x.k, unnest(CASE WHEN x.ctl THEN ['one', 'add', 'plain', 'get', 'put', 'findByName', 'gone'] ELSE ['get', 'put', 'findByName', 'gone'] END) AS name FROM x LEFT JOIN svc USING (k)
 """)
-def names_by_directory(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"), F.count("*").alias("files"))
+def nested_roundtrip(spark, sf):
+    from .plans import io
+
+    n = io.nested(_system(spark, sf))
+    back = n.select(F.from_json(F.to_json(F.struct("*")), n.schema).alias("r")).select("r.*")
+    return io.components_of(back, "methods").select("service_path", F.regexp_extract("path", "^/s([0-9]+)/", 1).cast("long").alias("k"), "name")
+
+
+@query(f"""
+WITH {SYSTEM_SQL}
+SELECT 'C' || k AS class_name, 'MODIFY' AS change_type, 'field' AS kind FROM x WHERE ctl AND k % 4 = 0
+UNION ALL SELECT 'F' || k, 'DELETE', unnest(['class', 'method', 'method', 'annotation', 'annotation', 'annotation', 'annotation', 'annotation']) FROM x WHERE k % 9 = 0
+""")
+def source_delta(spark, sf):
+    """A field's initializer changes, comments do everywhere, and some clients go."""
+    from .plans.system import create_delta
+
+    old = system_files(spark, sf)
+    key = F.regexp_extract("path", "^/s([0-9]+)/", 1).cast("long")
+    new = old.where(~(F.col("path").rlike("/F[0-9]+[.]java$") & (key % 9 == 0)))
+    edited = F.when(F.col("path").rlike("/C[0-9]+[.]java$"), F.replace(F.when(key % 4 == 0, F.replace("content", F.lit("nation = "), F.lit("nation = 1"))).otherwise(F.col("content")), F.lit("Supplier"), F.lit("  Any supplier"))).otherwise(F.col("content"))
+    _, components = create_delta(old, new.withColumn("content", edited))
+    return components.select(F.regexp_extract("path", "([CF][0-9]+)[.]java$", 1).alias("class_name"), "change_type", "kind")

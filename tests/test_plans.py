@@ -50,7 +50,7 @@ def test_storage_round_trip(files, spark, tmp_path):
     for name in ("services", "classes", "methods", "calls"):
         assert D.equivalent(t[name].select(F.to_json(F.struct(*sorted(t[name].columns))).alias("j")), back[name].select(F.to_json(F.struct(*sorted(t[name].columns))).alias("j"))).first()["equal"]
     assert io.has_snapshot(spark, str(tmp_path / "t"), "shop", "main", "c1") and not io.has_snapshot(spark, str(tmp_path / "t"), "shop", "main", "c7")
-    n = io.nested(t)
+    n = io.nested(t).cache()
     for pretty in (True, False):
         io.write_json(n, str(tmp_path / "j"), pretty)
         again = io.read_json(spark, str(tmp_path / "j"), n.schema, pretty)
