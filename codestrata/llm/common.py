@@ -60,13 +60,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def other_fields(df: DataFrame, names) -> list[T.StructField]:
+    """Fields that none of ``names`` replaces; Spark tells names apart by letters, not by their case."""
+    low = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in low]
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[str]], list[list]]) -> DataFrame:
     """``df`` with columns that ``compute`` makes from the texts of a batch, one list per field.
 
     The other columns pass as Arrow data, whatever their types and nulls; one that has the name of a new column is replaced.
     """
-    names = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = other_fields(df, [f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [to_arrow_type(f.dataType) for f in fields]
@@ -75,4 +85,4 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], co
             made = compute([t or "" for t in text.to_pylist()])
             yield pa.RecordBatch.from_arrays(own + [pa.array(m, k) for m, k in zip(made, kinds, strict=True)], [f.name for f in kept] + [f.name for f in fields])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(kept + fields))
+    return df.select(*[F.col(quoted(f.name)) for f in kept], F.col(quoted(text_col)).alias("__text")).mapInArrow(run, T.StructType(kept + fields))

@@ -2,14 +2,15 @@
 
 Method: every text is cut into units; a unit is normalised (lower case, white space collapsed) and hashed; digests are grouped over all
 documents, the earliest ranked occurrence stays, and every other one is removed. What is removed is given with its offsets in the
-original text.
+original text. Only stretches of ``MIN_RUN`` or more neighbouring words go: shorter ones are phrases and set lines that texts share anyway.
 
 Units: a text can be cut at line starts, after sentence ends, before words that begin with a capital, and before words whose hash is the
 least of some ``WINDOW`` neighbouring words. The last kind depends on the words alone, so any ``WINDOW`` words of a repeated passage have a cut
 that all its copies share, wherever the passage was pasted. A unit begins at each cut and ends at the first one that is ``min_words`` or more
 words further on; at cuts of the other kinds one also ends, that begins at the last cut ``min_words`` or more words before, so that whole lines
 and sentences go to their last word. Of a repeated passage at most ``WINDOW - 1`` words stay at its beginning and about three times as many at its end,
-where the words after it may move the last cuts; copies broken into lines or sentences differently may keep words at those places, too.
+where the words after it may move the last cuts; copies broken into lines or sentences differently may keep words at those places, too. Units overlap; a word of a unit's earliest occurrence stays, even if another
+unit over it goes.
 
 Scale: a task sends each digest once, with its earliest occurrence there; the others it knows to be gone. So a unit held by a third of
 all documents costs one row a task in the comparison by digest. The answer isn't joined back to the occurrences (a hot join key) but sent to the
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import other_fields, quoted
+
 MIN_WORDS = 8
 #: So many neighbouring words have a cut among them.
 WINDOW = 8
+#: The fewest neighbouring words that are removed.
+MIN_RUN = 20
 FLUSH_UNITS = 200_000
 _WORDS = re.compile(r"\S+")
 
@@ -110,27 +116,30 @@ def digest(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:12]
 
 
-def cut(text: str, first: set[int], min_words: int = MIN_WORDS) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without the units whose number isn't in ``first``; their number; the spans removed, in code points, white space after included."""
-    return _remove(text, [b for i, b in enumerate(unit_bounds(text, min_words)[1]) if i not in first])
-
-
-def _remove(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
+def cut(text: str, gone: list[tuple[int, int]], kept: list[tuple[int, int]], min_run: int = MIN_RUN) -> tuple[str, int, list[tuple[int, int]]]:
+    """The text without the units ``gone`` but for the words of the units ``kept``; how many units went whole; the spans removed, in code points, white space after included."""
     if not gone:
         return text, 0, []
-    runs: list[list[int]] = []
+    marks = np.zeros(max(b for _, b in [*gone, *kept]) + 1, np.int64)
     for a, b in gone:
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(b, runs[-1][1])
-        else:
-            runs.append([a, b])
+        marks[a] += 1
+        marks[b] -= 1
+    out = np.cumsum(marks) > 0
+    for a, b in kept:
+        out[a:b] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
+    runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= min_run]
+    if not runs:
+        return text, 0, []
+    begins = [a for a, _ in runs]
+    n = sum(runs[max(0, bisect_right(begins, a) - 1)][0] <= a and b <= runs[max(0, bisect_right(begins, a) - 1)][1] for a, b in gone)
     starts = [m.start() for m in _WORDS.finditer(text)] + [len(text)]
     spans = [(starts[a], starts[b]) for a, b in runs]
     parts, at = [], 0
     for a, b in spans:
         parts.append(text[at:a])
         at = b
-    return "".join([*parts, text[at:]]), len(gone), spans
+    return "".join([*parts, text[at:]]), n, spans
 
 
 def _key() -> tuple:
@@ -138,13 +147,14 @@ def _key() -> tuple:
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, hash, gone): the numbers of a document's units that occur earlier, for documents that have such."""
-    schema = "id long, hash long, unit int, d0 long, d1 int"
+    """(id, hash, gone, kept): the numbers of a document's units that occur earlier, and of those whose later occurrences go; for documents that have such."""
+    schema = "id long, hash long, unit int, d0 long, d1 int, again boolean"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # digest -> (no id, id, hash, unit) of its earliest occurrence so far; and occurrences known to be later ones.
         own: dict[bytes, tuple] = {}
         lost: list[tuple] = []
+        twice: set[bytes] = set()
 
         def rows():
             at = [*own.values(), *lost]
@@ -153,8 +163,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             units = np.array([x[3] for x in at], np.int32)
             other = np.array([x[2] for x in lost], np.int64) ^ (units[len(own) :] * np.int64(0x9E3779B97F4A7C15 >> 1))
             units[len(own) :] = -1 - units[len(own) :]
-            columns = [pa.array([None if x[0] else x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int64()), pa.array(units), pa.array(np.concatenate([key["d0"], other])), pa.array(np.concatenate([key["d1"], np.zeros(len(lost), np.int32)]))]
-            return pa.RecordBatch.from_arrays(columns, ["id", "hash", "unit", "d0", "d1"])
+            columns = [pa.array([None if x[0] else x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int64()), pa.array(units), pa.array(np.concatenate([key["d0"], other])), pa.array(np.concatenate([key["d1"], np.zeros(len(lost), np.int32)])), pa.array([d in twice for d in own] + [False] * len(lost), pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "hash", "unit", "d0", "d1", "again"])
 
         for batch in batches:
             for i, h, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -165,36 +175,41 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     if here < at:
                         own[d], here = here, at
                     if here != own[d]:
+                        twice.add(d)
                         lost.append(here)
                 if len(own) + len(lost) > FLUSH_UNITS:
                     yield rows()
-                    own.clear(), lost.clear()
+                    own.clear(), lost.clear(), twice.clear()
         yield rows()
 
     found = docs.select(_key()[0].alias("id"), _key()[1].alias("hash"), "text").mapInArrow(explode, schema)
-    place = F.rank().over(W.partitionBy("d0", "d1").orderBy(F.col("id").asc_nulls_last(), "hash", "unit"))
-    gone = found.withColumn("place", place).where("place > 1 OR unit < 0").select("id", "hash", F.when(F.col("unit") < 0, -1 - F.col("unit")).otherwise(F.col("unit")).alias("unit"))
-    return gone.groupBy("id", "hash").agg(F.collect_set("unit").alias("gone"))
+    by = W.partitionBy("d0", "d1")
+    order = by.orderBy(F.col("id").asc_nulls_last(), "hash", "unit")
+    ranked = found.withColumn("place", F.rank().over(order)).withColumn("n", F.count("*").over(by))
+    number = F.when(F.col("unit") < 0, -1 - F.col("unit")).otherwise(F.col("unit"))
+    goes = (F.col("place") > 1) | (F.col("unit") < 0)
+    said = ranked.where(goes | (F.col("n") > 1) | F.col("again")).select("id", "hash", F.when(goes, number).alias("gone"), F.when(~goes, number).alias("kept"))
+    said = said.groupBy("id", "hash").agg(F.collect_set("gone").alias("gone"), F.collect_set("kept").alias("kept"))
+    return said.where(F.size("gone") > 0)
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with text replaced by the deduplicated one, and n_units, n_removed, removed (array of start, end in the original text)."""
     extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    names = {f.name for f in extra}
-    kept = [f for f in docs.schema.fields if f.name not in names]
+    kept = other_fields(docs, [f.name for f in extra])
     repeated = repeated_units(docs, min_words)
-    d = docs.select(*[f"`{f.name}`" for f in kept], _key()[0].alias("__id"), _key()[1].alias("__hash"))
+    d = docs.select(*[quoted(f.name) for f in kept], _key()[0].alias("__id"), _key()[1].alias("__hash"))
     on = d["__id"].eqNullSafe(repeated["id"]) & (d["__hash"] == repeated["hash"])
-    d = d.join(repeated, on, "left").select(*[d[f"`{f.name}`"] for f in kept], repeated["gone"].alias("__gone"))
-    at = [f.name for f in kept].index("text")
+    d = d.join(repeated, on, "left").select(*[d[quoted(f.name)] for f in kept], repeated["gone"].alias("__gone"), repeated["kept"].alias("__kept"))
+    at = [f.name.lower() for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *own, gone = batch.columns
+            *own, gone, stay = batch.columns
             texts, n_units, n_removed, removed = [], [], [], []
-            for text, numbers in zip(own[at].to_pylist(), gone.to_pylist(), strict=True):
+            for text, numbers, others in zip(own[at].to_pylist(), gone.to_pylist(), stay.to_pylist(), strict=True):
                 bounds = unit_bounds(text or "", min_words)[1]
-                new, n, spans = _remove(text or "", [bounds[i] for i in sorted(numbers or ())])
+                new, n, spans = cut(text or "", *[[bounds[i] for i in sorted(x or ())] for x in (numbers, others)], min_run)
                 texts.append(None if text is None else new)
                 n_units.append(len(bounds)), n_removed.append(n)
                 removed.append([{"start": a, "end": b} for a, b in spans])
