@@ -1,21 +1,24 @@
 """Exact top-k by inner product, by aggregation of sorted lists without random access.
 
-Method: vectors are integers (floor(256 * x)). In a block of candidates every dimension is a list of its entries sorted by component.
-A query reads each list from the end where its own component makes the largest products, segment by segment and never at random. What
-it has read of a vector, with the best and worst that unread lists can still add, bounds the vector's score from above and below; a block
-stops as soon as no vector outside the k best lower bounds can qualify (at once, if even the heads of all lists cannot beat what
-earlier blocks gave), or when resolving the vectors still in question costs less than the next segment. Final scores are resolved exactly.
+Method: vectors are integers (floor(256 * x)). In a block of candidates every dimension is a list of its entries sorted by component. A query reads each list from the end
+where its own component makes the largest products, in segments and never at random. What is read of a vector counts as it is; what isn't read of it is at
+best the entry at the front of that list and at worst the one at its end, which bounds the vector's score from above and below. The k-th best lower bound (or what earlier
+blocks gave, if that is more) is the floor; a query stops reading as soon as no more than ``RESOLVE`` vectors reach it with their upper bounds, so that
+no other can qualify, and only these are resolved exactly. A block is left unread if even the heads of all its lists stay below the floor.
 
-Scale: query blocks meet candidate blocks, both of bounded size; query blocks are spread over ``salts`` tasks, each with its share of the
-candidates, and a task sends on k rows a query. Vectors are grouped by neighbourhood before they are cut into blocks, so that
-whole blocks fall at the first test.
+The bounds of all queries of a block at one depth are matrix products: positive components meet the lists read from the top, negative ones those read from the bottom.
+
+Scale: candidates are cut into blocks once and never shuffled; vectors of a neighbourhood share a block, so that whole blocks fall at the heads. Queries go to them
+in stages of ``STAGE_BYTES`` at most, which are broadcast; each stage's k rows a query and task are written to the shared folder before the next one. The stages are as many as it takes for
+all queries, so the work is the number of pairs, but shuffled are only k rows a query and task.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part, nor do rows without id; of rows that repeat an id
-the smallest vector counts; vectors meet only those of their own length; empty vectors score 0; an empty table gives no rows.
+the smallest vector counts; vectors meet only those of their own length; empty vectors score 0; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,123 +27,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, shared_dir
 
 K, EVERY, SCALE = 5, 50, 256
 QUERY_BLOCK, BLOCK = 1024, 2048
-#: Reading one list entry costs so many times as much as resolving one product: numpy gathers against a matrix product.
-READ_COST = 16
+#: Entries that are read of each list at first; the depth doubles from there.
+SEGMENT = 64
+#: So many vectors in question are resolved rather than read on for.
+RESOLVE = 4 * K
+STAGE_BYTES = 16 << 20
 PIVOTS = 64
 EXACT = 2**53
 
 
-def _unpack(n: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(n, -1).astype(np.float64)
-
-
 class Lists:
-    """A block of candidates as one sorted list per dimension."""
+    """A block of candidates with one sorted list per dimension, read up to a depth from either end."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.low, self.high = (x.min(0), x.max(0)) if x.size else (np.zeros(x.shape[1]),) * 2
+        n = len(x)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, 0)
+        self.rank = np.empty(x.shape, np.int64)  # place of a vector's entry in its dimension's list, from the bottom
+        np.put_along_axis(self.rank, order, np.arange(n)[:, None].repeat(x.shape[1], 1), 0)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.sorted[0], self.sorted[-1]
 
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Components as far as they are known at a depth: from the top at best and at worst, from the bottom at best and at worst."""
+        n = len(self.x)
+        low, high = self.heads()
+        from_top, from_bottom = self.rank >= n - depth, self.rank < depth
+        front_top, front_bottom = (self.sorted[n - depth - 1], self.sorted[depth]) if depth < n else (low, high)
+        return np.where(from_top, self.x, front_top), np.where(from_top, self.x, low), np.where(from_bottom, self.x, front_bottom), np.where(from_bottom, self.x, high)
 
-def survivors(q: np.ndarray, block: Lists, floor: np.ndarray, k: int, costs: bool = True, segment: int = 64) -> tuple[np.ndarray, int]:
-    """(queries, candidates) matrix: may the candidate still be among the query's k best? And the depth read in each list.
 
-    ``floor`` has for each query a score that a candidate must reach to qualify. ``costs=False`` reads on until the bounds alone decide.
+def survivors(q: np.ndarray, block: Lists, floor: np.ndarray, k: int, own: np.ndarray | None = None, resolve: int = RESOLVE, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, candidates) matrix: may the candidate be among the query's k best? And the depth to which each query read the lists, 0 if the heads sufficed.
+
+    ``floor`` has for each query a score that a candidate must reach to qualify; ``own`` marks candidates that don't count.
     """
     n, dims = block.x.shape
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    best = up @ block.high + down @ block.low  # all lists' heads
-    worst = up @ block.low + down @ block.high
-    alive = np.repeat((best >= floor)[:, None], n, 1)
-    if not alive.any() or not dims:
-        return alive, 0
-    upper, lower = np.repeat(best[:, None], n, 1), np.repeat(worst[:, None], n, 1)
+    depths = np.zeros(len(q), np.int64)
+    alive = np.zeros((len(q), n), bool)
+    if not dims:
+        alive[:] = True
+        return alive if own is None else alive & ~own, depths
+    low, high = block.heads()
+    rows = np.flatnonzero(up @ high + down @ low >= floor)
     depth = 0
-    rows = np.flatnonzero(best >= floor)
-    while depth < n:
-        step = min(segment, n - depth)
-        if costs and alive.sum() * dims <= READ_COST * step * dims * len(rows):
-            break
-        for d in range(dims):
-            for sign, end in ((q[rows, d] > 0, -1), (q[rows, d] < 0, 1)):
-                r = rows[sign]
-                if not len(r):
-                    continue
-                at = block.order[n - depth - step : n - depth, d] if end < 0 else block.order[depth : depth + step, d]
-                product = q[r, d][:, None] * block.x[at, d][None, :]
-                head = q[r, d] * (block.high[d] if end < 0 else block.low[d])
-                tail = q[r, d] * (block.low[d] if end < 0 else block.high[d])
-                cell = np.ix_(r, at)
-                upper[cell] += product - head[:, None]
-                lower[cell] += product - tail[:, None]
-        depth += step
-        if n > k:  # one more than k: the query's own vector may be among them
-            floor = np.maximum(floor, np.partition(lower, n - k - 1, axis=1)[:, n - k - 1])
-        # Vectors not yet read in a list cannot exceed the entry at the current depth there.
-        fall = np.zeros((len(q), n))
-        if not costs:
-            for d in range(dims):
-                unread = np.ones(n, bool)[None, :].repeat(len(q), 0)
-                for sign, end in ((q[:, d] > 0, -1), (q[:, d] < 0, 1)):
-                    read = block.order[n - depth :, d] if end < 0 else block.order[:depth, d]
-                    r = np.flatnonzero(sign)
-                    unread[np.ix_(r, read)] = False
-                    if depth < n and len(r):
-                        front = block.x[block.order[n - depth - 1, d] if end < 0 else block.order[depth, d], d]
-                        head = block.high[d] if end < 0 else block.low[d]
-                        fall[r] += unread[r] * (q[r, d] * (head - front))[:, None]
-        else:
-            front = np.where(q > 0, block.x[block.order[n - depth - 1], range(dims)], block.x[block.order[min(depth, n - 1)], range(dims)]) if depth < n else np.zeros_like(q)
-            head = np.where(q > 0, block.high, block.low)
-            if depth < n:  # a vector that no list has shown yet; vectors that some have keep their looser bound
-                seen = np.zeros((len(q), n), bool)
-                unseen_best = (q * front).sum(1)
-                top, bottom = np.unique(block.order[n - depth :]), np.unique(block.order[:depth])
-                seen[:, top] = True
-                seen[:, bottom] = True
-                fall = np.where(seen, 0, np.maximum(0, (q * head).sum(1) - unseen_best)[:, None])
-        alive = upper - fall >= floor[:, None]
-        rows = np.flatnonzero(alive.any(1))
-        if not len(rows) or (alive.sum(1) <= k + 1).all():
+    while len(rows):
+        depth = min(n, max(segment, 2 * depth))
+        top_best, top_worst, bottom_best, bottom_worst = block.read(depth)
+        best = up[rows] @ top_best.T + down[rows] @ bottom_best.T
+        worst = up[rows] @ top_worst.T + down[rows] @ bottom_worst.T
+        if own is not None:
+            best[own[rows]] = worst[own[rows]] = -np.inf
+        least = floor[rows]
+        if n >= k:
+            least = np.maximum(least, np.partition(worst, n - k, axis=1)[:, n - k])
+        depths[rows] = depth
+        alive[rows] = (best >= least[:, None]) & (best > -np.inf)
+        if depth == n:
             break
-        segment *= 2
-    return alive, depth
+        rows = rows[alive[rows].sum(1) > resolve]
+    return alive, depths
 
 
 class Best:
     """The k best of each query of a block so far."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+        self.ids, self.q, self.k = ids, q.astype(np.float64), k
+        self.exact = q
         self.scores: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
+        self.place = {i: n for n, i in enumerate(ids.tolist())}
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        block = Lists(ids, x)
-        alive, _ = survivors(self.q, block, self.floor, self.k)
-        rows = np.flatnonzero(alive.any(1))
-        if not len(rows):
-            return
-        if x.size and np.abs(x).max() * np.abs(self.q).max() * x.shape[1] >= EXACT:
-            s = self.q[rows].astype(object) @ x.T.astype(object)
+        own = np.zeros((len(self.ids), len(ids)), bool)
+        for at, i in enumerate(ids.tolist()):
+            if i in self.place:
+                own[self.place[i], at] = True
+        large = x.size and float(np.abs(x).max()) * float(np.abs(self.q).max()) * x.shape[1] >= EXACT
+        if large:  # bounds in floating point would not be exact
+            alive = ~own
         else:
-            s = self.q[rows] @ x.T
-        for i, r in enumerate(rows):
-            ok = alive[r] & (ids != self.ids[r])
-            ok &= s[i] >= self.floor[r]
-            at = np.flatnonzero(ok)
-            if len(at) > 4 * self.k:
-                least = np.partition(s[i][at].astype(np.float64), len(at) - self.k)[len(at) - self.k]
-                at = at[s[i][at] >= least]
-            own = sorted(self.scores[r] + [(-int(s[i][a]), int(ids[a])) for a in at])[: self.k]
-            self.scores[r] = own
-            if len(own) == self.k:
-                self.floor[r] = -own[-1][0]
+            alive, _ = survivors(self.q, Lists(ids, x.astype(np.float64)), self.floor, self.k, own)
+        for r in np.flatnonzero(alive.any(1)).tolist():
+            at = np.flatnonzero(alive[r])
+            score = x[at].astype(object) @ self.exact[r].astype(object) if large else x[at] @ self.exact[r]
+            found = sorted(self.scores[r] + [(-int(v), int(i)) for v, i in zip(score.tolist(), ids[at].tolist(), strict=True)])[: self.k]
+            self.scores[r] = found
+            if len(found) == self.k:
+                self.floor[r] = -found[-1][0]
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -184,40 +166,40 @@ def _pack(block: int, cluster: bool):
 BLOCK_SCHEMA = "dims int, part int, n int, first long, ids binary, data binary"
 
 
-def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+BLOCK_SCHEMA = "dims int, part int, n int, first long, ids binary, data binary"
+
+
+def search(table: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other vectors for every vector whose id is divisible by ``every``."""
     spark = table.sparkSession
     v = materialise(vectors(table), "topk-vectors")
-    q = v.where(F.col("vec_id") % every == 0)
-    parts = max(1, -(-q.count() // QUERY_BLOCK))
-    salts = shuffle_partitions(spark)
-    q = q.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition(min(parts, salts), "part")
-    q = q.select("vec_id", "v", "part").mapInArrow(_pack(QUERY_BLOCK, False), BLOCK_SCHEMA)
-    q = q.select("dims", "part", F.col("first").alias("q_first"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    c = v.select("vec_id", "v", F.lit(0).alias("part")).mapInArrow(_pack(BLOCK, True), BLOCK_SCHEMA)
-    c = c.withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(salts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: Best | None = None
-        current = None
-
-        def rows():
-            out = [(i, j, -s) for i, own in zip(best.ids.tolist(), best.scores, strict=True) for s, j in own]
-            return pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["dims"], r["part"], r["salt"], r["q_first"], r["q_n"])
-                if key != current:
-                    if best is not None:
-                        yield rows()
-                    current, best = key, Best(*_unpack(r["q_n"], r["q_ids"], r["q_data"]), k)
-                best.meet(*_unpack(r["n"], r["ids"], r["data"]))
-        if best is not None:
-            yield rows()
-
-    met = q.join(c, ["dims", "part", "salt"])
-    met = met.sortWithinPartitions("dims", "part", "salt", "q_first", "q_n", "first")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    blocks = materialise(v.select("vec_id", "v", F.lit(0).alias("part")).mapInArrow(_pack(block, True), BLOCK_SCHEMA), "topk-blocks").select("ids", "data")
+    asked = v.where(F.col("vec_id") % every == 0)
+    n, longest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    stages = max(1, -(-n * 8 * (longest + 1) // STAGE_BYTES))
+    target = f"{shared_dir(spark)}/topk-found-{uuid.uuid4().hex}"
+    for stage in range(stages):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(stages)) == stage).orderBy("vec_id").toArrow()  # about STAGE_BYTES
+        by_length: dict[int, list[tuple[int, list[int]]]] = {}
+        for i, x in zip(rows.column("vec_id").to_pylist(), rows.column("v").to_pylist(), strict=True):
+            by_length.setdefault(len(x), []).append((i, x))
+        queries = [(np.array([i for i, _ in own[a : a + QUERY_BLOCK]], np.int64), np.array([x for _, x in own[a : a + QUERY_BLOCK]], np.int64).reshape(-1, d)) for d, own in by_length.items() for a in range(0, len(own), QUERY_BLOCK)]
+        shared = spark.sparkContext.broadcast(queries)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [Best(i, q, k) for i, q in shared.value]
+            for batch in batches:
+                for ids, data in zip(batch.column("ids").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    own = np.frombuffer(ids, np.int64)
+                    x = np.frombuffer(data, np.int64).reshape(len(own), -1)
+                    for b in best:
+                        if b.q.shape[1] == x.shape[1]:
+                            b.meet(own, x)
+            out = [(i, j, -s) for b in best for i, found in zip(b.ids.tolist(), b.scores, strict=True) for s, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
+
+        blocks.mapInArrow(run, "query_id long, vec_id long, score long").write.mode("append").parquet(target)
+        shared.unpersist()
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(target)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
