@@ -62,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_topk, op3_substring_dedup, op4_chat_formatting, op5_bpe, op6_minhash_near_dedup, op7_lm_scoring, op8_language_id, op9_mixing, op10_quality_rules)}
 
+_STOP_SQL = ", ".join(f"'{w}', '{w.capitalize()}'" for w in rules.STOP_WORDS)
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
@@ -112,13 +113,19 @@ b AS (
 g AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS gram FROM b, unnest(range(1, greatest(1, n_words - 6))) AS u(i)),
 h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 p AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM h, unnest(range(0, 8)) AS u(j) GROUP BY r),
+tp AS (SELECT r, max(n) AS top FROM (SELECT r, ws[i] AS a, ws[i + 1] AS c, count(*) AS n FROM b, unnest(range(1, n_words)) AS u(i) GROUP BY ALL) GROUP BY r),
 m AS (
   SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
-  FROM b LEFT JOIN p USING (r)),
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}]'))) AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|\x{{2026}})[\x20\x09-\x0D]*$'))) AS n_ellipses,
+         len(list_filter(ws, lambda x: NOT regexp_matches(x, '[^\x00-@\[-`{{-\x7F]'))) AS n_no_letter,
+         len(list_filter(ws, lambda x: list_contains([{_STOP_SQL}], x))) AS n_stop, coalesce(top, 0) AS top
+  FROM b LEFT JOIN p USING (r) LEFT JOIN tp USING (r)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * greatest(1, n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * greatest(1, n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+         OR 100 * n_bullets > 90 * greatest(1, n_lines) OR 100 * n_ellipses > 30 * greatest(1, n_lines) OR 100 * n_no_letter > 20 * n_words OR n_stop < 2 OR (200 * top > 20 * n_words AND top > 2)) AS kept
 FROM v
 """,
 }
