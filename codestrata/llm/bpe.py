@@ -3,9 +3,9 @@
 Method: a rolling hash over the characters cuts every text into chunks, so that equal passages are cut alike wherever they stand. Chunk
 digests are counted over all documents. A chunk that occurs more than once is encoded by one document, its owner, and its ids are sent to
 the others. The joins are repaired: tokens near a cut depend on the text beyond it, so of a chunk only the part between two *anchors* is
-reused. An anchor is a place between a word character and a space or newline; the tokenizer's pattern always splits there and no token,
-special ones included, crosses it, so the encodings of both sides agree with the encoding of the whole. What lies between the last
-anchor of one chunk and the first of the next is encoded again as one window, over as many chunks as it takes to reach anchors.
+reused. An anchor is a place between a word character and a space or newline, where the tokenizer's pattern splits. What lies between the last
+anchor of one reused chunk and the first of the next is encoded again, together with the tokens next to it on both sides; if the new ids there differ from the reused ones, the
+window is doubled until both sides agree or both chunks are encoded anew.
 
 The byte-level encoder has the merges of the given tokenizer file; long stretches without anchors go through the tokenizers library.
 
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, shuffle_partitions
+from .common import carried, materialise, other_fields, shuffle_partitions
+from .mixing import key_of
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of the rolling hash that must be 0 at a cut: chunks of 1024 characters on average. Its window in characters is 2**WINDOW_LOG.
@@ -134,18 +135,45 @@ def cores(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _edge(ids: list[int], n: int, c: Codec, last: bool) -> tuple[int, str]:
+    """The text of the ``n`` last or first tokens, of more where a character would be cut; and their number."""
+    while n < len(ids):
+        raw = b"".join([c.raw[i] for i in (ids[-n:] if last else ids[:n])])
+        try:
+            return n, raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            n += 1
+    return len(ids), b"".join([c.raw[i] for i in ids]).decode("utf-8", "surrogatepass")
+
+
+def mend(ids: list[int], gap: str, right: list[int], c: Codec, window: int = 1) -> None:
+    """Append gap and ``right`` to ``ids``: the window around the gap grows until its new ids agree with the old ones at both of its ends."""
+    while True:
+        (n, head), (m, tail) = _edge(ids, window, c, True), _edge(right, window, c, False)
+        new = c.encode_window(head + gap + tail)
+        whole = n == len(ids) and m == len(right)
+        # The outer half of the window on either side must be as before; the inner half may have changed.
+        x, y = (n + 1) // 2, (m + 1) // 2
+        if whole or (len(new) >= x + y and new[:x] == ids[len(ids) - n :][:x] and new[len(new) - y :] == right[m - y : m]):
+            del ids[len(ids) - n :]
+            ids += new
+            ids += right[m:]
+            return
+        window *= 2
+
+
 def assemble(text: str, known: dict[int, list[int]], c: Codec) -> list[int]:
-    """ids of the whole text: reused or fresh ids of the cores, and the windows between them encoded again."""
+    """ids of the whole text: reused ids of the cores, joined by what lies between them, encoded again."""
+    if not known:
+        return c.encode(text)
     ids: list[int] = []
-    at, fresh = 0, 0
-    for i, (a, b) in enumerate(cores(text) if known else []):
+    at = 0
+    for i, (a, b) in enumerate(cores(text)):
         if i in known:  # all between the last reused core and this one is one stretch: it is encoded at once
-            ids += (c.encode_window if a - at <= 200 else c.encode)(text[at:a])
-            ids += known[i]
-            at, fresh = b, fresh + 1
-    return ids + (c.encode(text[at:]) if fresh else c.encode(text))
-
-
+            mend(ids, text[at:a], known[i], c)
+            at = b
+    mend(ids, text[at:], [], c)
+    return ids
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -154,9 +182,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     Columns of the result: the columns of ``docs`` without text, n_tokens, ids_sha256, decoded_sha256, exact (decoded equals the text).
     """
     outputs = ["n_tokens", "ids_sha256", "decoded_sha256", "exact"]
-    kept = [f for f in docs.schema.fields if f.name not in [*outputs, "text"]]
+    others = other_fields(docs, [*outputs, "text"])
+    columns, kept = carried(others)
     spark = docs.sparkSession
-    base = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce("text", F.lit("")).alias("__text"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")).alias("__key"))
+    base = docs.select(*columns, F.coalesce("text", F.lit("")).alias("__text"), F.unhex(key_of(F.col("doc_id"), F.col("text"))).alias("__key"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +195,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     if b > a:
                         x, y = digest(text[a:b])
                         key.append(k), number.append(i), d0.append(x), d1.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())], ["key", "number", "d0", "d1"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(number, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())], ["key", "number", "d0", "d1"])
 
-    found = materialise(base.select("__key", "__text").mapInArrow(find, "key long, number int, d0 long, d1 long"), "bpe-chunks")
+    found = materialise(base.select("__key", "__text").mapInArrow(find, "key binary, number int, d0 long, d1 long"), "bpe-chunks")
     shared = found.groupBy("d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("key", "number")).alias("own")).where("n > 1")
     shared = materialise(shared.select("d0", "d1", "n", "own.key", "own.number"), "bpe-shared")
     total = found.count()
@@ -180,7 +209,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             blobs = [z.compress(t.encode("utf-8", "surrogatepass")) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([*own, pa.array(blobs, pa.binary()), key], [*[f.name for f in kept], "__blob", "__key"])
 
-    packed = base.mapInArrow(pack, T.StructType([*kept, T.StructField("__blob", T.BinaryType()), T.StructField("__key", T.LongType())]))
+    packed = base.mapInArrow(pack, T.StructType([*kept, T.StructField("__blob", T.BinaryType()), T.StructField("__key", T.BinaryType())]))
     packed = packed.repartition(shuffle_partitions(spark), "__key")
 
     def own_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +238,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     salts = shared.where(F.col("n") > 50_000).where(F.col("n") > hot).select(F.col("d0").alias("h0"), F.col("d1").alias("h1"), F.least(F.lit(64), F.ceil(F.col("n") / hot)).cast("int").alias("salts"))
     salts = F.broadcast(salts)
     uses = found.join(shared.select("d0", "d1"), ["d0", "d1"], "left_semi")
-    uses = uses.join(salts, (uses["d0"] == salts["h0"]) & (uses["d1"] == salts["h1"]), "left").select("d0", "d1", "key", "number", F.pmod("key", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    uses = uses.join(salts, (uses["d0"] == salts["h0"]) & (uses["d1"] == salts["h1"]), "left").select("d0", "d1", "key", "number", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     coded = coded.join(salts, (coded["d0"] == salts["h0"]) & (coded["d1"] == salts["h1"]), "left").select("d0", "d1", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     # A document owns or uses a chunk once; repeated rows of one document would count twice, hence distinct numbers by key.
     known = uses.join(coded, ["d0", "d1", "salt"]).groupBy(F.col("key").alias("__k")).agg(F.collect_list(F.struct("number", "ids")).alias("__known"))
@@ -230,4 +259,4 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(exact, pa.bool_())], [*[f.name for f in kept], *outputs])
 
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())])
-    return packed.join(known, packed["__key"] == known["__k"], "left").drop("__k").mapInArrow(finish, schema)
+    return packed.join(known, packed["__key"] == known["__k"], "left").drop("__k").mapInArrow(finish, schema).toDF(*[f.name for f in others], *outputs)

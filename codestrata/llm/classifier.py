@@ -103,10 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).collect()
-    by_id = {r["doc_id"]: r["quality"] for r in chosen}
+    by_id = {int(r["doc_id"]): r["quality"] for r in chosen}
     if not by_id:
         return train([], [])
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isin(list(by_id)))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    some = lambda ids: F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # noqa: E731 - at most max_train_docs rows
+    picked = picked.join(some(by_id), "doc_id", "left_semi")
     place = {i: n for n, i in enumerate(by_id)}
     sizes = picked.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()
     fits, total = [], 0
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
         if total + r["n"] <= max_train_chars:
             fits.append(r["doc_id"])
             total += r["n"]
-    rows = sorted({(r["doc_id"], r["text"]) for r in picked.where(F.col("doc_id").isin(fits)).collect()}) if fits else []
+    rows = sorted({(r["doc_id"], r["text"]) for r in picked.join(some(fits), "doc_id", "left_semi").collect()}) if fits else []
     return train([t for _, t in rows], [by_id[i] for i, _ in rows])
 
 

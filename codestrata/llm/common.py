@@ -71,6 +71,11 @@ def other_fields(df: DataFrame, names) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name.lower() not in low]
 
 
+def carried(fields: list[T.StructField]) -> tuple[list, list[T.StructField]]:
+    """Columns and fields of other columns under plain names, since names with dots don't go through mapInArrow; toDF gives them back."""
+    return [F.col(quoted(f.name)).alias(f"__k{i}") for i, f in enumerate(fields)], [T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(fields)]
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[str]], list[list]]) -> DataFrame:
     """``df`` with columns that ``compute`` makes from the texts of a batch, one list per field.
 
@@ -83,6 +88,8 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], co
         for batch in batches:
             *own, text = batch.columns
             made = compute([t or "" for t in text.to_pylist()])
-            yield pa.RecordBatch.from_arrays(own + [pa.array(m, k) for m, k in zip(made, kinds, strict=True)], [f.name for f in kept] + [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays(own + [pa.array(m, k) for m, k in zip(made, kinds, strict=True)], [f.name for f in plain] + [f.name for f in fields])
 
-    return df.select(*[F.col(quoted(f.name)) for f in kept], F.col(quoted(text_col)).alias("__text")).mapInArrow(run, T.StructType(kept + fields))
+    columns, plain = carried(kept)
+    out = df.select(*columns, F.col(quoted(text_col)).alias("__text")).mapInArrow(run, T.StructType(plain + fields))
+    return out.toDF(*[f.name for f in kept], *[f.name for f in fields])

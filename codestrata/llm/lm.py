@@ -412,7 +412,8 @@ def fit_weights(words: DataFrame, n_words: int, shared) -> tuple[np.ndarray, np.
     # One small row a shard; they are added up as a stream, in order.
     rows = ordered.mapInArrow(run, "shard int, weights binary, mass binary, map binary").repartition(1).sortWithinPartitions("shard")
     row = rows.mapInArrow(add, "weights binary, mass binary, map binary").first()
-    weights, mass, map_ = (np.frombuffer(row[i]).reshape(shape).copy() for i, shape in enumerate(((GATES, ORDERS + 1), (GATES,), (GATES, STEPS, 2))))
+    shapes = (GATES, ORDERS + 1), (GATES,), (GATES, STEPS, 2)
+    weights, mass, map_ = (np.frombuffer(row[i]).reshape(x).copy() if row else np.zeros(x) for i, x in enumerate(shapes))
     seen = mass > 0
     overall = weights.sum(0) / max(1.0, mass.sum())
     weights[seen] /= mass[seen, None]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, other_fields, quoted
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, epochs: in
     only as many words as are left.
     """
     outputs = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in outputs]
+    kept = [quoted(f.name) for f in other_fields(docs, outputs)]
     slim = materialise(docs.select("source", key_of(F.col("doc_id"), F.col("text")).alias("key"), size_of(F.col("text")).alias("size")), "mix-slim")
     by_source = _small(materialise(thresholds(slim, weights, share, epochs).select(F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "cut_key", "cut_left", "cut_rows")]), "mix-thresholds"))
     d = docs.select(*kept, key_of(F.col("doc_id"), F.col("text")).alias("__key"), size_of(F.col("text")).alias("__size"))
@@ -115,8 +115,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     The document at the budget's end is kept whole, so a source exceeds its target by less than one document.
     """
     outputs = ["size", "source_size", "target", "taken"]
-    hidden = {c: f"__own_{c}" for c in outputs if c in docs.columns}
+    hidden = {c: f"__own_{c.lower()}" for c in docs.columns if c.lower() in outputs}
     mixed = mix(docs.withColumnsRenamed(hidden), **options)
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     rows = mixed.where(F.col("taken") > 0).select("*", F.explode(copies).alias("__epoch"))
-    return rows.drop(*outputs, "__epoch").withColumnsRenamed({v: k for k, v in hidden.items()}).select(*docs.columns)
+    return rows.drop(*outputs, "__epoch").withColumnsRenamed({v: k for k, v in hidden.items()}).select(*map(quoted, docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, quoted
 from .graph import components
 
 K = 5
@@ -218,7 +218,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _key())
     on = lambda t: d["__id"].eqNullSafe(t["__i"]) & (d["__key"] == t["__k"])
     if twice.isEmpty():
-        return d.join(gone, on(gone), "left_anti").select(*docs.columns)
+        return d.join(gone, on(gone), "left_anti").select(*map(quoted, docs.columns))
     once = d.join(twice, on(twice), "left_semi").dropDuplicates(["__id", "__key"])
     out = d.join(twice, on(twice), "left_anti").unionByName(once).join(gone.withColumnsRenamed({"__i": "__gi", "__k": "__gk"}), F.col("__id").eqNullSafe(F.col("__gi")) & (F.col("__key") == F.col("__gk")), "left_anti")
-    return out.select(*docs.columns)
+    return out.select(*map(quoted, docs.columns))

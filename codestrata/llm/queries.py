@@ -29,6 +29,20 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat formatting of conversations that hold calls, made of all turns: an even turn calls, referring to the call two turns before; an odd one has the result.
+
+    The turn's own text stays beside the block.
+    """
+    t, own = F.col("turn"), F.coalesce("text", F.lit(""))
+    ident = lambda n: F.concat(F.lit('"t'), n.cast("string"), F.lit('"'))
+    limit = F.when(t >= 2, F.concat(F.lit(',"limit":{"$ref":'), ident(t - 2), F.lit("}"))).otherwise("")
+    call = F.concat(F.lit('<tool_call>{"id":'), ident(t), F.lit(',"name":"search","arguments":{"query":"x"'), limit, F.lit("}}</tool_call>"))
+    result = F.concat(F.lit('<tool_result>{"id":'), ident(t - 1), F.lit(',"content":1}</tool_result>'))
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(own, F.when(t % 2 == 0, call).otherwise(result)))
+    return chat.format_chats(turns).select("conv_id", "turn", "n_calls", "n_results", "n_linked", "n_invalid", "first_level", F.length(F.get_json_object("json", "$.content")).cast("long").alias("n_content"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -60,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_topk, op3_substring_dedup, op4_chat_formatting, op5_bpe, op6_minhash_near_dedup, op7_lm_scoring, op8_language_id, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_topk, op3_substring_dedup, op4_chat_formatting, op5_bpe, op6_minhash_near_dedup, op7_lm_scoring, op8_language_id, op9_mixing, op10_quality_rules, chat_tool_links)}
 
 _STOP_SQL = ", ".join(f"'{w}', '{w.capitalize()}'" for w in rules.STOP_WORDS)
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -76,6 +90,16 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    # Levels: calls of a conversation in islands of turns two apart; results one above their call's place. Only calls that are answered are linked.
+    "chat_tool_links": """
+WITH c AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE turn % 2 = 0),
+l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS level FROM c),
+r AS (SELECT conv_id, turn - 1 AS turn FROM conversations WHERE turn % 2 = 1)
+SELECT t.conv_id, t.turn, (t.turn % 2 = 0)::INT::BIGINT AS n_calls, (t.turn % 2 = 1)::INT::BIGINT AS n_results,
+       CASE WHEN t.turn % 2 = 0 THEN (r.turn IS NOT NULL) ELSE (l.turn IS NOT NULL) END::INT::BIGINT AS n_linked, (t.turn % 2 = 0 AND t.turn >= 2)::INT::BIGINT AS n_invalid,
+       (2 * l.level + t.turn % 2)::BIGINT AS first_level, length(coalesce(t.text, ''))::BIGINT AS n_content
+FROM conversations t LEFT JOIN l ON l.conv_id = t.conv_id AND l.turn = t.turn - t.turn % 2 LEFT JOIN r ON r.conv_id = t.conv_id AND r.turn = t.turn
 """,
     "op9_mixing": rf"""
 WITH d AS (

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import other_fields, quoted
+from .common import carried, other_fields
 
 MIN_WORDS = 8
 #: So many neighbouring words have a cut among them.
@@ -198,9 +198,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
     extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     kept = other_fields(docs, [f.name for f in extra])
     repeated = repeated_units(docs, min_words)
-    d = docs.select(*[quoted(f.name) for f in kept], _key()[0].alias("__id"), _key()[1].alias("__hash"))
+    columns, plain = carried(kept)
+    d = docs.select(*columns, _key()[0].alias("__id"), _key()[1].alias("__hash"))
     on = d["__id"].eqNullSafe(repeated["id"]) & (d["__hash"] == repeated["hash"])
-    d = d.join(repeated, on, "left").select(*[d[quoted(f.name)] for f in kept], repeated["gone"].alias("__gone"), repeated["kept"].alias("__kept"))
+    d = d.join(repeated, on, "left").select(*[d[f.name] for f in plain], repeated["gone"].alias("__gone"), repeated["kept"].alias("__kept"))
     at = [f.name.lower() for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +216,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
                 removed.append([{"start": a, "end": b} for a, b in spans])
             own[at] = pa.array(texts, own[at].type)
             made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_units, n_removed, removed), extra, strict=True)]
-            yield pa.RecordBatch.from_arrays(own + made, [f.name for f in kept] + [f.name for f in extra])
+            yield pa.RecordBatch.from_arrays(own + made, [f.name for f in plain] + [f.name for f in extra])
 
-    return d.mapInArrow(run, T.StructType(kept + extra))
+    return d.mapInArrow(run, T.StructType(plain + extra)).toDF(*[f.name for f in kept], *[f.name for f in extra])

@@ -60,10 +60,24 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, SMALL)
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
     assert sorted(map(str, want.select(*columns).fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, empty and very long texts, and columns with clashing names."""
+    long = " ".join(f"word{i % 4000} of the text" for i in range(40_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id but some words of the plain kind", None, "a", 5), (3, long, "en", "b", len(long)), (4, "the same row of words twice", "en", "b", 27), (4, "the same row of words twice", "en", "b", 27), (5, " \t\n", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("Score", F.lit("mine")).withColumn("x.y", F.lit(1)).withColumn("Removed", F.lit(2))
+    spark.createDataFrame([(1, 1), (3, 1), (4, 1), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+        docs = C.materialise(out, "test")
+    assert docs.where("NOT exact").isEmpty() and {r["doc_id"] for r in docs.collect()} <= {1, 2, None, 3, 4, 5}
