@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, classifier, mixing, neardup, substring
-from codestrata.llm.common import materialise, table
+from codestrata.llm.common import materialise, quoted, table
 from codestrata.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good. It learns from the labelled documents of this stage's input."""
-    own = {c: f"__own_{c}" for c in ("score", "predicted") if c in docs.columns}
+    own = {c: f"__own_{c.lower()}" for c in docs.columns if c.lower() in ("score", "predicted")}
     scored = classifier.score(docs.withColumnsRenamed(own), classifier.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in own.items()}).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +27,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; n_chars follows the text."""
-    out = substring.dedup(docs).drop("n_units", "n_removed", "removed")
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+    """Texts without the passages that an earlier document has; n_chars follows the text.
+
+    Null texts stay null and empty ones empty; rows that repeat id and text lose the same; an own column n_units, n_removed or removed stays as it is.
+    """
+    names = ("n_units", "n_removed", "removed")
+    own = {c: f"__own_{c.lower()}" for c in docs.columns if c.lower() in names}
+    out = substring.dedup(docs.withColumnsRenamed(own)).drop(*names).withColumnsRenamed({v: k for k, v in own.items()})
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for every epoch in which a document is taken."""
+    """The mix: a row for every epoch in which a document is taken. Documents without words give no rows; a null source is a source of its own."""
     return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, a row for every row; a null text has no tokens."""
     return bpe.encode(docs, tokenizer_path())
 
 
