@@ -22,7 +22,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_units", "n_removed", "removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"), "text")
+    return out.select("doc_id", "n_removed", "removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

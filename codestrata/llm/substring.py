@@ -7,8 +7,7 @@ original text. Only stretches of ``MIN_RUN`` or more neighbouring words go: shor
 Units: a text can be cut at line starts, after sentence ends, before words that begin with a capital, and before words whose hash is the
 least of some ``WINDOW`` neighbouring words. The last kind depends on the words alone, so any ``WINDOW`` words of a repeated passage have a cut
 that all its copies share, wherever the passage was pasted. A unit begins at each cut and ends at the first one that is ``min_words`` or more
-words further on; at cuts of the other kinds one also ends, that begins at the last cut ``min_words`` or more words before, so that whole lines
-and sentences go to their last word. Of a repeated passage at most ``WINDOW - 1`` words stay at its beginning and about three times as many at its end,
+words further on; at line ends one also ends, that begins at the last cut ``min_words`` or more words before, so that whole lines go to their last word. Of a repeated passage at most ``WINDOW - 1`` words stay at its beginning and about three times as many at its end,
 where the words after it may move the last cuts; copies broken into lines or sentences differently may keep words at those places, too. Units overlap; a word of a unit's earliest occurrence stays, even if another
 unit over it goes.
 
@@ -83,18 +82,20 @@ def content_cuts(low: list[str]) -> list[int]:
 
 def unit_bounds(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[tuple[int, int]]]:
     """The lower-case words, and (first, end) word numbers of the units, in order."""
-    low, places, n = [], [], 0
+    low, places, lines, n = [], [], [], 0
     for line in text.split("\n"):
         own = line.split()
         if not own:
             continue
         low += line.lower().split()
         places.append(n)
+        lines.append(n)
         places += [n + i for i in range(1, len(own)) if own[i - 1][-1] in ".!?" or own[i][0].isupper()]
         n += len(own)
     if len(low) != n:  # lower() made or removed white space; no known character does
         low = [w.lower() for w in text.split()]
     places.append(n)
+    lines.append(n)
     cuts = sorted({*places, *content_cuts(low)})
     bounds, m = [], 0
     for c in cuts:
@@ -104,7 +105,7 @@ def unit_bounds(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[
             break
         bounds.append((c, cuts[m]))
     m = 0
-    for c in places:
+    for c in lines:
         while cuts[m + 1 : m + 2] and cuts[m + 1] <= c - min_words:
             m += 1
         if cuts[m] <= c - min_words:
@@ -194,8 +195,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
-    """``docs`` with text replaced by the deduplicated one, and n_units, n_removed, removed (array of start, end in the original text)."""
-    extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    """``docs`` with text replaced by the deduplicated one, and n_removed (units), removed (array of start, end in the original text)."""
+    extra = [T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     kept = other_fields(docs, [f.name for f in extra])
     repeated = repeated_units(docs, min_words)
     columns, plain = carried(kept)
@@ -207,15 +208,18 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *own, gone, stay = batch.columns
-            texts, n_units, n_removed, removed = [], [], [], []
+            texts, n_removed, removed = [], [], []
             for text, numbers, others in zip(own[at].to_pylist(), gone.to_pylist(), stay.to_pylist(), strict=True):
-                bounds = unit_bounds(text or "", min_words)[1]
-                new, n, spans = cut(text or "", *[[bounds[i] for i in sorted(x or ())] for x in (numbers, others)], min_run)
-                texts.append(None if text is None else new)
-                n_units.append(len(bounds)), n_removed.append(n)
+                if not numbers:
+                    texts.append(text), n_removed.append(0), removed.append([])
+                    continue
+                bounds = unit_bounds(text, min_words)[1]
+                new, n, spans = cut(text, *[[bounds[i] for i in sorted(x or ())] for x in (numbers, others)], min_run)
+                texts.append(new)
+                n_removed.append(n)
                 removed.append([{"start": a, "end": b} for a, b in spans])
             own[at] = pa.array(texts, own[at].type)
-            made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_units, n_removed, removed), extra, strict=True)]
+            made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_removed, removed), extra, strict=True)]
             yield pa.RecordBatch.from_arrays(own + made, [f.name for f in plain] + [f.name for f in extra])
 
     return d.mapInArrow(run, T.StructType(plain + extra)).toDF(*[f.name for f in kept], *[f.name for f in extra])

@@ -719,7 +719,7 @@ def test_cascade_counts_what_earlier_rules_leave():
 def test_clashing_names(spark, odd):
     """Columns that differ from an output in case only are replaced; a dot in a name does no harm."""
     d = odd.withColumn("a.b", F.lit(1))
-    for name in ("Score", "Size", "KEPT", "N_units", "Exact", "Predicted"):
+    for name in ("Score", "Size", "KEPT", "N_removed", "Exact", "Predicted"):
         d = d.withColumn(name, F.lit("mine"))
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
     n = len(ODD)
