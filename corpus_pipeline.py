@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars follows the text.
 
-    Null texts stay null and empty ones empty; rows that repeat id and text lose the same; an own column n_units, n_removed or removed stays as it is.
+    Null texts stay null and empty ones empty; rows that repeat id and text lose the same; an own column n_removed or removed stays as it is.
     """
-    names = ("n_units", "n_removed", "removed")
+    names = ("n_removed", "removed")
     own = {c: f"__own_{c.lower()}" for c in docs.columns if c.lower() in names}
     out = substring.dedup(docs.withColumnsRenamed(own)).drop(*names).withColumnsRenamed({v: k for k, v in own.items()})
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*map(quoted, docs.columns))
