@@ -609,6 +609,16 @@ def test_language_id(spark):
     assert langid.identify(d, docs.limit(0)).where("lang IS NOT NULL").count() == 0 and langid.identify(d.limit(0), docs).count() == 0
 
 
+def test_language_id_accuracy(spark, docs):
+    """Documents as pages without declaration or telling suffix, learned from the other half: the language is met."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND size(split(text, ' ')) >= 30")
+    learn, ask = big.where("doc_id % 2 = 0"), big.where("doc_id % 2 = 1")
+    pages = ask.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("doc_id") % 40).cast("string"), F.lit(".example.org/")).alias("url"), F.concat(F.lit("<html><body>"), "text", F.lit("</body></html>")).alias("html"))
+    truth = {r["doc_id"]: r["lang"] for r in ask.select("doc_id", "lang").collect()}
+    out = langid.identify(pages, learn).collect()
+    assert len(out) == len(truth) > 200 and np.mean([r["lang"] == truth[r["page_id"]] for r in out]) > 0.95
+
+
 # -- 9
 
 
