@@ -14,7 +14,7 @@ unit over it goes.
 Scale: a task sends each digest once, with its earliest occurrence there; the others it knows to be gone. So a unit held by a third of
 all documents costs one row a task in the comparison by digest. The answer isn't joined back to the occurrences (a hot join key) but sent to the
 documents that lose a unit, as numbers of units, and this join is by document, whose keys are unique. Digests of 12 bytes and positions are
-shuffled besides one exchange of the texts.
+shuffled besides one exchange of the texts. Words, cuts and digests are made of the bytes of many texts at once, never word by word.
 
 Edge cases: units of fewer than ``min_words`` words (the end of a text, short texts) are kept; null and empty texts come out unchanged;
 the rank is (doc_id, null last, then a hash of the text, then position), so ties are decided by content; rows equal in doc_id and text
@@ -23,7 +23,6 @@ are one document to this operator, and each gets the same result; an empty table
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -31,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,20 +45,40 @@ WINDOW = 8
 #: The fewest neighbouring words that are removed.
 MIN_RUN = 20
 FLUSH_UNITS = 200_000
+#: So many characters of texts are cut at once, but for longer texts; words of so many bytes have their hashes from a table.
+SLICE_CHARS, TABLE_BYTES = 1 << 18, 64
 _WORDS = re.compile(r"\S+")
+#: White space for str.split() beyond ASCII.
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE, _UPPER, _END = (np.array([f(chr(b)) for b in range(128)] + [False] * 128) for f in (str.isspace, str.isupper, ".!?".__contains__))
+#: No capital lies beyond.
+_CAPITAL = np.array([chr(c).isupper() for c in range(0x20000)])
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Two odd factors, their inverses modulo 2^64, and a number for every byte.
+_FACTORS = [(f, pow(f, -1, 1 << 64)) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+_BYTES = np.random.default_rng(3).integers(1, 2**63, (2, 256), dtype=np.uint64)
+#: CRC-32 is linear: what a byte adds by its distance from the end, and what the length adds.
+_ZEROS = np.array([zlib.crc32(bytes(n)) for n in range(TABLE_BYTES + 1)], np.uint32)
+_CRC = np.array([[zlib.crc32(bytes([b]) + bytes(n)) ^ zlib.crc32(bytes(n + 1)) for b in range(256)] for n in range(TABLE_BYTES)], np.uint32)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered as far as the bound goes."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return h
 
+def _series(factor: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, factor, np.uint64))])
 
-_HASHES = _Hashes()
+
+_LOW = {f: _series(f, 1 << 14) for pair in _FACTORS for f in pair}
+
+
+def _power(factor: int, k: np.ndarray) -> np.ndarray:
+    most = int(k.max(initial=0)) >> 14
+    low = _LOW[factor][k & 0x3FFF]
+    return low * _series(pow(factor, 1 << 14, 1 << 64), most + 1)[k >> 14] if most else low
 
 
 def _slide(x: np.ndarray, least) -> np.ndarray:
@@ -71,50 +91,109 @@ def _slide(x: np.ndarray, least) -> np.ndarray:
     return x
 
 
-def content_cuts(low: list[str]) -> list[int]:
-    """Numbers of the words whose hash is the least of some WINDOW neighbouring words."""
-    if len(low) < WINDOW:
-        return []
-    h = np.fromiter(map(_HASHES.__getitem__, low), np.int64, len(low))
+def content_cuts(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a word's hash is the least of some WINDOW neighbouring words of its document."""
+    if len(h) < WINDOW:
+        return np.zeros(len(h), bool)
     edge = np.full(WINDOW - 1, -1)
-    return np.flatnonzero(_slide(np.concatenate([edge, _slide(h, np.minimum), edge]), np.maximum) == h).tolist()
+    least = np.where(doc[WINDOW - 1 :] == doc[: 1 - WINDOW], _slide(h, np.minimum), -1)
+    return _slide(np.concatenate([edge, least, edge]), np.maximum) == h
+
+
+def _words(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in UTF-8, one after the other; their ends; the bytes as numbers; where words begin and end, as str.split() cuts."""
+    raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in (_SPACES.sub(" ", t) if not t.isascii() else t for t in texts)]
+    whole = b"".join(raw)
+    x = np.frombuffer(whole, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[x].view(np.int8), prepend=np.int8(1)))
+    return whole, np.cumsum([len(r) for r in raw]), x, edges[::2], edges[1::2]
+
+
+def _capitals(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether words begin with a capital."""
+    out = _UPPER[x[begins]]
+    odd = np.flatnonzero(x[begins] >= 128)
+    if len(odd):
+        lead, *rest = (x[np.minimum(begins[odd] + i, len(x) - 1)].astype(np.int64) for i in range(4))
+        code, more = lead & np.where(lead < 0xE0, 0x1F, np.where(lead < 0xF0, 0x0F, 0x07)), 1 + (lead >= 0xE0) + (lead >= 0xF0)
+        for i, r in enumerate(rest):
+            code = np.where(i < more, code << 6 | r & 0x3F, code)
+        out[odd] = _CAPITAL[np.minimum(code, len(_CAPITAL) - 1)]
+    return out
+
+
+def _hashes(whole: bytes, x: np.ndarray, begins: np.ndarray, ends: np.ndarray, digested: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """CRC-32 of each word, and two hashes of 64 bits."""
+    if not len(begins):
+        return np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * 2
+    size = ends - begins
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(first, size)
+    b = x[at + np.repeat(begins, size)]
+    left = np.repeat(size, size) - 1 - at
+    crc = (np.bitwise_xor.reduceat(_CRC[np.minimum(left, TABLE_BYTES - 1), b], first) ^ _ZEROS[np.minimum(size, TABLE_BYTES)]).astype(np.int64)
+    for i in np.flatnonzero(size > TABLE_BYTES).tolist():
+        crc[i] = zlib.crc32(whole[begins[i] : ends[i]])
+    return crc, [_mix(np.add.reduceat(_BYTES[k][b] * _power(f, at), first) + size.astype(np.uint64)) for k, (f, _) in enumerate(_FACTORS if digested else ())]
+
+
+def _units(texts: list[str], min_words: int, digested: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of all texts in order: number of the text, first and end word, and the digest: twelve bytes as 64 and 32 bits.
+
+    Digests are polynomials over hashes of the words, taken as differences of running sums.
+    """
+    _, stops, x, begins, ends = _words(texts)
+    lowered = _words([t.lower() for t in texts])
+    if len(lowered[3]) != len(begins):  # lower() made or removed white space; no known character does
+        raise ValueError("a text's lower-case form has other words")
+    order, hashes = _hashes(lowered[0], *lowered[2:], digested)
+    doc = np.searchsorted(stops, begins, "right")
+    marks = content_cuts(order, doc) | _capitals(x, begins)
+    marks[1:] |= _END[x[ends[:-1] - 1]]
+    # Every text has a place for its end after its words.
+    base = np.searchsorted(doc, np.arange(len(texts) + 1))
+    place = np.arange(len(begins)) + doc
+    last = base[1:] + np.arange(len(texts))
+    newlines = np.concatenate([[-1], np.flatnonzero(x == 10)])
+    row = np.searchsorted(newlines, begins)
+    opens = np.ones(len(begins), bool)
+    opens[1:] = row[1:] != row[:-1]
+    owner = np.zeros(len(begins) + len(texts), np.int64)
+    owner[place], owner[last] = doc, np.arange(len(texts))
+    cuts = np.sort(np.concatenate([place[marks | opens], last]))
+    m = np.minimum(np.searchsorted(cuts, cuts + min_words), len(cuts) - 1)
+    good = (owner[cuts[m]] == owner[cuts]) & (cuts[m] >= cuts + min_words)
+    lines = np.concatenate([place[opens], last])
+    back = np.searchsorted(cuts, lines - min_words, "right") - 1
+    whole = (back >= 0) & (owner[cuts[back]] == owner[lines])
+    width = len(owner) + 1
+    pairs = np.sort(np.concatenate([cuts[good] * width + cuts[m[good]], cuts[back[whole]] * width + lines[whole]]))
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+    first, end = pairs // width, pairs % width
+    text = owner[first]
+    first, end = first - text, end - text
+    d: list[np.ndarray] = []
+    for (f, inverse), h in zip(_FACTORS if digested else (), hashes, strict=False):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(f, np.arange(len(h))))])
+        d.append(_mix((sums[end] - sums[first]) * _power(inverse, first) + (end - first).astype(np.uint64)))
+    d0, d1 = (d[0].view(np.int64), (d[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)) if digested else (first, end)
+    return text, first - base[text], end - base[text], d0, d1
 
 
 def unit_bounds(text: str, min_words: int = MIN_WORDS) -> tuple[list[str], list[tuple[int, int]]]:
     """The lower-case words, and (first, end) word numbers of the units, in order."""
-    low, places, lines, n = [], [], [], 0
-    for line in text.split("\n"):
-        own = line.split()
-        if not own:
-            continue
-        low += line.lower().split()
-        places.append(n)
-        lines.append(n)
-        places += [n + i for i in range(1, len(own)) if own[i - 1][-1] in ".!?" or own[i][0].isupper()]
-        n += len(own)
-    if len(low) != n:  # lower() made or removed white space; no known character does
-        low = [w.lower() for w in text.split()]
-    places.append(n)
-    lines.append(n)
-    cuts = sorted({*places, *content_cuts(low)})
-    bounds, m = [], 0
-    for c in cuts:
-        while m < len(cuts) and cuts[m] < c + min_words:
-            m += 1
-        if m == len(cuts):
-            break
-        bounds.append((c, cuts[m]))
-    m = 0
-    for c in lines:
-        while cuts[m + 1 : m + 2] and cuts[m + 1] <= c - min_words:
-            m += 1
-        if cuts[m] <= c - min_words:
-            bounds.append((cuts[m], c))
-    return low, sorted(set(bounds))
-
-
-def digest(words: list[str]) -> bytes:
-    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:12]
+    _, first, end, _, _ = _units([text], min_words, False)
+    return [w.lower() for w in text.split()], list(zip(first.tolist(), end.tolist(), strict=True))
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts, column ``at``, have some SLICE_CHARS bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE_CHARS, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def cut(text: str, gone: list[tuple[int, int]], kept: list[tuple[int, int]], min_run: int = MIN_RUN) -> tuple[str, int, list[tuple[int, int]]]:
@@ -152,35 +231,63 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = "id long, hash long, unit int, d0 long, d1 int, again boolean"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # digest -> (no id, id, hash, unit) of its earliest occurrence so far; and occurrences known to be later ones.
-        own: dict[bytes, tuple] = {}
-        lost: list[tuple] = []
-        twice: set[bytes] = set()
+        # Of each document its id, hash and number of units; of the units the digests, in order.
+        ids: list = []
+        hashes: list = []
+        counts: list[np.ndarray] = []
+        d0: list[np.ndarray] = []
+        d1: list[np.ndarray] = []
 
         def rows():
-            at = [*own.values(), *lost]
-            key = np.frombuffer(b"".join(own), [("d0", "<i8"), ("d1", "<i4")])
+            known = np.array([i or 0 for i in ids], np.int64)
+            hashed = np.array(hashes, np.int64)
+            none = np.array([i is None for i in ids], bool)
+            by = np.lexsort((hashed, known, none))
+            n = np.concatenate([np.zeros(0, np.int64), *counts])
+            begin, n = (np.cumsum(n) - n)[by], n[by]
+            doc = np.repeat(by, n)
+            unit = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            at = unit + np.repeat(begin, n)
+            a, b = np.concatenate([np.zeros(0, np.int64), *d0])[at], np.concatenate([np.zeros(0, np.int32), *d1])[at]
+            # Occurrences lie in the order of the rank, which a stable sort keeps within a digest.
+            order = np.argsort(a, kind="stable")
+            if ((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any():
+                order = np.lexsort((b, a))
+            a, b, doc, unit = a[order], b[order], doc[order], unit[order].astype(np.int32)
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            begin = np.flatnonzero(new)
+            own = begin[np.cumsum(new) - 1]
+            # Rows that repeat id and text are one document, whose units aren't later occurrences of themselves.
+            lost = (unit != unit[own]) | (hashed[doc] != hashed[doc[own]]) | (known[doc] != known[doc[own]]) | (none[doc] != none[doc[own]])
+            again = np.logical_or.reduceat(lost, begin) if len(begin) else np.zeros(0, bool)
             # What is lost is compared with nothing; it passes under keys of its own, its unit's number negative.
-            units = np.array([x[3] for x in at], np.int32)
-            other = np.array([x[2] for x in lost], np.int64) ^ (units[len(own) :] * np.int64(0x9E3779B97F4A7C15 >> 1))
-            units[len(own) :] = -1 - units[len(own) :]
-            columns = [pa.array([None if x[0] else x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int64()), pa.array(units), pa.array(np.concatenate([key["d0"], other])), pa.array(np.concatenate([key["d1"], np.zeros(len(lost), np.int32)])), pa.array([d in twice for d in own] + [False] * len(lost), pa.bool_())]
+            a[lost] = hashed[doc[lost]] ^ ((-1 - unit[lost].astype(np.int64)) * np.int64(0x9E3779B97F4A7C15 >> 1))
+            b[lost], unit[lost] = 0, -1 - unit[lost]
+            said = np.zeros(len(a), bool)
+            said[begin] = again
+            # In the order of the documents, in which neighbouring rows are alike and shrink when shuffled.
+            keep = np.flatnonzero(new | lost)
+            keep = keep[np.argsort(order[keep])]
+            at = doc[keep]
+            columns = [pa.array(known[at], pa.int64(), mask=none[at]), *map(pa.array, (hashed[at], unit[keep], a[keep], b[keep], said[keep]))]
             return pa.RecordBatch.from_arrays(columns, ["id", "hash", "unit", "d0", "d1", "again"])
 
+        size = 0
         for batch in batches:
-            for i, h, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                low, bounds = unit_bounds(text or "", min_words)
-                for n, (a, b) in enumerate(bounds):
-                    d, here = digest(low[a:b]), (i is None, i or 0, h, n)
-                    at = own.setdefault(d, here)
-                    if here < at:
-                        own[d], here = here, at
-                    if here != own[d]:
-                        twice.add(d)
-                        lost.append(here)
-                if len(own) + len(lost) > FLUSH_UNITS:
+            for part in _slices(batch, 2):
+                i, h, texts = (c.to_pylist() for c in part.columns)
+                text, _, _, own0, own1 = _units([t or "" for t in texts], min_words)
+                ids += i
+                hashes += h
+                counts.append(np.bincount(text, minlength=len(texts)))
+                d0.append(own0), d1.append(own1)
+                size += len(text)
+                if size > FLUSH_UNITS:
                     yield rows()
-                    own.clear(), lost.clear(), twice.clear()
+                    for x in (ids, hashes, counts, d0, d1):
+                        x.clear()
+                    size = 0
         yield rows()
 
     found = docs.select(_key()[0].alias("id"), _key()[1].alias("hash"), "text").mapInArrow(explode, schema)
@@ -207,19 +314,18 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *own, gone, stay = batch.columns
-            texts, n_removed, removed = [], [], []
-            for text, numbers, others in zip(own[at].to_pylist(), gone.to_pylist(), stay.to_pylist(), strict=True):
-                if not numbers:
-                    texts.append(text), n_removed.append(0), removed.append([])
-                    continue
-                bounds = unit_bounds(text, min_words)[1]
-                new, n, spans = cut(text, *[[bounds[i] for i in sorted(x or ())] for x in (numbers, others)], min_run)
-                texts.append(new)
-                n_removed.append(n)
-                removed.append([{"start": a, "end": b} for a, b in spans])
-            own[at] = pa.array(texts, own[at].type)
-            made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_removed, removed), extra, strict=True)]
-            yield pa.RecordBatch.from_arrays(own + made, [f.name for f in plain] + [f.name for f in extra])
+            for part in _slices(batch, at):
+                *own, gone, stay = part.columns
+                gone, stay = gone.to_pylist(), stay.to_pylist()
+                texts, n_removed, removed = own[at].to_pylist(), [0] * part.num_rows, [[] for _ in range(part.num_rows)]
+                rows = [i for i, x in enumerate(gone) if x]
+                of, first, end, _, _ = _units([texts[i] for i in rows], min_words, False)
+                bounds = list(zip(first.tolist(), end.tolist(), strict=True))
+                for i, base in zip(rows, np.searchsorted(of, np.arange(len(rows))).tolist(), strict=True):
+                    texts[i], n_removed[i], spans = cut(texts[i], *[[bounds[base + u] for u in sorted(x or ())] for x in (gone[i], stay[i])], min_run)
+                    removed[i] = [{"start": a, "end": b} for a, b in spans]
+                own[at] = pa.array(texts, own[at].type)
+                made = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((n_removed, removed), extra, strict=True)]
+                yield pa.RecordBatch.from_arrays(own + made, [f.name for f in plain] + [f.name for f in extra])
 
     return d.mapInArrow(run, T.StructType(plain + extra)).toDF(*[f.name for f in kept], *[f.name for f in extra])

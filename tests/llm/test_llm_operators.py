@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -208,6 +209,61 @@ def test_substring_leaves_no_long_repeat(spark):
         assert all(seen.setdefault(tuple(low[a : a + 50]), i) == i for a in range(len(low) - 49))
 
 
+def _plain_units(text):
+    """Units word by word."""
+    low, places, lines, n = text.lower().split(), set(), [], 0
+    for own in filter(None, map(str.split, text.split("\n"))):
+        lines.append(n)
+        places |= {n + i for i in range(len(own)) if i == 0 or own[i - 1][-1] in ".!?" or own[i][0].isupper()}
+        n += len(own)
+    h = [zlib.crc32(w.encode()) for w in low]
+    places |= {i for a in range(n - 7) for i in range(a, a + 8) if h[i] == min(h[a : a + 8])}
+    cuts, m, units = sorted({*places, n}), 0, set()
+    for c in cuts:
+        while m < len(cuts) and cuts[m] < c + 8:
+            m += 1
+        if m < len(cuts):
+            units.add((c, cuts[m]))
+    for c in [*lines, n]:
+        units |= {(x, c) for x in [max((x for x in cuts if x <= c - 8), default=-1)] if x >= 0}
+    return low, sorted(units)
+
+
+def test_substring_units_of_many_texts():
+    """Texts cut together have the units, and equal digests where words are equal, of a plain Python version."""
+    r = np.random.default_rng(1)
+    pieces = ["a", "B", "c.", "d\n", "E!\n\n", "Größe", "Éa", "ñ\xa0Ⓐ", "ΑΣ", "я\u3000Я", "f" * 90, "𐐀x", "g", "h"]
+    texts = [" ".join(r.choice(pieces, r.integers(0, 90))) for _ in range(300)] + ["", " \n", LONG]
+    text, first, end, d0, d1 = substring._units(texts, 8)
+    names, words = {}, {}
+    for i, t in enumerate(texts):
+        at = np.flatnonzero(text == i)
+        low, units = _plain_units(t)
+        assert list(zip(first[at].tolist(), end[at].tolist(), strict=True)) == units
+        for k, (a, b) in zip(at.tolist(), units, strict=True):
+            key, unit = (int(d0[k]), int(d1[k])), tuple(low[a:b])
+            assert names.setdefault(unit, key) == key and words.setdefault(key, unit) == unit
+
+
+def test_substring_cost(spark):
+    """All of the units' work against a part of what it is in plain Python: digests one by one and looks at every word."""
+    texts = [t for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()[:400]]
+    bounds = [(t.lower().split(), substring.unit_bounds(t)[1]) for t in texts]
+    plain, now = [], []
+    for _ in range(3):
+        t0 = time.process_time()
+        for low, units in bounds:
+            for a, b in units:
+                hashlib.md5(" ".join(low[a:b]).encode()).digest()
+            [zlib.crc32(w.encode()) for w in low]
+            [w.isupper() or w[-1] in ".!?" for w in low]
+        t1 = time.process_time()
+        for k in range(0, len(texts), 100):
+            substring._units(texts[k : k + 100], 8)
+        plain.append(t1 - t0), now.append(time.process_time() - t1)
+    assert min(now) < 1.5 * min(plain), (now, plain)
+
+
 def test_substring_odd_rows(spark, odd):
     out = substring.dedup(odd.withColumn("n_units", F.lit("mine"))).collect()
     assert len(out) == len(ODD) and {r["doc_id"]: r["text"] for r in out}[1] is None and substring.dedup(odd.limit(0)).count() == 0
