@@ -9,9 +9,10 @@ similarity of the shingles and equal to it where the order agrees. 0.8 or more l
 
 Scale: equal texts (after lower-casing and white space) are one class from the start. In a bucket no pairs of all members are
 made: every member is compared with a centre; links join labels, and only members whose labels still differ are compared with the next
-centre. After ``ROUNDS`` such rounds whatever still has differing labels in one bucket is compared pair by pair over labels, so that no link
-found by a bucket is lost; the pairs of a hot bucket are spread over tasks by salt. Texts travel compressed, and only those of
-candidates.
+centre. After ``ROUNDS`` such rounds the texts of buckets that still have differing labels are compared over labels, so that no link
+found by a bucket is lost: not all pairs, which are quadratic in a hot bucket of dissimilar texts, but all that share a k-mer among the rarest
+ones, without which the threshold is out of reach; the pairs of a hot k-mer are spread over tasks by salt. Texts travel compressed, and only those of
+candidates; the k-mers of those left after the rounds are shuffled, too.
 
 Edge cases: null and empty texts are in no group, each row alone; texts of fewer than five words are one k-mer, so only equal ones match;
 null ids rank last; rows that repeat id and text are one document, of which all rows get the same answer; an empty table gives no rows.
@@ -38,9 +39,10 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES, PICKS = 16, 3
 ROUNDS = 2
-#: A task of the last comparison has one of so many shares of a bucket's members on its left side.
-SALTS = 16
-CACHE_WORDS = 300_000
+#: A task of the last comparison has one of so many shares of a k-mer's texts on its left side, if more than HOT texts have it.
+SALTS, HOT = 16, 256
+#: So many words are remembered; so many texts are taken from Arrow at once.
+CACHE_WORDS, SLICE = 100_000, 512
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 
@@ -129,7 +131,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cls, n, keys, blobs = [], [], [], []
             for text in batch[1].to_pylist():
                 words = (text or "").lower().split()
@@ -173,6 +175,39 @@ def _fits(n: str, m: str, threshold: float):
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
 
 
+def _sharing(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (cls, n, label) with other labels, among them all whose similarity reaches the threshold.
+
+    Such a pair has at least ``threshold * n`` k-mers of either text in common. With k-mers in one order for all texts, the rarest first,
+    the first common one is among the first ``n - threshold * n + 1`` of both. Only those are joined, and of them none that one text alone has.
+    """
+    classes = materialise(classes, "neardup-open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, cache = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for cls, blob in zip(batch.column("cls").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                kmers = shingles(z.decompress(blob).decode("utf-8", "surrogatepass").split(), cache).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(kmers), pa.binary()), pa.array(kmers)], ["cls", "kmer"])
+
+    rows = materialise(texts.join(classes.select("cls"), "cls", "left_semi").select("cls", "blob").mapInArrow(run, "cls binary, kmer long"), "neardup-kmers")
+    shared = rows.groupBy("kmer").agg(F.count("*").alias("held")).where("held > 1")
+    # Of a text's k-mers those that no other text has come first; the rest of the prefix is filled by the shared ones.
+    own = rows.join(shared, "kmer").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("held", "kmer"))).alias("at"))
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1 - (F.col("n") - F.size("at"))
+    first = classes.join(own, "cls").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    first = first.select("cls", "n", "label", (F.col("n") - F.size("at")).alias("before"), F.posexplode(F.slice("at", F.lit(1), F.col("prefix"))).alias("i", "at"))
+    first = first.select("cls", "n", "label", "at.kmer", "at.held", (F.col("n") - F.col("before") - F.col("i")).alias("rest"))
+    first = materialise(first, "neardup-prefixes")
+    salts = F.when(F.col("held") > HOT, SALTS).otherwise(1)
+    left = first.withColumn("salt", F.pmod(F.xxhash64("cls"), salts).cast("int"))
+    right = first.select("kmer", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("rest").alias("least"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # From the first common k-mer on, both have to have as many as the threshold asks for in common.
+    enough = F.least("rest", "least") >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-6
+    met = left.join(right, ["kmer", "salt"]).where((F.col("label") < F.col("other")) & _fits("n", "m", threshold) & enough)
+    return met.select(F.col("cls").alias("a"), "b").distinct()
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, copy_of, group_id, kept) of every row: the smallest id with the same words, the smallest of the group, and whether the row
     is the group's document that stays. Texts without words have copy_of and group_id null and stay."""
@@ -193,10 +228,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             met = labelled.join(open_.select("bucket", "c"), "bucket").where((F.col("label") != F.col("c.label")) & _fits("n", "c.n", threshold))
             pairs = met.select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
         else:
-            left = labelled.join(open_.select("bucket"), "bucket", "left_semi").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
-            right = labelled.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            met = left.join(right, ["bucket", "salt"]).where((F.col("label") < F.col("other")) & _fits("n", "m", threshold))
-            pairs = met.select(F.col("cls").alias("a"), "b").distinct()
+            pairs = _sharing(labelled.join(open_.select("bucket"), "bucket", "left_semi").select("cls", "n", "label").distinct(), texts, threshold)
         found = _verify(pairs, texts, threshold)
         edges = materialise(found if edges is None else found.union(edges), "neardup-edges")
         labels = components(edges)

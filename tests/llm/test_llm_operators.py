@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, chat, classifier, graph, langid, lm, mixing, neardup, rules, substring, topk
@@ -437,6 +438,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(r["kept"] for r in out) == len({r["group_id"] for r in out})
 
 
+def test_near_duplicates_hot_bucket(spark):
+    """Dissimilar texts of one bucket are not compared pair by pair, and the pairs that reach the threshold are all among those compared."""
+    r = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(40)]
+    texts = [common + [f"t{j}w{i}" for i in range(60)] for j in range(150)]
+    for j in range(0, 150, 5):  # some near copies, of all similarities around the threshold
+        texts.append(texts[j][: 100 - int(r.integers(0, 25))] + [f"x{j}y{i}" for i in range(int(r.integers(0, 8)))])
+    kmers = [neardup.shingles(t) for t in texts]
+    good = {(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(kmers[i], kmers[j]) > 0}
+    name = lambda i: f"{i:04d}".encode()
+    classes = spark.createDataFrame([(bytearray(name(i)), len(k), bytearray(name(i))) for i, k in enumerate(kmers)], "cls binary, n int, label binary")
+    blobs = spark.createDataFrame([(bytearray(name(i)), bytearray(zstandard.compress(" ".join(t).encode()))) for i, t in enumerate(texts)], "cls binary, blob binary")
+    pairs = [(int(bytes(x["b"])), int(bytes(x["a"]))) for x in neardup._sharing(classes, blobs, neardup.THRESHOLD).collect()]
+    assert 5 < len(good) < 30 and good <= set(pairs) and len(pairs) == len(set(pairs)) <= 60
+
+
 def test_similarity():
     a = neardup.shingles([f"a{i}" for i in range(104)])
     assert neardup.similarity(a, a) == 1 and neardup.similarity(a, a[:90]) == pytest.approx(0.9) and neardup.similarity(a, a[:79]) == 0
