@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -656,6 +657,79 @@ def test_language_model_prefixes_of_all_words(spark):
     assert lm.prefix_depths(spark.createDataFrame([], "word binary, mask long")).count() == 0
 
 
+def test_language_model_works_on_groups_of_documents(monkeypatch):
+    """Contexts are made for many documents at once, and scores don't depend on how many."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 20) % 300) for _ in range(200)]
+    d, number, tables = words_model(texts, [i % 4 != 0 for i in range(200)])
+    calls, contexts = [], lm.contexts
+    monkeypatch.setattr(lm, "contexts", lambda *a: calls.append(1) or contexts(*a))
+    rows = [(0, i, i, i % 4 == 0, t, []) for i, t in enumerate(texts)]
+    rows.insert(8, rows[7])
+    got = [r for out in lm.score_stream(iter(rows), d, number, tables, lambda *a: None) for r in out]
+    assert len(got) == 201 and got[7] == got[8] and len(calls) < 20
+    coded = [(s, h, i, held, *d.numbers(pa.array([t]))[::2], found) for s, h, i, held, t, found in rows]
+    asked = []
+    for flush in (1, 500):
+        asked.append([])
+        again = [r for out in lm.score_numbers(iter(coded), d, tables, lambda *a: asked[-1].extend(zip(*a, strict=True)), flush) for r in out]  # noqa: B023
+        assert [r[:-1] for r in again] == [r[:-1] for r in got] and [r[-1] for r in again] == pytest.approx([r[-1] for r in got])
+    assert asked[0] == asked[1] and len(asked[0]) == sum(w not in number for t in texts for w in lm.tokens(t)) > 0
+
+
+def test_language_model_numbers_of_words():
+    """Words of many texts at once are those of ``tokens``, whatever the white space; pieces and packed documents lose nothing."""
+    odd = ["", " ", "a", " A  b\t", "\x0b\x0cÄ ä\x85x\u00a0y\u2028z\r\nİ", "a\x00b c\x1cd", "\n", "B a " * 50, "zz"]
+    array = pa.array([*odd, *odd])
+    for texts in (array, array[3:7], pa.array(["a b", "c"]), pa.array([""])):
+        flat, edges = lm.split(texts)
+        words = flat.to_pylist()
+        assert [words[x:y] for x, y in zip(edges, edges[1:], strict=False)] == [lm.tokens(t) for t in texts.to_pylist()]
+    d = lm.Dictionary([b"a", b"b", "ä".encode()], np.array([9, 5, 5]), np.zeros(3, int), 4, 2, 1, 2.0)
+    d.open()
+    number = d.index()
+    ids, starts, rare, n_rare = d.numbers(array)
+    z, u = lm.zstandard.ZstdCompressor(), lm.zstandard.ZstdDecompressor()
+    for t, own, at in zip(array.to_pylist(), np.split(ids, starts[1:]), np.cumsum(n_rare) - n_rare, strict=True):
+        escaped = [w for w in lm.tokens(t) if w not in number]
+        assert own.tolist() == [*[number.get(w, 0) for w in lm.tokens(t)], 1]
+        found = rare[at : at + len(escaped)]
+        assert found == escaped
+        unpacked = lm.unpack_document(u, lm.pack_document(z, own, found))
+        assert unpacked[0].tolist() == own.tolist() and unpacked[1] == escaped
+    batch = pa.RecordBatch.from_arrays([pa.array(range(18)), array], ["i", "text"])
+    for most in (1, 7, 100, 1 << 20):
+        cut = list(lm._pieces(iter([batch[:5], batch[5:5], batch[5:]]), most))
+        assert [i for b in cut for i in b.column("i").to_pylist()] == list(range(18)) and all(b.num_rows for b in cut)
+    assert len(cut) == 1
+
+
+def test_language_model_stretches_of_many_documents():
+    words = [b"w%d" % (i * i % 97) for i in range(900)]
+    h = np.array([lm.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    edges = np.array([0, 1, 2, 5, 300, 301, 302, 640, 899])
+    at, context, digest = lm.stretches(h, edges)
+    alone = [[x.tolist() for x in lm.stretches(own)] for own in np.split(h, edges[1:])]
+    assert at.tolist() == [int(e) + x for e, a in zip(edges, alone, strict=True) for x in a[0]]
+    assert [context.tolist(), digest.tolist()] == [[x for a in alone for x in a[k]] for k in (1, 2)] and len(at) > 10
+
+
+def test_language_model_prefixes_over_small_ranges(spark):
+    """Words that share a prefix lie in many ranges of the sort, some with fewer words than the prefix needs."""
+    words = sorted({f"{a}{b}".encode() for a in ("a", "ab", "abc", "b", "bc") for b in range(60)} | {lm.END})
+    begins = collections.Counter(w[:i] for w in words for i in range(1, len(w) + 1))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        found = lm.prefix_depths(spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, mask long"), block=10).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(bytes(r["word"]) for r in found) == words
+    assert {bytes(r["word"]): r["depth"] for r in found} == {w: sum(begins[w[:i]] >= lm.PREFIX_MIN for i in range(1, len(w) + 1)) for w in words}
+
+
 def test_language_model_odd_rows(spark, odd):
     out = lm.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(math.isfinite(r["score"]) for r in out)
