@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import zlib
@@ -14,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, chat, classifier, graph, langid, lm, mixing, neardup, rules, substring, topk
+from codestrata.llm import bpe, chat, classifier, common, graph, langid, lm, mixing, neardup, rules, substring, topk
 from codestrata.llm.queries import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -730,6 +731,66 @@ def test_language_model_prefixes_over_small_ranges(spark):
     assert {bytes(r["word"]): r["depth"] for r in found} == {w: sum(begins[w[:i]] >= lm.PREFIX_MIN for i in range(1, len(w) + 1)) for w in words}
 
 
+def test_language_model_words_of_buckets():
+    """Every word has one bucket, whatever stands beside it; packed words and numbers come back; neighbours share what they share."""
+    words = [*{bytes([97 + i % 23, 98 + i % 7]) * (i % 5 + 1) + str(i).encode() for i in range(3000)}, b"a\x00", b"a\x00\x00", "ä".encode() * 40, b"x" * (3 << 20), lm.END]
+    array = pa.array(words, pa.binary())
+    p = lm.buckets(array, 11)
+    assert set(p.tolist()) == set(range(11)) and np.bincount(p).max() < 2 * len(words) / 11
+    assert all(lm.buckets(array[i : i + 1], 11)[0] == p[i] for i in range(0, len(words), 97)) and lm.buckets(array[5:], 11).tolist() == p[5:].tolist()
+    z, u = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+    flat, edges = lm.flat_bytes(array[7:])
+    length, numbers, none, flat = lm.unpack_arrays(u, lm.pack_arrays(z, np.diff(edges).astype("<u4"), np.arange(5), np.zeros(0, "<i8"), flat), "<u4", "<i8", "<i8", "u1")
+    assert lm.words_of(length, flat).to_pylist() == words[7:] and numbers.tolist() == [0, 1, 2, 3, 4] and not len(none)
+    ordered = sorted([*words, b"x" * 16, b"x" * 17, b"x" * 24 + b"y"])
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for near in (1, 7):
+        assert lm._shared(pa.array(ordered, pa.binary()), near).tolist() == [common(a, b) for a, b in zip(ordered, ordered[near:], strict=False)]
+
+
+def test_language_model_counts_and_requests_are_packed(spark, docs, monkeypatch):
+    """Spark neither sums nor joins word by word; counts by language are right, and scores are the same with many small parts."""
+    rows = docs.collect()
+    d = docs.select("doc_id", "text", "lang", (F.col("doc_id") % 3 != 0).alias("train"))
+    langs = sorted({r["lang"] for r in rows if r["lang"]})[:2]
+    want = collections.defaultdict(lambda: [0] * (len(langs) + 1))
+    for r in rows:
+        for w in [*lm.tokens(r["text"]), lm.END]:
+            want[w][langs.index(r["lang"]) if r["lang"] in langs else len(langs)] += r["doc_id"] % 3 != 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    for most in (lm.FLUSH_PAIRS, 20):
+        monkeypatch.setattr(lm, "FLUSH_PAIRS", most)
+        counted = lm.word_counts(d, langs)
+        assert "Aggregate" not in plan(counted)
+        found = counted.collect()
+        got = {bytes(r["word"]): (r["by"], r["c"], r["mask"]) for r in found if r["word"] is not None}
+        assert len(got) == sum(r["word"] is not None for r in found)
+        assert got == {w: (by, sum(by), sum((x > 0) << i for i, x in enumerate(by))) for w, by in want.items()}
+        packed = {}
+        for r in found:
+            if r["word"] is None:
+                length, c, flat = lm.unpack_arrays(zstandard.ZstdDecompressor(), bytes(r["blob"]), "<u4", "<i8", "u1")
+                own = lm.words_of(length, flat)
+                assert set(lm.buckets(own, lm.shuffle_partitions(spark)).tolist()) == {r["p"]}
+                packed |= dict(zip(own.to_pylist(), c.tolist(), strict=True))
+        assert packed == {w: sum(by) for w, by in want.items()}
+        out = lm.score_documents(docs)
+        assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", plan(out).split("Initial Plan")[-1])) == 1
+        for r in out.collect():
+            own = plain[r["doc_id"]]
+            assert r["n_known"] == own["n_known"] and r["score"] == pytest.approx(own["score"], rel=1e-9) and r["base_score"] == pytest.approx(own["base_score"], rel=1e-9)
+
+
+def test_language_model_leaves_no_stored_tables(spark, docs):
+    """Only what the result reads stays in the shared folder."""
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = lm.score_documents(docs)
+    assert sorted(x.rpartition("-")[0] for x in set(os.listdir(folder)) - before if not x.startswith(".")) == ["lm-asked", "lm-words"]
+    assert out.count() == docs.count()
+
+
 def test_language_model_odd_rows(spark, odd):
     out = lm.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(math.isfinite(r["score"]) for r in out)
