@@ -88,6 +88,22 @@ def test_match_uses_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pairs_of_one_address_are_made_by_many_tasks(spark, monkeypatch):
+    """An address of many calls and endpoints is cut into blocks: every pair comes once, and no task makes most of them."""
+    monkeypatch.setattr("codestrata.operators.matching.BLOCK", 10, raising=False)
+    calls = [(i, f"/a/{{?}}?q{i % 2}={{?}}", "GET", f"s{i % 3}") for i in range(90)] + [(90, "/b", "GET", "s1"), (91, None, "GET", "s1")]
+    ends = [(i, "/a/{?}", ["GET", "ALL", "PUT"][i % 3], f"s{i % 4}", [None, ["q1"], []][i % 5 % 3]) for i in range(70)] + [(70, "/b", "ALL", "s2", []), (71, None, "ALL", "s2", [])]
+    c = spark.createDataFrame(calls, "id int, url string, http_method string, service string").coalesce(1)
+    e = spark.createDataFrame(ends, "id int, url string, http_method string, service string, required array<string>").coalesce(1)
+    m = match_calls(c, e)
+    assert m.columns == [f"call_{x}" for x in c.columns] + [f"endpoint_{x}" for x in e.columns]
+    got = m.select("call_id", "endpoint_id", F.spark_partition_id().alias("p")).collect()
+    want = [(i, j) for i, u, h, s in calls for j, v, g, t, r in ends if u and u.split("?q")[0] == v and (h == g or g == "ALL") and s != t and all(f"{x}=" in u for x in r or [])]
+    assert sorted((r["call_id"], r["endpoint_id"]) for r in got) == sorted(want)
+    by = [sum(r["p"] == p for r in got) for p in {r["p"] for r in got}]
+    assert len(by) > 1 and max(by) < 0.7 * len(got)
+
+
 def test_prefix_join_has_no_nested_loop(spark):
     files = spark.range(10).select(F.concat(F.lit("/a/"), F.col("id").cast("string")).alias("path"))
     plan = O.longest_prefix_owner(files, files.withColumnRenamed("path", "root"), "path", "root")._jdf.queryExecution().executedPlan().toString()
