@@ -19,8 +19,9 @@ def longest_prefix_owner(files: DataFrame, roots: DataFrame, path: str, root: st
     by = by or []
     exploded = files.select(*by, path, F.explode(P.prefixes(F.col(path), with_root)).alias("__prefix"))
     r = roots.select(*by, F.col(root).alias("__prefix")).distinct()
-    best = exploded.join(r, [*by, "__prefix"]).groupBy(*by, path).agg(F.max_by("__prefix", F.length("__prefix")).alias(owner))
-    return files.join(best, [*by, path], "left")
+    # A semi-join: only the roots can be broadcast, and not by an estimate, as they are shuffled first.
+    best = exploded.join(r, [*by, "__prefix"], "left_semi").groupBy(*by, path).agg(F.max_by("__prefix", F.length("__prefix")).alias(owner))
+    return files.join(best.hint("merge"), [*by, path], "left")  # as many rows as files: nothing to broadcast
 
 
 def adopt(orphans: DataFrame, roots: DataFrame, path: str, root: str, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

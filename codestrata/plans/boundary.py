@@ -34,19 +34,17 @@ def _in(name: Column, known: list[str]) -> Column:
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """Files outside ignored directories with directory, name and what their contents show."""
+    """Files outside ignored directories with directory, name and what their contents show.
+
+    One pass without a join: configuration is read beside the other files, whose contents stay behind.
+    """
     f = files.where(~in_ignored_dir(F.substr("path", F.lit(2)))).withColumn("dir", P.directory(F.col("path"))).withColumn("name", P.last_segment(F.col("path")))
     yaml = F.col("name").rlike(r"\.ya?ml$")
     config = F.col("name").isin(CONFIG_FILES) | (F.col("name") == "pom.xml") | F.col("name").isin(COMPOSE_FILES)
-    small = f.where(config).select(*KEY, "path", "content")
-    parsed = C.parse_config_files(small).select(*KEY, "path", "data")
-    f = f.join(parsed, [*KEY, "path"], "left")
     java = F.endswith("name", F.lit(".java"))
     deployment_place = F.col("name").isin("deployment.yml", "deployment.yaml") | F.arrays_overlap(F.split("dir", "/"), F.array(*[F.lit(x) for x in DEPLOYMENT_DIRS]))
-    services = F.try_variant_get("data", "$.services", "map<string, variant>")
-    return f.select(
-        *KEY, "path", "dir", "name", "content", "data",
-        (F.col("name").isin(COMPOSE_FILES) & (F.size(services) > 0)).alias("has_services"),
+    shown = f.select(
+        *KEY, "path", "dir", "name", F.when(config, F.col("content")).alias("content"), F.when(F.col("name").isin(GRADLE_FILES), F.col("content")).alias("gradle"),
         (yaml & deployment_place & has_deployment_kind(F.col("content"))).alias("is_deployment"),
         (java & F.contains("content", F.lit("@SpringBootApplication"))).alias("is_boot"),
         (java & (F.contains("content", F.lit("@RestController")) | F.contains("content", F.lit("@Controller")))).alias("is_controller"),
@@ -54,6 +52,8 @@ def file_facts(files: DataFrame) -> DataFrame:
         F.when(java, F.regexp_extract("path", r"^(.*?)/src/main/java/", 1)).alias("java_root"),
         (java & F.contains("path", F.lit("/src/main/java/"))).alias("in_source_tree"),
     )
+    services = F.try_variant_get("data", "$.services", "map<string, variant>")
+    return C.parse_config_files(shown).drop("content", "json").withColumn("has_services", F.col("name").isin(COMPOSE_FILES) & (F.size(services) > 0))
 
 
 def signals(facts: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def names(facts: DataFrame, roots: DataFrame) -> DataFrame:
     config_place = F.when(F.endswith("dir", F.lit("/src/main/resources")), 0).otherwise(3) + F.array_position(F.array(*[F.lit(x) for x in CONFIG_FILES]), F.col("name"))
     config = facts.where(F.col("name").isin(CONFIG_FILES)).select(*KEY, F.regexp_replace("dir", "/src/main/resources$", "").alias("root"), config_place.alias("rank"), C.app_name(F.col("data")).alias("found"))
     pom = facts.where("name = 'pom.xml'").select(*KEY, F.col("dir").alias("root"), F.lit(10).alias("rank"), C.artifact_id(F.col("data")).alias("found"))
-    gradle = facts.where(F.col("name").isin(GRADLE_FILES)).select(*KEY, F.col("dir").alias("root"), (F.lit(20) + F.array_position(F.array(*[F.lit(x) for x in GRADLE_FILES]), F.col("name"))).alias("rank"), C.gradle_name(F.col("content")).alias("found"))
+    gradle = facts.where(F.col("name").isin(GRADLE_FILES)).select(*KEY, F.col("dir").alias("root"), (F.lit(20) + F.array_position(F.array(*[F.lit(x) for x in GRADLE_FILES]), F.col("name"))).alias("rank"), C.gradle_name(F.col("gradle")).alias("found"))
     found = config.unionByName(pom).unionByName(gradle).where("found IS NOT NULL")
     best = found.groupBy(*KEY, "root").agg(F.min_by("found", "rank").alias("found"))
     folder = F.nullif(P.last_segment(F.col("root")), F.lit(""))

@@ -19,18 +19,20 @@ from ..sources.config_files import parse_config_files
 from ..sources.java_parser import parse_java
 
 KEY = ["repo", "branch", "commit"]
+OWNER = ["service_path", "service_name"]
 TABLES: dict[str, T.StructType] = {"files": S.FILES, "services": S.SERVICES, "class": S.CLASS, "method": S.METHOD, "field": S.FIELD, "import": S.IMPORT, "annotation": S.ANNOTATION, "call": S.CALL, "rest_call": S.REST_CALL, "endpoint": S.ENDPOINT, "config_file": S.CONFIG_FILE, "file_change": S.FILE_CHANGE, "component_change": S.COMPONENT_CHANGE}
 
 
 def parse_sources(files: DataFrame) -> DataFrame:
-    """Java files with one struct ``class`` each; a file that can't be parsed has parse_error and nothing else."""
-    java = files.where(F.endswith("path", F.lit(".java"))).select(*KEY, "path", "content")
-    out = T.StructType([*[T.StructField(c, T.StringType()) for c in (*KEY, "path")], T.StructField("class", S.CLASS)])
+    """Java files with one struct ``class`` each; a file that can't be parsed has parse_error and nothing else. Columns of the owner are kept."""
+    keep = [*KEY, "path", *[x for x in OWNER if x in files.columns]]
+    java = files.where(F.endswith("path", F.lit(".java"))).select(*keep, "content")
+    out = T.StructType([*[T.StructField(c, T.StringType()) for c in keep], T.StructField("class", S.CLASS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_type(S.CLASS)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([parse_java(x or "") for x in b[4].to_pylist()], kind)], out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([parse_java(x or "") for x in b.columns[-1].to_pylist()], kind)], out.names)
 
     return java.mapInArrow(run, out)
 
@@ -130,8 +132,10 @@ def config_tables(files: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame, services: DataFrame, filter_unknown: bool = False) -> dict[str, DataFrame]:
     """All tables of a snapshot. The parsed files are written nowhere; persist the result's 'parsed' if several tables are used."""
-    owned = with_owner(files.where(is_valid_file(F.col("path"))).select(*KEY, "path"), services)
-    parsed = parse_sources(files).join(owned, [*KEY, "path"]).persist()
+    # Contents can be many times as large as the input that Spark estimates them by: never broadcast by that estimate.
+    owned = with_owner(files.where(is_valid_file(F.col("path"))).select(*KEY, "path"), services).hint("merge")
+    java = files.where(F.endswith("path", F.lit(".java"))).select(*KEY, "path", "content")
+    parsed = parse_sources(java.join(owned, [*KEY, "path"])).persist()
     c = classes(parsed, filter_unknown)
     m = methods(parsed, c)
     return {

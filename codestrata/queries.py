@@ -474,7 +474,8 @@ def system_files(spark, sf) -> DataFrame:
         file(["src/main/java/p/F", key, ".java"], client), file(["src/main/java/p/R", key, "Repository.java"], resource),
         file(["build/x/pom.xml"], text("<project><artifactId>copy</artifactId></project>")), file(["src/main/java/p/Broken.java"], text("class Broken { void f() { "), F.col("s_suppkey") % 7 == 0),
     ))
-    rows = table(spark, sf, "supplier").select(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("repo"), key.alias("key"), F.explode(made).alias("f"))
+    # A supplier makes some kB of files: a few MB of suppliers, which Spark reads in one task, are spread over all.
+    rows = table(spark, sf, "supplier").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey").select(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("repo"), key.alias("key"), F.explode(made).alias("f"))
     return rows.select("repo", F.lit("main").alias("branch"), F.lit("c1").alias("commit"), F.concat(F.lit("/s"), "key", F.lit("/"), "f.name").alias("path"), "f.content")
 
 

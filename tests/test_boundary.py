@@ -72,3 +72,27 @@ def test_names_in_order(files):
 
 def test_empty(files):
     assert found(detect(files({"/x": ""}).where("false"))) == {}
+
+
+def test_files_are_never_broadcast(spark, files):
+    """Spark's estimate of a small input doesn't hold for the files made of it: neither contents nor paths go through the driver."""
+    from codestrata.plans import boundary, tables
+
+    few = files(tree("/a", pom=1, yml=1, boot=1))
+    services = few.selectExpr("repo", "branch", "commit", "'/a' AS path", "'a' AS name").distinct()
+    facts = boundary.file_facts(few)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in facts
+    owned = tables.with_owner(few.select("repo", "branch", "commit", "path"), services)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in owned
+    parsed = tables.extract(few, services)["parsed"]
+    assert {r["path"]: r["service_name"] for r in parsed.collect()} == {"/a/src/main/java/a/App.java": "a"}
+    plan = parsed._jdf.queryExecution().logical().toString()
+    assert "strategy=merge" in plan
+
+
+def test_system_files_are_spread(spark):
+    """A supplier table of one split makes its files in many tasks."""
+    from codestrata.queries import system_files
+
+    made = system_files(spark, "/root/testdata/sf0.001").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert made > 1
