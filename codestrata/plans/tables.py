@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -43,17 +43,24 @@ def with_owner(files: DataFrame, services: DataFrame) -> DataFrame:
     return owned.join(services.select(*KEY, F.col("path").alias("service_path"), F.col("name").alias("service_name")), [*KEY, "service_path"], "left")
 
 
+def role_of_class() -> Column:
+    return R.class_role(F.transform("class.class_annotations", lambda a: a["name"]), F.col("class.extended_types"))
+
+
+def class_mapping() -> Column:
+    """Attributes of the class's own @RequestMapping."""
+    return F.get(F.filter("class.class_annotations", lambda a: a["name"] == "RequestMapping"), 0)["attributes"]
+
+
 def classes(parsed: DataFrame, filter_unknown: bool = False) -> DataFrame:
     """One row a file: header columns, role and bucket. ``filter_unknown`` leaves classes without role out."""
     c = parsed.where("class.parse_error IS NULL")
-    annotated = F.transform("class.class_annotations", lambda a: a["name"])
-    role = R.class_role(annotated, F.col("class.extended_types"))
-    mapping = F.get(F.filter("class.class_annotations", lambda a: a["name"] == "RequestMapping"), 0)["attributes"]
+    role = role_of_class()
     out = c.select(
-        *KEY, "path", *[x for x in ("service_path", "service_name") if x in parsed.columns],
+        *KEY, "path", *[x for x in OWNER if x in parsed.columns],
         F.concat_ws(".", F.nullif("class.package", F.lit("")), "class.name").alias("class_id"),
         *[F.col(f"class.{x}") for x in ("package", "name", "class_type", "protection", "is_static", "is_final", "is_abstract", "extended_types", "implemented_types", "enum_constants", "class_annotations")],
-        role.alias("role"), R.bucket(role).alias("role_bucket"), mapping.alias("class_mapping"),
+        role.alias("role"), R.bucket(role).alias("role_bucket"), class_mapping().alias("class_mapping"),
     )
     return out.where("role <> 'UNKNOWN'") if filter_unknown else out
 
@@ -64,13 +71,16 @@ def components(parsed: DataFrame, what: str) -> DataFrame:
     return parsed.where("class.parse_error IS NULL").select(*keep, F.explode(f"class.{what}").alias("c")).select(*keep, "c.*")
 
 
-def methods(parsed: DataFrame, class_table: DataFrame) -> DataFrame:
-    """Methods with url and http_method where they are endpoints, and required request parameters.
+def methods(parsed: DataFrame, filter_unknown: bool = False) -> DataFrame:
+    """Methods with url and http_method where they are endpoints, and required request parameters. The class is the same row's: nothing is joined.
 
     Mapped methods of any class are endpoints, those of Feign clients are calls instead. Methods of repository resources are endpoints of
     their own: GET /<name>s/search/<method>, or below the path that @RepositoryRestResource gives, unless marked as not exported.
     """
-    m = components(parsed, "methods").join(class_table.select(*KEY, "path", "role", "class_mapping", "class_annotations", F.col("name").alias("class_name")), [*KEY, "path"])
+    keep = [*KEY, "path", *[x for x in OWNER if x in parsed.columns]]
+    of_class = [role_of_class().alias("role"), class_mapping().alias("class_mapping"), F.col("class.class_annotations").alias("class_annotations"), F.col("class.name").alias("class_name")]
+    m = parsed.where("class.parse_error IS NULL").select(*keep, *of_class, F.explode("class.methods").alias("c"))
+    m = (m.where("role <> 'UNKNOWN'") if filter_unknown else m).select(*keep, "c.*", "role", "class_mapping", "class_annotations", "class_name")
     first = F.get(F.filter("annotations", lambda a: a["name"].isin(U.MAPPINGS)), 0)
     # Map lookups of a null map give null: only the marker annotation of an empty map has no value at all.
     own = F.when(first["name"].isNotNull(), F.coalesce(first["attributes"], F.create_map().cast("map<string,string>")))
@@ -137,7 +147,7 @@ def extract(files: DataFrame, services: DataFrame, filter_unknown: bool = False)
     java = files.where(F.endswith("path", F.lit(".java"))).select(*KEY, "path", "content")
     parsed = parse_sources(java.join(owned, [*KEY, "path"])).persist()
     c = classes(parsed, filter_unknown)
-    m = methods(parsed, c)
+    m = methods(parsed, filter_unknown)
     return {
         "parsed": parsed, "services": services, "classes": c, "methods": m, "fields": components(parsed, "fields"), "imports": components(parsed, "imports"), "annotations": components(parsed, "annotations"),
         "calls": components(parsed, "calls"), "rest_calls": rest_calls(parsed, m), "endpoints": endpoints(m), "config_files": config_tables(files).join(owned, [*KEY, "path"]),

@@ -567,10 +567,10 @@ UNION ALL SELECT root, 'add', '/s' || k, 'POST', 'n' FROM x WHERE ctl
 UNION ALL SELECT root, 'findByName', CASE WHEN k % 2 = 1 THEN '/own' ELSE '/r' || k || 's' END || '/search/findByName', 'GET', '' FROM x
 """)
 def source_endpoints(spark, sf):
-    from .plans.tables import classes, endpoints, methods, parse_sources
+    from .plans.tables import endpoints, methods, parse_sources
 
     p = parse_sources(system_files(spark, sf))
-    e = endpoints(methods(p, classes(p)), include_repositories=True)
+    e = endpoints(methods(p), include_repositories=True)
     return e.select(F.regexp_extract("path", "^(/s[0-9]+)/", 1).alias("root"), "name", "url", "http_method", F.array_join("required", ",").alias("required"))
 
 
@@ -580,10 +580,10 @@ SELECT root, 'get' AS called_from, '/s' || (k + 1) || '/{{?}}' AS url, 'GET' AS
 UNION ALL SELECT root, 'put', '/s' || (k + 1) || '?n={{?}}', 'POST' FROM x
 """)
 def feign_calls(spark, sf):
-    from .plans.tables import classes, methods, parse_sources, rest_calls
+    from .plans.tables import methods, parse_sources, rest_calls
 
     p = parse_sources(system_files(spark, sf))
-    return rest_calls(p, methods(p, classes(p))).select(F.regexp_extract("path", "^(/s[0-9]+)/", 1).alias("root"), "called_from", "url", "http_method")
+    return rest_calls(p, methods(p)).select(F.regexp_extract("path", "^(/s[0-9]+)/", 1).alias("root"), "called_from", "url", "http_method")
 
 
 @query(f"""

@@ -184,3 +184,18 @@ def test_totals_and_component_tree(files, spark, tmp_path):
     _, c = system.create_delta_and_write(files(V1), files(V2, "c2"), str(tmp_path / "d"))
     merged = system.merge_and_write(base, c, str(tmp_path / "m"))
     assert D.equivalent(merged, delta.component_rows(parse_sources(files(V2)))).first()["equal"]
+
+
+@pytest.mark.parametrize("name,parsed", [("source_endpoints", 1), ("feign_calls", 2)])
+def test_sources_are_not_parsed_for_a_join(spark, name, parsed):
+    """Methods know their class from their own row; calls of clients and of Feign interfaces are two passes."""
+    from codestrata.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == parsed and "Join" not in plan
+
+
+def test_methods_of_classes_without_role(files):
+    texts = {"/a/pom.xml": POM.format("a"), "/a/src/main/java/App.java": V1["/a/src/main/java/App.java"], "/a/src/main/java/C.java": "@RestController class C { @GetMapping(\"/x\") void x() {} }\n"}
+    names = lambda **k: sorted(r["name"] for r in system.create_from_files(files(texts), **k)["methods"].collect())
+    assert names() == ["f", "x"] and names(filter_unknown=True) == ["x"]
