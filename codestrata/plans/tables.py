@@ -169,7 +169,7 @@ def call_graph(tables: dict[str, DataFrame], exclude_by: str = "service", snapsh
         named = snapshots.select("snapshot", *KEY).distinct()
         return match_calls(c.join(named, KEY), e.join(named, KEY), exclude_by, within=("snapshot",))
     versions = tables["services"].groupBy("repo").agg(F.countDistinct("branch", "commit").alias("versions"))
-    c, e = (x.join(versions, "repo", "left") for x in (c, e))
+    c, e = (x.join(versions, "repo", "left").persist() for x in (c, e))  # counted before they are matched
     same = (F.col("call_branch") == F.col("endpoint_branch")) & (F.col("call_commit") == F.col("endpoint_commit"))
     single = (F.col("call_repo") != F.col("endpoint_repo")) & (F.col("call_versions") == 1) & (F.col("endpoint_versions") == 1)
     return match_calls(c, e, exclude_by).where(same | single).drop("call_versions", "endpoint_versions")
